@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Labelled documents of each class at most, of which half make the dictionary and half calibrate.
 MAX_PER_CLASS = 1500
 #: Characters of each sampled document that a dictionary may learn from, and bytes of a dictionary.
@@ -127,6 +129,7 @@ def score_udf(model: Model):
 
 def score_quality(documents: DataFrame, labelled: DataFrame, text: Column | None = None, threshold: float = 0.7) -> DataFrame:
     """``documents`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    ship(documents.sparkSession)
     score = score_udf(fit(labelled))
     scored = documents.withColumn("score", score(F.col("text") if text is None else text))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

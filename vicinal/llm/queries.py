@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, url_filter
+from . import line_dedup, mixing, ngram_join, quality, url_filter
 from .common import crc_of_id, table
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -30,6 +30,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents, MIN_SITES).select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the label of its id: bad when of low quality or toxic."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -52,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
     "op10_quality": op10_quality,
 }
