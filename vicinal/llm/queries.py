@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality, url_filter
+from . import line_dedup, mixing, ngram_join, packing, quality, url_filter
 from .common import crc_of_id, table
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -21,10 +21,21 @@ URL_RULES: tuple[url_filter.Rule, ...] = (
 MIN_SITES = 10
 
 
+def tokenizer_path(name: str) -> str:
+    """Of a public tokenizer file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(documents, MIN_SITES).select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
@@ -55,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_pack": op3_pack,
     "op5_line_dedup": op5_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
