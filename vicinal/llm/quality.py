@@ -13,12 +13,13 @@ share of label 1. Repeated rows and extra columns do not matter; null ids take n
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -73,12 +74,22 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def sample(labelled: DataFrame, label: str, per_class: int) -> list:
-    """At most ``per_class`` rows of each label, the first by hash of the text: the same on each run."""
-    rows = []
+def sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> list:
+    """(text, label) of at most so many labelled documents of value 0 and 1, the first by hash of the id:
+    the same on each run. Ids are chosen first, so of the texts only those chosen leave their tasks."""
+    spark = documents.sparkSession
+    there = documents.where("text is not null").select("doc_id")
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).join(there, "doc_id", "left_semi").select("doc_id", label)
+    chosen = []
     for value in (0, 1):
-        rows += labelled.where(F.col(label) == value).select("text", label).orderBy(F.xxhash64("text"), "text").limit(per_class).collect()
-    return rows
+        chosen += known.where(F.col(label) == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[value]).collect()
+    ids = F.broadcast(spark.createDataFrame(chosen, known.schema))  # sum(most) rows at most
+    rows = documents.where("text is not null").join(ids, "doc_id").select("text", label).collect()
+    return sorted(rows, key=lambda r: (r[1], zlib.crc32(r[0].encode()), r[0]))
+
+
+def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    return {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -94,14 +105,14 @@ def dictionary(texts: list[str]) -> bytes:
         return b"\n".join(parts)[-DICTIONARY_BYTES:]
 
 
-def fit(labelled: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
-    """From rows of text and quality (0 or 1; others are left out), of which a bounded sample is used."""
-    rows = sample(labelled.where("text is not null"), "quality", per_class)
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
+    """From documents (doc_id, text) and labels (doc_id, quality: 0 or 1, others are left out), of which a bounded sample is used."""
+    rows = sample(documents, labels, "quality", (per_class, per_class))
     good, bad = ([r["text"] for r in rows if r["quality"] == v] for v in (1, 0))
     if len(good) < 4 or len(bad) < 4:
         share = (len(good) + 1) / (len(good) + len(bad) + 2)
         return Model(b"", b"", [math.log(share / (1 - share))] + [0.0] * 4, [0.0] * 4, [1.0] * 4)
-    counts = {r["quality"]: r["count"] for r in labelled.where("text is not null").groupBy("quality").count().collect()}
+    counts = class_counts(labels, "quality")
     half = lambda v: (v[::2], v[1::2])
     (good_d, good_c), (bad_d, bad_c) = half(good), half(bad)
     model = Model(dictionary(good_d), dictionary(bad_d), [], [], [])
@@ -127,9 +138,9 @@ def score_udf(model: Model):
     return score
 
 
-def score_quality(documents: DataFrame, labelled: DataFrame, text: Column | None = None, threshold: float = 0.7) -> DataFrame:
-    """``documents`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``documents`` with score (0 to 1) and predicted (1 from ``threshold`` on), learnt from ``labels`` (doc_id, quality)."""
     ship(documents.sparkSession)
-    score = score_udf(fit(labelled))
-    scored = documents.withColumn("score", score(F.col("text") if text is None else text))
+    score = score_udf(fit(documents, labels))
+    scored = documents.withColumn("score", score("text"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -56,15 +56,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
-def training_rows(spark: SparkSession, sf_dir: str, folds: int, held_out: int) -> DataFrame:
-    """Labelled documents outside the held-out fold: text, quality, toxic."""
-    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & (crc_of_id() % folds != held_out))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "quality", "toxic")
+def training_labels(spark: SparkSession, sf_dir: str, folds: int, held_out: int) -> DataFrame:
+    """Labels of the documents outside the held-out fold."""
+    return table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & (crc_of_id() % folds != held_out))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality.score_quality(documents, training_rows(spark, sf_dir, 4, 2))
+    scored = quality.score_quality(documents, training_labels(spark, sf_dir, 4, 2))
     return scored.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", "predicted")
 
 
