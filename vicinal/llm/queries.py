@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, line_dedup, mixing, ngram_join, packing, quality, url_filter
+from . import fingerprint, html_text, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filter
 from .common import crc_of_id, table
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -40,6 +40,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(documents, MIN_SITES).select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
@@ -61,6 +65,12 @@ def training_labels(spark: SparkSession, sf_dir: str, folds: int, held_out: int)
     return table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & (crc_of_id() % folds != held_out))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(documents, training_labels(spark, sf_dir, 5, 0))
+    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(documents, training_labels(spark, sf_dir, 4, 2))
@@ -71,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
     "op3_pack": op3_pack,
+    "op4_main_text": op4_main_text,
     "op5_line_dedup": op5_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
