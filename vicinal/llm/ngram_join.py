@@ -8,8 +8,8 @@ by that exact sum alone.
 
 Documents with equal sets are one node. A group of near copies is not expanded into all pairs: first
 every node of a block (nodes that share a prefix gram) is compared with the block's least node; then
-only pairs whose nodes are not yet connected are compared, each once, at the first prefix gram that they
-share. So no link between different components is lost, and pairs inside one need not be known.
+only pairs whose nodes are not yet connected are compared. So no link between different components is lost, and pairs inside one need not be known. Before
+whole sets are compared, a pair's common prefix grams must allow the overlap that it needs.
 
 Defined results: words are runs of characters other than space and \\t \\n \\v \\f \\r; A-Z are
 lower-cased. A text of fewer than ``k`` words is one gram, the whole sequence. Null, empty and blank texts have
@@ -35,7 +35,7 @@ from .kernels import U, mix, shingle_sets, texts_of
 COUNT_AT_ONCE = 4_000_000
 #: A gram is frequent from this count on, or from a higher one, at which there can't be more than MAX_FREQUENT.
 #: The latter is the proven bound of what is sent to every task: 12 bytes each.
-MIN_FREQUENT, MAX_FREQUENT = 64, 1_000_000
+MIN_FREQUENT, MAX_FREQUENT = 4, 4_000_000
 #: Of the global order: FRAGMENTS - 1 of ranges of hashes, the last of the frequent grams.
 FRAGMENTS = 9
 #: Ids of candidates that may be sent to every task, 8 bytes each; above it their sets are joined.
@@ -169,46 +169,66 @@ def _segments(documents: DataFrame, nodes: DataFrame, k: int, frequent) -> DataF
     return materialise(cuts.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
 
 
+def _allowed(a: str, b: str, num: int, den: int):
+    """Whether nodes a and b (n, prefix) can reach the threshold. Beyond the prefix that ends first in the global
+    order, they can have no more in common than what its set has left there."""
+    both = F.size(F.array_intersect(f"{a}.prefix", f"{b}.prefix"))
+    left = lambda x: F.col(f"{x}.n") - F.size(f"{x}.prefix")
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)) & ((num + den) * (both + F.greatest(left(a), left(b))) >= num * (n_a + n_b))
+
+
 def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted by fragment and summed, reach the threshold."""
     a = segments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "f", F.col("grams").alias("of_a"))
     b = segments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "f", F.col("grams").alias("of_b"))
-    sizes = segments.select("node", "n").distinct()
-    fits = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
-    fits = fits.where(den * F.least("_na", "_nb") >= num * F.greatest("_na", "_nb")).select("a", "b")
-    parts = fits.join(b, "b").join(a, ["a", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
-    whole = parts.groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    parts = pairs.join(b, "b").join(a, ["a", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    whole = parts.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     return whole.where((num + den) * F.col("both") >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``documents`` (doc_id, text): documents are
     linked when den * common grams >= num * grams of either."""
     ship(documents.sparkSession)
     frequent = frequent_grams(documents, k)
     docs = materialise(_prefixes(documents, k, num, den, frequent))
-    nodes = docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialise(docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     grams = nodes.select("node", F.explode("prefix").alias("h"))
-    blocks = grams.groupBy("h").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("h", "leader")
-    members = materialise(grams.join(blocks, "h"))
-    inside = members.select("node").distinct()
-    segments = _segments(documents, inside, k, frequent)
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    shared = grams.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
+    members = materialise(grams.join(shared, "h"))
+    leaders = members.groupBy("h").agg(F.min("node").alias("leader"))
+    stars = members.join(leaders, "h").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+    def close(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(nodes.alias("x"), F.expr("a = x.node")).join(nodes.alias("y"), F.expr("b = y.node"))
+        return found.where(_allowed("x", "y", num, den)).select("a", "b")
+
+    stars = materialise(close(stars))
+    ends = materialise(_ends(stars))
+    segments = _segments(documents, ends, k, frequent)
     found = materialise(_links(stars, segments, num, den))
     labels = components(found)
     # blocks in which not all nodes are connected yet
     labelled = members.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    info = nodes.join(inside, "node", "left_semi")
-    rest = materialise(labelled.join(mixed, "h", "left_semi").join(info, "node"))
-    place = lambda x: f"(array_position({x}.prefix, x.h) - 1)"
-    pairs = rest.alias("x").join(
+    rest = labelled.join(mixed, "h", "left_semi").join(nodes, "node")
+    rest = materialise(rest.select("h", "node", "label", "n", (F.array_position("prefix", F.col("h")) - 1).alias("at")))
+    # at the first gram that two sets share, what is left of either must allow the overlap that they need
+    open_pairs = rest.alias("x").join(
         rest.alias("y"),
         F.expr("x.h = y.h and x.node < y.node and x.label <> y.label")
         & F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-        & F.expr(f"{num + den} * least(x.n - {place('x')}, y.n - {place('y')}) >= {num} * (x.n + y.n)")
-        & F.expr("array_intersect(x.prefix, y.prefix)[0] = x.h"),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        & F.expr(f"{num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)"),
+    )
+    pairs = materialise(close(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+    new = materialise(_ends(pairs).join(ends, "node", "left_anti"))
+    if not new.isEmpty():
+        segments = segments.unionByName(_segments(documents, new, k, frequent))
     more = materialise(_links(pairs, segments, num, den))
     if not more.isEmpty():
         labels = components(found.unionByName(more))
