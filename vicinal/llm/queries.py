@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filter
+from . import fingerprint, html_text, knn_join, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filter
 from .common import crc_of_id, table
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -49,6 +49,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents, MIN_SITES).select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_main_text": op4_main_text,
     "op5_line_dedup": op5_line_dedup,
+    "op6_top_k": op6_top_k,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
@@ -134,6 +139,16 @@ marked AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT goes), '') AS text,
   count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_removed
 FROM marked GROUP BY doc_id
+""",
+    "op6_top_k": r"""
+WITH whole AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole q JOIN whole v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.x) = len(v.x)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """,
     "op8_url_filter": r"""
 WITH cut AS (
