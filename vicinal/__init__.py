@@ -1,0 +1 @@
+"""Similarity-based scoring of transactions on Spark."""
