@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words in every contract here: space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from vicinal.shipping import ship
 
-_shipped: set[str] = set()
+__all__ = ["WORD", "crc_of_id", "materialise", "shared_dir", "ship", "table"]
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may run where it isn't installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = os.path.realpath(tempfile.mkdtemp(prefix="vicinal-")) + f"/{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+#: White space that separates words in every contract here: space and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
