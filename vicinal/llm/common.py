@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vicinal.shipping import ship
 
-__all__ = ["WORD", "crc_of_id", "materialise", "shared_dir", "ship", "table"]
+__all__ = ["WORD", "crc_of_id", "materialise", "release", "shared_dir", "ship", "table"]
 
 #: White space that separates words in every contract here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +44,19 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *written: DataFrame) -> None:
+    """Free the disk of what is done: tables from ``materialise`` that nothing reads any more, and the shuffle files
+    of finished queries, which Spark drops when the driver's garbage is collected."""
+    jvm = spark.sparkContext._jvm
+    for df in written:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/vicinal-" in path:
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ reaches k times, and a row is needed by the group only if p.v + u |v| reaches it
 from summaries: each task sends its k best least scores for each group. Needed rows are
 replicated to the groups, which are cut into blocks and solved by a matrix product; blocks' best k are merged.
 
-Scores are whole numbers and exact; bounds are computed in floating point and moved outwards by more than their
+Scores are whole numbers that must fit into a long, and exact; bounds are computed in floating point and moved outwards by more than their
 error, so no row that counts is lost.
 
 Defined results: vectors that are null, empty, or hold a null or a number that isn't finite take no part, nor

@@ -9,8 +9,7 @@ that nothing goes from the corpus altogether and the first of many copies stays
 Defined results: a line is its text without spaces, tabs and carriage returns around it; blank lines
 always stay. A null site is none. Null text stays null. Documents left without lines stay, with empty text.
 The first document is the one with the smallest id; rows with a null id keep their lines only if all such rows have null ids.
-Rows that repeat an id and text are treated alike. Other columns are kept; names beginning with an underscore and ``ld_`` are
-reserved.
+Rows that repeat an id and text are treated alike. Other columns are kept; names beginning with ``__ld`` are reserved.
 """
 
 from __future__ import annotations
@@ -58,12 +57,12 @@ def dedup_lines(documents: DataFrame, min_sites: int = 10, site: str = "source")
     """
     from .common import materialise
 
-    keyed = documents.withColumn("_text", F.xxhash64("text"))
+    keyed = documents.withColumn("__ld_text", F.xxhash64("text"))
     known = materialise(boilerplate(documents, min_sites, site))
-    found = lines_of(keyed, "doc_id", "_text").join(known, "_hash").where(~F.col("doc_id").eqNullSafe(F.col("_first")))
-    places = found.groupBy("doc_id", "_text").agg(F.collect_set("_at").alias("_places")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "_places")
-    joined = keyed.join(places, F.expr("doc_id <=> _id and _text = _of"), "left")
+    found = lines_of(keyed, "doc_id", "__ld_text").join(known, "_hash").where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+    places = found.groupBy("doc_id", "__ld_text").agg(F.collect_set("_at").alias("__ld_places")).select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text").alias("__ld_of"), "__ld_places")
+    joined = keyed.join(places, F.expr("doc_id <=> __ld_id and __ld_text = __ld_of"), "left")
     lines = F.split("text", "\n", -1)
-    rest = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_places"), i))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    return joined.withColumns({"text": text, "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.greatest(F.coalesce(F.size("_places"), F.lit(0)), F.lit(0))}).drop("_text", "_id", "_of", "_places")
+    rest = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__ld_places"), i))
+    text = F.when(F.col("__ld_places").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return joined.withColumns({"text": text, "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.greatest(F.coalesce(F.size("__ld_places"), F.lit(0)), F.lit(0))}).drop("__ld_text", "__ld_id", "__ld_of", "__ld_places")

@@ -15,7 +15,8 @@ together.
 
 Defined results: null or empty text has size 0. A null source is a source of its own, last in
 order. Null ids are ranked first. Repeated rows are documents of their own. A source without words has target 0 and takes nothing.
-Empty tables give empty results. Other columns are kept by ``mix``.
+Empty tables give empty results. Other columns are kept by
+``mix``; names that begin with ``__mix`` are reserved.
 """
 
 from __future__ import annotations
@@ -112,17 +113,17 @@ def plan_mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
 def mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it. Rows alike in id, source and size
     get their copies together: the total of such a group is dealt out over its rows."""
-    keyed = documents.withColumn("_size", n_words(F.col("text")))
+    keyed = documents.withColumn("__mix_size", n_words(F.col("text")))
     sized = materialise(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    dealt = copies(sized, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    alone = dealt.where("_rows = 1 and _copies > 0")
+    dealt = copies(sized, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
+    alone = dealt.where("__mix_rows = 1 and __mix_copies > 0")
     d = keyed.alias("d")
-    on = lambda x: F.expr(f"d.doc_id <=> {x}.doc_id and d.source <=> {x}.source and d._size = {x}.size")
-    kept = d.join(alone.alias("a"), on("a")).select("d.*", "a._copies")
-    shared = dealt.where("_rows > 1 and _copies > 0")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-    extra = d.join(shared.alias("a"), on("a")).select("d.*", "a._copies", "a._rows").withColumn("_turn", turn)
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_turn") <= F.col("_copies") % F.col("_rows")).cast("long")
-    extra = extra.withColumn("_copies", share).where("_copies > 0").drop("_rows", "_turn")
+    on = lambda x: F.expr(f"d.doc_id <=> {x}.doc_id and d.source <=> {x}.source and d.__mix_size = {x}.size")
+    kept = d.join(alone.alias("a"), on("a")).select("d.*", "a.__mix_copies")
+    shared = dealt.where("__mix_rows > 1 and __mix_copies > 0")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_size").orderBy("text"))
+    extra = d.join(shared.alias("a"), on("a")).select("d.*", "a.__mix_copies", "a.__mix_rows").withColumn("__mix_turn", turn)
+    share = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + (F.col("__mix_turn") <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long")
+    extra = extra.withColumn("__mix_copies", share).where("__mix_copies > 0").drop("__mix_rows", "__mix_turn")
     out = kept.unionByName(extra)
-    return out.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    return out.withColumn("__mix_one", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int")))).select(*documents.columns)

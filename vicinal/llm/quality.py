@@ -77,7 +77,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 def sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> list:
     """(text, label) of at most so many labelled documents of value 0 and 1, the first by hash of the id:
     the same on each run. Ids are chosen first, so of the texts only those chosen leave their tasks."""
-    spark = documents.sparkSession
+    spark, documents = documents.sparkSession, documents.select("doc_id", "text")
     there = documents.where("text is not null").select("doc_id")
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).join(there, "doc_id", "left_semi").select("doc_id", label)
     chosen = []

@@ -9,7 +9,8 @@ bound of its share of bad pages is above ``max_bad``.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 gets the reputation of the empty host. Null outcomes do not count. Repeated rows count each time.
-An empty table gives an empty result. Extra columns are ignored by the counting and kept.
+An empty table gives an empty result. Extra columns are kept, but those named like a result's are replaced, and names that
+begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -96,11 +97,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], ma
     a host without any is as its domain's prior says, which alone never passes the bound.
     """
     host, path = host_and_path(F.col("url"))
-    cut = pages.withColumns({"host": host, "path": path})
+    cut = pages.drop("host", "path", "rule", "verdict", "n_labelled", "n_bad").withColumns({"host": host, "path": path})
     text, action = longest_rule(F.col("host"), F.col("path"), rules)
-    cut = cut.withColumns({"rule": text, "_by_rule": action})
+    cut = cut.withColumns({"rule": text, "__by_rule": action})
     seen = cut.select(id_column, "host").join(outcomes.select(id_column, "bad"), id_column).select("host", "bad")
-    known = reputation(seen).select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (F.col("lower") > max_bad).alias("_bad_host"))
+    known = reputation(seen).select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (F.col("lower") > max_bad).alias("__bad_host"))
     out = cut.join(known, "host", "left")
-    verdict = F.coalesce("_by_rule", F.when(F.col("_bad_host"), "block").otherwise("allow"))
-    return out.withColumns({"verdict": verdict, "n_labelled": F.coalesce("n_labelled", F.lit(0)), "n_bad": F.coalesce("n_bad", F.lit(0))}).drop("_by_rule", "_bad_host")
+    verdict = F.coalesce("__by_rule", F.when(F.col("__bad_host"), "block").otherwise("allow"))
+    return out.withColumns({"verdict": verdict, "n_labelled": F.coalesce("n_labelled", F.lit(0)), "n_bad": F.coalesce("n_bad", F.lit(0))}).drop("__by_rule", "__bad_host")
