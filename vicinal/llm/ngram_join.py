@@ -2,14 +2,16 @@
 
 All distinct n-grams have one global order: those that are frequent last, by frequency, the others
 first, by hash. Two sets that are similar enough share a gram in the first few of each (the prefix
-bound), which gives candidate pairs. The order is cut into fragments; a pair's common grams are
-counted in each fragment by itself and the partial counts are summed for each pair. A link is decided
-by that exact sum alone.
+bound), which gives candidate pairs. The order is cut into fragments, and each set with it; a pair's common
+grams are counted in each fragment by itself and the partial counts are summed for each pair. A link is
+decided by that exact sum alone.
 
 Documents with equal sets are one node. A group of near copies is not expanded into all pairs: first
-every node of a block (nodes that share a prefix gram) is compared with the block's least node; then
-only pairs whose nodes are not yet connected are compared. So no link between different components is lost, and pairs inside one need not be known. Before
-whole sets are compared, a pair's common prefix grams must allow the overlap that it needs.
+every node of a block (nodes that share a prefix gram) is compared with a few of its nodes, chosen by hash, and those that
+this leaves unconnected with a few others; then only pairs whose nodes are not yet connected are compared. So no
+link between different components is lost, and pairs inside one need not be known. Before whole sets are
+compared, a pair's common prefix grams must allow the overlap that it needs. Where many nodes of a large block are
+left, it is cut into tiles, and all pairs of two tiles are counted at once, fragment by fragment.
 
 Defined results: words are runs of characters other than space and \\t \\n \\v \\f \\r; A-Z are
 lower-cased. A text of fewer than ``k`` words is one gram, the whole sequence. Null, empty and blank texts have
@@ -24,20 +26,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, release, ship
 from .components import components
 from .kernels import U, mix, shingle_sets, texts_of
 
 #: Grams counted together in a task before counts of one are dropped. Only the order hangs on it.
 COUNT_AT_ONCE = 4_000_000
-#: A gram is frequent from this count on, or from a higher one, at which there can't be more than MAX_FREQUENT.
-#: The latter is the proven bound of what is sent to every task: 12 bytes each.
+#: A gram is frequent from the least count on, but not below MIN_FREQUENT, at which no more than MAX_FREQUENT grams are: these
+#: are sent to every task, 12 bytes each.
 MIN_FREQUENT, MAX_FREQUENT = 4, 4_000_000
 #: Of the global order: FRAGMENTS - 1 of ranges of hashes, the last of the frequent grams.
-FRAGMENTS = 9
+FRAGMENTS = 5
+#: Nodes of each block that its others are compared with first.
+LEADERS = 4
+#: Times that this is done, with other nodes each time.
+TURNS = 3
+#: Nodes of a tile, and of the largest block that is compared pair by pair.
+TILE = 64
 #: Ids of candidates that may be sent to every task, 8 bytes each; above it their sets are joined.
 MAX_SENT = 2_000_000
 
@@ -80,7 +88,7 @@ def frequent_grams(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
         def emit() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
             often = times > 1
-            return _emit({"h": pa.concat_arrays([_long(grams[often]), pa.array([None], pa.int64())]), "c": pa.array([*times[often].tolist(), n], pa.int64())})
+            return _emit({"h": _long(grams[often]), "c": _long(times[often])})
 
         for batch in batches:
             for s in _sets(batch, k):
@@ -91,10 +99,19 @@ def frequent_grams(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
                     held, n = [], 0
         yield emit()
 
-    counts = materialise(documents.select("text").mapInArrow(count, "h long, c long"))
-    total = counts.where("h is null").agg(F.sum("c")).first()[0] or 0
-    least = max(MIN_FREQUENT, -(-total // MAX_FREQUENT))
-    found = counts.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()
+    # a task that sees more text sees more repeats; up to eight small partitions are read by one, if all cores stay busy
+    parts = documents.rdd.getNumPartitions()
+    texts = documents.select("text").coalesce(max(1, min(parts, max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-parts // 8)))))
+    counts = texts.mapInArrow(count, "h long, c long")
+    counts = materialise(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_FREQUENT))
+    # a row for each doubling of the count
+    doubling = F.floor(F.log2(F.col("c") / MIN_FREQUENT)).cast("int")
+    sizes = {r["d"]: r["n"] for r in counts.groupBy(doubling.alias("d")).agg(F.count("*").alias("n")).collect()}
+    least, total = max(sizes, default=0) + 1, 0
+    while least > 0 and total + sizes.get(least - 1, 0) <= MAX_FREQUENT:
+        least -= 1
+        total += sizes.get(least, 0)
+    found = counts.where(doubling >= least).toPandas()
     grams, c = found["h"].to_numpy(np.int64).view(U), found["c"].to_numpy(np.int64)
     by = np.argsort(grams)
     grams, c = grams[by], c[by]
@@ -140,7 +157,7 @@ def _prefixes(documents: DataFrame, k: int, num: int, den: int, frequent) -> Dat
 
 
 def _segments(documents: DataFrame, nodes: DataFrame, k: int, frequent) -> DataFrame:
-    """node, n, f, grams: the sets of ``nodes``, cut into fragments of the global order."""
+    """node, n, parts: the sets of ``nodes``, each cut into the fragments of the global order."""
     spark = documents.sparkSession
     few = nodes.count() <= MAX_SENT
     ids = np.sort(nodes.toPandas()["node"].to_numpy(np.int64)) if few else None
@@ -150,7 +167,7 @@ def _segments(documents: DataFrame, nodes: DataFrame, k: int, frequent) -> DataF
         wanted, often = sent.value
         done: set[int] = set()
         for batch in batches:
-            node, n, f, parts = [], [], [], []
+            node, n, parts = [], [], []
             for grams in _sets(batch, k):
                 if not len(grams) or (x := node_of(grams)) in done:
                     continue
@@ -159,14 +176,15 @@ def _segments(documents: DataFrame, nodes: DataFrame, k: int, frequent) -> DataF
                 if len(done) < 1_000_000:
                     done.add(x)
                 part = np.where(places(grams, often) > 0, FRAGMENTS - 1, (grams >> U(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
-                for g in np.unique(part).tolist():
-                    node.append(x), n.append(len(grams)), f.append(g), parts.append(grams[part == g])
-            yield _emit({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "f": pa.array(f, pa.int32()), "grams": _lists(parts)})
+                node.append(x), n.append(len(grams))
+                parts += [grams[part == f] for f in range(FRAGMENTS)]
+            cuts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, FRAGMENTS), pa.int32()), _lists(parts))
+            yield _emit({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "parts": cuts})
 
-    cuts = documents.select("text").mapInArrow(cut, "node long, n long, f int, grams array<long>")
+    cuts = documents.select("text").mapInArrow(cut, "node long, n long, parts array<array<long>>")
     if not few:
         cuts = cuts.join(nodes, "node", "left_semi")
-    return materialise(cuts.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
+    return materialise(cuts.groupBy("node").agg(F.first("n").alias("n"), F.first("parts").alias("parts")))
 
 
 def _allowed(a: str, b: str, num: int, den: int):
@@ -179,59 +197,139 @@ def _allowed(a: str, b: str, num: int, den: int):
 
 
 def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose overlaps, counted by fragment and summed, reach the threshold."""
-    a = segments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "f", F.col("grams").alias("of_a"))
-    b = segments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "f", F.col("grams").alias("of_b"))
-    parts = pairs.join(b, "b").join(a, ["a", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
-    whole = parts.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    return whole.where((num + den) * F.col("both") >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    """The pairs (a, b) whose overlaps, counted in each fragment by itself and summed, reach the threshold."""
+    a = segments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("of_a"))
+    b = segments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("of_b"))
+    counts = F.zip_with("of_a", "of_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    both = F.aggregate(counts, F.lit(0), lambda total, x: total + x)
+    return pairs.join(b, "b").join(a, "a").where((num + den) * both >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def _tiles_of(large: DataFrame) -> DataFrame:
+    """node, label, home, tile: each node's largest block, and its part of that block, of about TILE nodes. A block's commonest
+    label has tiles of its own, which need not meet each other."""
+    home = large.groupBy("node", "label").agg(F.max(F.struct("size", "h", "main", "of_main")).alias("m")).select("node", "label", "m.*")
+    is_main = F.col("label") == F.col("main")
+    parts = F.when(is_main, F.ceil(F.col("of_main") / TILE)).otherwise(F.greatest(F.ceil((F.col("size") - F.col("of_main")) / TILE), F.lit(1)))
+    tile = F.xxhash64("h", is_main, F.pmod(F.xxhash64("node"), parts))
+    return home.select("node", "label", F.col("h").alias("home"), tile.alias("tile"))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The pairs of tiles (s, t) with nodes of unlike labels that share a block; ``rows``: h, node, label, tile."""
+    there = rows.groupBy("h", "tile").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    return there.alias("s").join(there.alias("t"), F.expr("s.h = t.h and s.tile <= t.tile and least(s.x, t.x) <> greatest(s.y, t.y)")).select(F.col("s.tile").alias("s"), F.col("t.tile").alias("t")).distinct()
+
+
+def _tile_links(tiles: DataFrame, tile_of: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """The links (a, b) between nodes of unlike labels in two tiles. For each fragment the common grams of all nodes of one tile and
+    all of the other are counted by a matrix product, and the counts are summed over the fragments."""
+    held = tile_of.join(segments, "node").select("tile", "node", "label", "n", "parts")
+    side = lambda key: tiles.join(held, F.col(key) == F.col("tile")).select(*[F.col(c).alias(f"{key}_{c}") for c in ("s", "t", "node", "label", "n", "parts")])
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["s", "t", "node", "label", "n", "parts"]
+        x, y = x.rename_columns(names), y.rename_columns(names)
+        a, b = x.num_rows, y.num_rows
+        if not a or not b:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = np.zeros((a, b))
+        rows = [[[np.asarray(part, np.int64) for part in r] for r in z.column("parts").to_pylist()] for z in (x, y)]
+        for f in range(FRAGMENTS):
+            grams = [np.concatenate([r[f] for r in each]) for each in rows]
+            shared = np.intersect1d(*grams)
+            ones = []
+            for each, all_grams in zip(rows, grams, strict=True):
+                owner = np.repeat(np.arange(len(each)), [len(r[f]) for r in each])
+                at = np.searchsorted(shared, all_grams)
+                at[at == len(shared)] = 0
+                hit = shared[at] == all_grams if len(shared) else np.zeros(len(all_grams), bool)
+                m = np.zeros((len(each), len(shared)), np.float32)
+                m[owner[hit], at[hit]] = 1
+                ones.append(m)
+            both += ones[0] @ ones[1].T
+        node, label, n = ([z.column(c).to_numpy() for z in (x, y)] for c in ("node", "label", "n"))
+        i, j = np.nonzero(((num + den) * both >= num * (n[0][:, None] + n[1][None])) & (label[0][:, None] != label[1][None]))
+        return pa.table({"a": _long(node[0][i]), "b": _long(node[1][j])})
+
+    return side("s").groupBy("s_s", "s_t").cogroup(side("t").groupBy("t_s", "t_t")).applyInArrow(count, "a long, b long")
+
+
 def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``documents`` (doc_id, text): documents are
     linked when den * common grams >= num * grams of either."""
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     frequent = frequent_grams(documents, k)
-    docs = materialise(_prefixes(documents, k, num, den, frequent))
-    nodes = materialise(docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    grams = nodes.select("node", F.explode("prefix").alias("h"))
-    shared = grams.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
+    whole = materialise(_prefixes(documents, k, num, den, frequent))
+    nodes = materialise(whole.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    docs = materialise(whole.select("doc_id", "n", "node"))
+    release(spark, whole)
+    grams = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
+    shared = grams.select("h").groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
     members = materialise(grams.join(shared, "h"))
-    leaders = members.groupBy("h").agg(F.min("node").alias("leader"))
-    stars = members.join(leaders, "h").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    release(spark)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(nodes.alias("x"), F.expr("a = x.node")).join(nodes.alias("y"), F.expr("b = y.node"))
-        return found.where(_allowed("x", "y", num, den)).select("a", "b")
+    def may(a: str, b: str) -> Column:
+        """At the first gram that two sets share, what is left of either must allow the overlap that they need."""
+        return F.expr(f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * least({a}.n - {a}.at, {b}.n - {b}.at) >= {num} * ({a}.n + {b}.n)")
 
-    stars = materialise(close(stars))
-    ends = materialise(_ends(stars))
+    def close(pairs: DataFrame) -> DataFrame:
+        found = pairs.distinct().join(nodes.alias("x"), F.expr("a = x.node")).join(nodes.alias("y"), F.expr("b = y.node"))
+        return materialise(found.where(_allowed("x", "y", num, den)).select("a", "b"))
+
+    def stars(rows: DataFrame, turn: int) -> DataFrame:
+        """Each row (h, node, label, n, at) with a few rows of its block, which the turn and the gram choose by hash."""
+        turns = rows.withColumn("turn", F.explode(F.array(*[F.lit(turn * LEADERS + i) for i in range(LEADERS)])))
+        first = turns.groupBy("h", "turn").agg(F.min(F.struct(F.xxhash64("h", "node", "turn"), "node", "label", "n", "at")).alias("first"))
+        first = first.select("h", "first.node", "first.label", "first.n", "first.at").distinct()
+        met = rows.alias("x").join(first.alias("y"), F.expr("x.h = y.h and x.label <> y.label") & may("x", "y"))
+        return close(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+
+    def unconnected(links: DataFrame) -> DataFrame:
+        """The rows of blocks in which not all nodes are connected yet, with their labels."""
+        labelled = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+        return materialise(labelled.join(mixed, "h", "left_semi"))
+
+    pairs = stars(members.withColumn("label", F.col("node")), 0)
+    release(spark)
+    ends = materialise(_ends(pairs))
     segments = _segments(documents, ends, k, frequent)
-    found = materialise(_links(stars, segments, num, den))
-    labels = components(found)
-    # blocks in which not all nodes are connected yet
-    labelled = members.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    rest = labelled.join(mixed, "h", "left_semi").join(nodes, "node")
-    rest = materialise(rest.select("h", "node", "label", "n", (F.array_position("prefix", F.col("h")) - 1).alias("at")))
-    # at the first gram that two sets share, what is left of either must allow the overlap that they need
-    open_pairs = rest.alias("x").join(
-        rest.alias("y"),
-        F.expr("x.h = y.h and x.node < y.node and x.label <> y.label")
-        & F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-        & F.expr(f"{num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)"),
+    links = materialise(_links(pairs, segments, num, den))
+    release(spark)
+    rest = unconnected(links)
+    for turn in range(1, TURNS):
+        # of nodes whose sets are at hand; the others' turn comes below
+        pairs = stars(rest, turn)
+        for x in ("a", "b"):
+            pairs = pairs.join(ends.withColumnRenamed("node", x), x, "left_semi")
+        more = materialise(_links(pairs, segments, num, den))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        rest = unconnected(links)
+    # what is left: small blocks pair by pair, large ones tile by tile
+    sizes = rest.groupBy("h", "label").agg(F.count("*").alias("of_label")).groupBy("h").agg(F.sum("of_label").alias("size"), F.max_by("label", "of_label").alias("main"), F.max("of_label").alias("of_main"))
+    sizes = materialise(sizes)
+    tile_of = materialise(_tiles_of(rest.join(sizes.where(F.col("size") > TILE), "h")))
+    small = rest.join(sizes.where(F.col("size") <= TILE).select("h"), "h", "left_semi").join(tile_of.select("node", "home"), "node", "left")
+    pairs = small.alias("x").join(
+        small.alias("y"), F.expr("x.h = y.h and x.node < y.node and x.label <> y.label and coalesce(x.home <> y.home, true)") & may("x", "y")
     )
-    pairs = materialise(close(open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
-    new = materialise(_ends(pairs).join(ends, "node", "left_anti"))
+    pairs = close(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    tiles = materialise(_meeting(rest.select("h", "node").join(tile_of, "node")))
+    release(spark, members)
+    new = materialise(_ends(pairs).unionByName(tile_of.select("node")).distinct().join(ends, "node", "left_anti"))
     if not new.isEmpty():
         segments = segments.unionByName(_segments(documents, new, k, frequent))
-    more = materialise(_links(pairs, segments, num, den))
-    if not more.isEmpty():
-        labels = components(found.unionByName(more))
+    more = materialise(_links(pairs, segments, num, den).unionByName(_tile_links(tiles, tile_of, segments, num, den)))
+    release(spark, nodes, segments, rest)
+    labels = components(links.unionByName(more))
     least = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("component"))
     of_node = least.join(labels.join(of_label, "label").select("node", "component"), "node", "left").select(F.col("node").alias("_node"), F.coalesce("component", "least").alias("component"))
