@@ -98,41 +98,61 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(documents: DataFrame) -> tuple[DataFrame, int]:
+def with_next(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, text, _guest) in ranges of ids, a partition each, sorted; _guest marks the row that
     follows a range's last one and belongs to another range. The text is shuffled once.
 
-    Only as many ids as there are ranges come to the driver: their bounds and largest ids.
+    Only the ranges' bounds and largest ids come to the driver, and go from there to every task: 24 bytes for each range of
+    ``RANGE`` rows or more.
     """
-    ids = documents.select("doc_id")
+    spark, ids = documents.sparkSession, documents.select("doc_id")
     n = ids.count()
     ranges = max(1, -(-n // RANGE), documents.rdd.getNumPartitions())
-    cuts = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 and n else []
-    cuts = [int(c) for c in cuts]
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-
-    def range_of(c):
-        # binary search by nested conditions would be deep; a few hundred bounds are compared at once
-        return F.size(F.filter(bounds, lambda x: x < c)) if cuts else F.lit(0)
-
-    in_range = F.coalesce(F.when(F.col("doc_id").isNotNull(), range_of(F.col("doc_id"))), F.lit(0))
-    heads = {r["_range"]: r["m"] for r in ids.select("doc_id", in_range.alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("m")).collect()}
-    there = sorted(heads)
-    host = {r: there[(i + 1) % len(there)] for i, r in enumerate(there)}
-    width = len(cuts) + 1
-    of = lambda d, kind: F.element_at(F.array(*[F.lit(d.get(i)).cast(kind) for i in range(width)]), F.col("_range") + 1)
-    rows = documents.select("doc_id", "text", in_range.alias("_range"), F.xxhash64("text").alias("_hash"))
-    rows = rows.withColumn("_visits", F.when(F.col("doc_id").eqNullSafe(of(heads, "long")), of(host, "int")))
-    rows = rows.withColumn("_part", F.explode(F.array_compact(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest")), F.when(F.col("_visits").isNotNull(), F.struct(F.col("_visits").alias("at"), F.lit(1).alias("guest")))))))
-    rows = rows.select("doc_id", "text", "_hash", F.col("_part.at").alias("_at"), F.col("_part.guest").alias("_guest"))
-    dealt = rows.repartitionById(width, F.col("_at"))
-    return dealt.sortWithinPartitions(F.col("_guest"), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc()).select("doc_id", "text", "_guest"), width
+    cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 and n else []
+    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
+    sent = spark.sparkContext.broadcast(bounds)
+
+    def in_range(values: pa.Array, bounds: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(bounds, values.fill_null(0).to_numpy(zero_copy_only=False))
+        return np.where(values.is_null().to_numpy(zero_copy_only=False), 0, at)  # null ids come last
+
+    @F.arrow_udf("int")
+    def range_of(values: pa.Array) -> pa.Array:
+        return pa.array(in_range(values, sent.value), pa.int32())
+
+    largest = ids.select(F.col("doc_id").cast("long").alias("doc_id"), range_of(F.col("doc_id").cast("long")).alias("r")).groupBy("r").agg(F.max("doc_id").alias("m"))
+    found = {r["r"]: r["m"] for r in largest.toArrow().to_pylist()}
+    there = sorted(found)
+    # the first row of a range is what follows the last one of the range above; the very first follows the very last
+    host = np.full(len(bounds) + 1, -1, np.int32)
+    host[there] = there[1:] + there[:1]
+    top = np.array([found.get(r) or 0 for r in range(len(bounds) + 1)], np.int64)
+    bare = np.array([r in found and found[r] is None for r in range(len(bounds) + 1)])
+    told = spark.sparkContext.broadcast((bounds, host, top, bare))
+
+    @F.arrow_udf("array<struct<at:int,guest:int>>")
+    def places(values: pa.Array) -> pa.Array:
+        bounds, host, top, bare = told.value
+        r = in_range(values, bounds)
+        null = values.is_null().to_numpy(zero_copy_only=False)
+        visits = np.where(null, bare[r], ~bare[r] & (values.fill_null(0).to_numpy(zero_copy_only=False) == top[r]))
+        at = np.repeat(r, 1 + visits)
+        ends = np.concatenate([[0], np.cumsum(1 + visits)])
+        guest = np.zeros(len(at), np.int32)
+        second = ends[1:][visits] - 1
+        guest[second], at[second] = 1, host[r[visits]]
+        items = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(guest, pa.int32())], names=["at", "guest"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.explode(places(F.col("doc_id").cast("long"))).alias("_p"))
+    dealt = rows.select("doc_id", "text", "_hash", F.col("_p.at").alias("_at"), F.col("_p.guest").alias("_guest")).repartitionById(len(bounds) + 1, F.col("_at"))
+    return dealt.sortWithinPartitions(F.col("_guest"), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc()).select("doc_id", "text", "_guest")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     ship(documents.sparkSession)
-    rows, _ = with_next(documents)
+    rows = with_next(documents)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
