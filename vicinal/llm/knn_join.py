@@ -133,8 +133,19 @@ def _top_k_of_length(rows: DataFrame, k: int) -> DataFrame:
         bound[r["g"]] = r["least"]
     told_bound = spark.sparkContext.broadcast(bound)
     query_blocks = np.array([max(1, -(-size[g][0] // QUERY_BLOCK)) for g in groups])
-    n_rows = rows.count()
-    row_blocks = max(1, -(-n_rows // ROW_BLOCK))
+
+    def count_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, u = told.value
+        total = np.zeros(len(u), np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += (bounds(as_matrix(b.column("x")).astype(np.float64), c, u)[1] >= told_bound.value[None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(u)), pa.int32()), pa.array(total)], names=["g", "n"])
+
+    # each group is cut into blocks by what it needs
+    row_blocks = np.ones(len(groups), np.int64)
+    for r in rows.select("x").mapInArrow(count_needed, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        row_blocks[r["g"]] = max(1, -(-r["n"] // ROW_BLOCK))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, u = told.value
@@ -147,15 +158,15 @@ def _top_k_of_length(rows: DataFrame, k: int) -> DataFrame:
                 at = np.flatnonzero(needed[:, g])
                 for q in range(query_blocks[g] if len(at) else 0):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), g), pa.int32()), pa.array(np.full(len(at), q), pa.int32()), pa.array(ids[at] % row_blocks, pa.int32()), b.column("id").take(pa.array(at)), b.column("x").take(pa.array(at))],
+                        [pa.array(np.full(len(at), g), pa.int32()), pa.array(np.full(len(at), q), pa.int32()), pa.array(ids[at] % row_blocks[g], pa.int32()), b.column("id").take(pa.array(at)), b.column("x").take(pa.array(at))],
                         names=["g", "q", "s", "id", "x"],
                     )
 
     number = {g: i for i, g in enumerate(groups)}
     place_of = F.element_at(F.array(*[F.lit(number.get(i, -1)) for i in range(len(pivots))]), F.col("g") + 1)
-    blocks_of = F.element_at(F.array(*[F.lit(int(v)) for v in query_blocks]), F.col("g") + 1)
-    asked = queries.select("id", "x", place_of.alias("g")).withColumn("q", F.pmod(F.xxhash64("id"), blocks_of).cast("int"))
-    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).select("g", "q", "s", "id", "x")
+    of_group = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("g") + 1)
+    asked = queries.select("id", "x", place_of.alias("g")).withColumn("q", F.pmod(F.xxhash64("id"), of_group(query_blocks)).cast("int"))
+    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), of_group(row_blocks - 1)))).select("g", "q", "s", "id", "x")
     needed = rows.select("id", "x").mapInArrow(replicate, "g int, q int, s int, id long, x array<long>")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
