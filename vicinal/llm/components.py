@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -39,7 +39,9 @@ def components(links: DataFrame) -> DataFrame:
     sign = _sign(edges)
     while sign[0]:
         grown = _star(_both(edges), True).where("x <> y").distinct()
+        before = edges
         edges = materialise(_star(_both(grown.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))), False).where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        release(links.sparkSession, before)
         if (new := _sign(edges)) == sign:
             break
         sign = new

@@ -7,8 +7,8 @@ grams are counted in each fragment by itself and the partial counts are summed f
 decided by that exact sum alone.
 
 Documents with equal sets are one node. A group of near copies is not expanded into all pairs: first
-every node of a block (nodes that share a prefix gram) is compared with a few of its nodes, chosen by hash, and those that
-this leaves unconnected with a few others; then only pairs whose nodes are not yet connected are compared. So no
+every node of a block (nodes that share a prefix gram) is compared with all others of a small block, or with a few of a
+larger one, chosen by hash, and those that this leaves unconnected with a few others; then only pairs whose nodes are not yet connected are compared. So no
 link between different components is lost, and pairs inside one need not be known. Before whole sets are
 compared, a pair's common prefix grams must allow the overlap that it needs. Where many nodes of a large block are
 left, it is cut into tiles, and all pairs of two tiles are counted at once, fragment by fragment.
@@ -42,8 +42,8 @@ MIN_FREQUENT, MAX_FREQUENT = 4, 4_000_000
 FRAGMENTS = 5
 #: Nodes of each block that its others are compared with first.
 LEADERS = 4
-#: Times that this is done, with other nodes each time.
-TURNS = 3
+#: Times that this is done, with other nodes each time, while large blocks are left.
+TURNS = 2
 #: Nodes of a tile, and of the largest block that is compared pair by pair.
 TILE = 64
 #: Ids of candidates that may be sent to every task, 8 bytes each; above it their sets are joined.
@@ -270,7 +270,7 @@ def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int =
     docs = materialise(whole.select("doc_id", "n", "node"))
     release(spark, whole)
     grams = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    shared = grams.select("h").groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
+    shared = grams.select("h").groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(grams.join(shared, "h"))
     release(spark)
 
@@ -288,34 +288,44 @@ def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int =
         first = turns.groupBy("h", "turn").agg(F.min(F.struct(F.xxhash64("h", "node", "turn"), "node", "label", "n", "at")).alias("first"))
         first = first.select("h", "first.node", "first.label", "first.n", "first.at").distinct()
         met = rows.alias("x").join(first.alias("y"), F.expr("x.h = y.h and x.label <> y.label") & may("x", "y"))
-        return close(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-    def unconnected(links: DataFrame) -> DataFrame:
+    def unconnected(rows: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of blocks in which not all nodes are connected yet, with their labels."""
-        labelled = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = rows.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = materialise(labelled)
         mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
         return materialise(labelled.join(mixed, "h", "left_semi"))
 
-    pairs = stars(members.withColumn("label", F.col("node")), 0)
+    # all pairs of blocks that are no larger than their stars would be, and the stars of the others
+    large = members.where(F.col("size") > LEADERS + 1)
+    few = members.where(F.col("size") <= LEADERS + 1).drop("size")
+    few_pairs = few.alias("x").join(few.alias("y"), F.expr("x.h = y.h and x.node < y.node") & may("x", "y"))
+    pairs = close(few_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(stars(large.withColumn("label", F.col("node")), 0)))
     release(spark)
     ends = materialise(_ends(pairs))
     segments = _segments(documents, ends, k, frequent)
     links = materialise(_links(pairs, segments, num, den))
     release(spark)
-    rest = unconnected(links)
+    rest = unconnected(large, links)
     for turn in range(1, TURNS):
+        wide = rest.where(F.col("size") > TILE)
+        if wide.isEmpty():
+            break
         # of nodes whose sets are at hand; the others' turn comes below
-        pairs = stars(rest, turn)
+        pairs = stars(wide, turn).distinct()
         for x in ("a", "b"):
             pairs = pairs.join(ends.withColumnRenamed("node", x), x, "left_semi")
-        more = materialise(_links(pairs, segments, num, den))
+        more = materialise(_links(close(pairs), segments, num, den))
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        rest = unconnected(links)
+        rest = unconnected(rest, links)
     # what is left: small blocks pair by pair, large ones tile by tile
+    rest = rest.drop("size")
     sizes = rest.groupBy("h", "label").agg(F.count("*").alias("of_label")).groupBy("h").agg(F.sum("of_label").alias("size"), F.max_by("label", "of_label").alias("main"), F.max("of_label").alias("of_main"))
     sizes = materialise(sizes)
+    release(spark)
     tile_of = materialise(_tiles_of(rest.join(sizes.where(F.col("size") > TILE), "h")))
     small = rest.join(sizes.where(F.col("size") <= TILE).select("h"), "h", "left_semi").join(tile_of.select("node", "home"), "node", "left")
     pairs = small.alias("x").join(
