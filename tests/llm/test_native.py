@@ -139,3 +139,15 @@ def test_reputation_blocks_bad_hosts_only_with_enough_pages(spark):
     got = url_filter.filter_urls(pages, spark.createDataFrame(outcomes, "page_id long, bad boolean"), [])
     verdict = {r["host"]: r["verdict"] for r in got.collect()}
     assert verdict == {"spam.farm.org": "block", "good.site.org": "allow", "few.site.org": "allow", "other.net": "allow", "unknown.org": "allow"}
+
+
+def test_hosts_without_labels_have_the_prior_of_their_domain(spark):
+    hosts = [f"h{i}.bad.org" for i in range(10)] + [f"h{i}.good.net" for i in range(10)]
+    urls = [f"http://{h}/{j}" for h in hosts for j in range(30)]
+    n = len(urls)
+    outcomes = [(i, "bad.org" in u) for i, u in enumerate(urls)] + [(n + 3, None)]
+    urls += ["http://new.bad.org/", "http://new.good.net/", "http://other.org/", "http://null.bad.org/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, spark.createDataFrame(outcomes, "page_id long, bad boolean"), []).collect()}
+    assert len(got) == len(urls) and [got[i]["n_labelled"] for i in range(n, n + 5)] == [0] * 5
+    assert [got[i]["verdict"] for i in (n, n + 1, n + 3, n + 4)] == ["block", "allow", "block", "allow"]

@@ -70,9 +70,10 @@ def strength(groups: DataFrame, least: float = 2.0, most: float = 200.0) -> floa
 def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     """``host, n, bad, lower``: lower posterior bound of the share of bad pages of each host.
 
-    ``labelled`` has host and bad (boolean), one row per labelled page. Counts are partial sums
-    before any shuffle, so a host with a third of all pages is one row per task; each level then
-    has a row per group.
+    ``labelled`` has host and bad (boolean), one row per labelled page, and rows with a null bad for the other
+    pages: a host of such rows only is as its domain's prior says, or its suffix's or that of all pages where those
+    have no labels either. Counts are partial sums before any shuffle, so a host with a third of all pages is one
+    row per task; each level then has a row per group.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
@@ -93,14 +94,14 @@ def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], max_bad: float = 0.5, id_column: str = "page_id") -> DataFrame:
     """``pages`` with host, path, rule, verdict and the host's labelled counts.
 
-    ``outcomes``: id_column and bad (boolean). Pages that have no outcome count in no reputation;
-    a host without any is as its domain's prior says, which alone never passes the bound.
+    ``outcomes``: id_column and bad (boolean). Pages that have no outcome count in no reputation, but a host
+    without any is judged too, by its domain's prior.
     """
     host, path = host_and_path(F.col("url"))
     cut = pages.drop("host", "path", "rule", "verdict", "n_labelled", "n_bad").withColumns({"host": host, "path": path})
     text, action = longest_rule(F.col("host"), F.col("path"), rules)
     cut = cut.withColumns({"rule": text, "__by_rule": action})
-    seen = cut.select(id_column, "host").join(outcomes.select(id_column, "bad"), id_column).select("host", "bad")
+    seen = cut.select(id_column, "host").join(outcomes.select(id_column, "bad"), id_column, "left").select("host", "bad")
     known = reputation(seen).select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (F.col("lower") > max_bad).alias("__bad_host"))
     out = cut.join(known, "host", "left")
     verdict = F.coalesce("__by_rule", F.when(F.col("__bad_host"), "block").otherwise("allow"))
