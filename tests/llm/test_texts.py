@@ -215,3 +215,17 @@ def test_sample_is_bounded_and_ids_are_no_input(spark, labelled):
     a = {r["text"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
     shifted = labels.withColumn("doc_id", F.col("doc_id") + 10**6)
     assert set(a) == {r["text"] for r in quality.score_quality(moved, shifted).collect()}
+
+
+SPOKEN = toxicity.CharacterModel.of([(w, 5.0) for w in ("idiot", "moron", "disgusting", "the", "and", "loser", "you", "are", "a", "man", "scum", "stupid", "is", "it", "to")])
+
+
+@pytest.mark.parametrize("text", ["you are a s t u p i d man", "it is $ t u p 1 d", "s t u p i d, you", "s   t   u   p   i   d", "s\nt\nu\np\ni\nd", "are s\tt\tu\tp\ti\td"])
+def test_spaced_words_are_restored_with_their_boundaries(text):
+    assert "stupid" in toxicity.tokens_of(text, SPOKEN)
+
+
+def test_words_spaced_together_come_apart():
+    assert {"you", "idiot"} <= toxicity.tokens_of("y o u i d i o t", SPOKEN) and "idiot" in toxicity.tokens_of("i d ! o t", SPOKEN)
+    evidence = toxicity.Evidence({"stupid": 5.0}, SPOKEN)
+    assert evidence.features("you are a s t u p i d man")[0] == 5.0 and evidence.features("you are a man")[0] == 0.0
