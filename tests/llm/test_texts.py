@@ -229,3 +229,19 @@ def test_words_spaced_together_come_apart():
     assert {"you", "idiot"} <= toxicity.tokens_of("y o u i d i o t", SPOKEN) and "idiot" in toxicity.tokens_of("i d ! o t", SPOKEN)
     evidence = toxicity.Evidence({"stupid": 5.0}, SPOKEN)
     assert evidence.features("you are a s t u p i d man")[0] == 5.0 and evidence.features("you are a man")[0] == 0.0
+
+
+def test_long_tokens_and_signs_at_ends_are_restored():
+    evidence = toxicity.Evidence({"stupid": 5.0, "idiot": 5.0, "scum": 5.0}, SPOKEN)
+    for token in ("st" + "u" * 60 + "pid", ".......".join("idiot"), "sc**", "scu#", "st*p*d***", "1d10t" + "!" * 40):
+        assert evidence[token] == 5.0, token
+    assert evidence["the,"] == evidence["and***"] == 0.0
+
+
+def test_matrices_give_what_the_lattice_gives():
+    rng = random.Random(2)
+    dense = toxicity.Dense(SPOKEN)
+    for _ in range(200):
+        token = "".join(rng.choice("idotursm*#@$!.1-") for _ in range(rng.randrange(1, 6)))
+        if all(x in dense.at for c in token for x in toxicity.LETTERS.get(c, "")):
+            assert dense.restore(token) == "".join(toxicity.decode(token, SPOKEN)), token
