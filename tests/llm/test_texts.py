@@ -245,3 +245,13 @@ def test_matrices_give_what_the_lattice_gives():
         token = "".join(rng.choice("idotursm*#@$!.1-") for _ in range(rng.randrange(1, 6)))
         if all(x in dense.at for c in token for x in toxicity.LETTERS.get(c, "")):
             assert dense.restore(token) == "".join(toxicity.decode(token, SPOKEN)), token
+
+
+def test_dictionaries_learn_from_whole_texts():
+    rng = random.Random(5)
+    texts = [prose(rng, 1500, 10**6) + " a phrase that only stands late in texts " * 5 for _ in range(40)]
+    assert min(map(len, texts)) > 8000 and b"phrase that only stands late" in quality.dictionary(texts)
+    parts = [bytes([65 + i]) * 8000 for i in range(20)]
+    found = quality.spread(parts)
+    assert len(found) <= quality.DICTIONARY_BYTES and all(bytes([65 + i]) * 200 in found for i in range(20))
+    assert quality.spread(parts[:2]) == b"\n".join(parts[:2])

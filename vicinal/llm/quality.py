@@ -26,8 +26,8 @@ from .common import ship
 
 #: Labelled documents of each class at most, of which half make the dictionary and half calibrate.
 MAX_PER_CLASS = 1500
-#: Characters of each sampled document that a dictionary may learn from, and bytes of a dictionary.
-DICTIONARY_CHARS, DICTIONARY_BYTES = 4000, 64 * 1024
+#: Bytes of a dictionary, and places of the texts that it is taken from where none can be trained.
+DICTIONARY_BYTES, SPREAD = 64 * 1024, 256
 #: Bytes compressed at once, so that a dictionary counts alike in all parts of a text.
 BLOCK = 2048
 LEVEL = 3
@@ -93,16 +93,25 @@ def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
 
 
 def dictionary(texts: list[str]) -> bytes:
+    """Learnt from the whole texts, cut into blocks as they are compressed; the number of texts bounds it."""
     import zstandard as z
 
-    parts = [p for t in texts for p in (t[:DICTIONARY_CHARS].encode(),) if p]
-    if sum(map(len, parts)) < 20 * 1024 or len(parts) < 8:
-        return b"\n".join(parts)[-DICTIONARY_BYTES:]
-    size = min(DICTIONARY_BYTES, sum(map(len, parts)) // 4)
-    try:
-        return z.train_dictionary(size, parts, k=200, d=8).as_bytes()
-    except z.ZstdError:
-        return b"\n".join(parts)[-DICTIONARY_BYTES:]
+    parts = [raw[i : i + BLOCK] for t in texts for raw in (t.encode(),) for i in range(0, len(raw), BLOCK)]
+    total = sum(map(len, parts))
+    if total >= 20 * 1024 and len(parts) >= 8:
+        try:
+            return z.train_dictionary(min(DICTIONARY_BYTES, total // 4), parts, k=200, d=8).as_bytes()
+        except z.ZstdError:
+            pass
+    return spread(parts)
+
+
+def spread(parts: list[bytes]) -> bytes:
+    """A dictionary without training: everything where it fits, else an equal share of each part of the texts."""
+    whole = b"\n".join(parts)
+    if len(whole) <= DICTIONARY_BYTES:
+        return whole
+    return b"\n".join(whole[i * len(whole) // SPREAD :][: DICTIONARY_BYTES // SPREAD - 1] for i in range(SPREAD))
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
