@@ -255,3 +255,16 @@ def test_dictionaries_learn_from_whole_texts():
     found = quality.spread(parts)
     assert len(found) <= quality.DICTIONARY_BYTES and all(bytes([65 + i]) * 200 in found for i in range(20))
     assert quality.spread(parts[:2]) == b"\n".join(parts[:2])
+
+
+@pytest.mark.parametrize("named", ["<div id=page class='has-sidebar'>%s</div>", "<div class='no-sidebar wide'>%s</div>", "<div class='elementor-widget-container'>%s</div>", "<div class='search-result'>%s</div>",
+    "<section class=commentary>%s</section>", "<div class=widget><article>%s</article></div>", "<div class='promo'>%s</div>", "<div class='related'><main>%s</main></div>"])
+def test_a_name_alone_does_not_lose_the_article(named):
+    body = "".join(f"<p>Paragraph {i} of the article, with enough words in it to be the text of this page.</p>" for i in range(8))
+    want = "\n".join(f"Paragraph {i} of the article, with enough words in it to be the text of this page." for i in range(8))
+    assert html_text.extract(PAGE % (named % body)) == want
+
+
+def test_large_notices_go_where_an_article_stands_elsewhere():
+    notice = "<div class=ad><p>Buy this thing now, it is good and cheap, and there is more of it than of the article.</p></div>"
+    assert html_text.extract(f"<body>{notice}<article><h1>Short</h1><p>Text.</p></article></body>") == "Short\nText."

@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Parts that by their tag, role, class or id are no article (menus, page headers, footers,
-sidebars, notices, adverts, forms, comments, scripts) are cut off. Every block node then gets its
+A page becomes a tree. Parts that by their tag are no article (menus, page headers, footers, forms, scripts), or are
+hidden, are cut off; so are those that by their role, class or id are none (sidebars, notices, adverts, comments),
+unless they hold an article or main element, or much of the page's text with no such element elsewhere. Every block node then gets its
 composite density: characters for each tag, adjusted by the share of characters and tags that are in
 links and by the share of the whole body. The node whose children's densities sum to most is the
 middle of the content; the least density on its path to the body is the page's threshold, and every
@@ -54,36 +55,84 @@ NOT_TEXT = frozenset(
     "sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split()
 )
 NOT_TEXT_BEGIN = ("comment", "advert", "cookie", "sidebar", "sponsor", "reply", "replies", "respond")
+TEXT_BEGIN = ("commentar", "commentat")
+#: Class words of layouts and of what holds an article: they tell nothing.
+_layout = re.compile(r"(?:^|[-_])(?:has|no|with|without)[-_]|widget[-_]*(?:container|wrap|content|inner|body)|^elementor|search[-_]*results?(?:[-_]|$)")
+#: The share of the page's text outside links that a part may have to be cut off by its name, if no article or main element stands elsewhere.
+MOST_CUT = 0.4
 OUTSIDE_ONLY = frozenset({"header", "site-header", "topbar", "byline"})
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "holds_block", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "holds_block", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.holds_block = False
+        self.holds_block = self.named = False
 
 
 def not_article(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; ``inside``: it is in an article or main element."""
+    """Whether an element is no part of an article by its tag or as it is hidden; ``inside``: it is in an article or main element."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    for name, *values in _attribute.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
+    for name, value in _values(attributes):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
+    return False
+
+
+def named_so(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role of an element say that it is no part of an article."""
+    if not attributes or tag in ("body", "html", "article", "main"):
+        return False
+    for name, value in _values(attributes):
         if name in ("class", "id", "role"):
-            for word in re.split(r"[^a-z0-9]+", value):
-                if word in NOT_TEXT or word.startswith(NOT_TEXT_BEGIN) or (not inside and word in OUTSIDE_ONLY):
+            for word in (w for x in value.split() if not _layout.search(x) for w in re.split(r"[^a-z0-9]+", x)):
+                if word in NOT_TEXT or (word.startswith(NOT_TEXT_BEGIN) and not word.startswith(TEXT_BEGIN)) or (not inside and word in OUTSIDE_ONLY):
                     return True
     return False
 
 
+def _values(attributes: str) -> Iterator[tuple[str, str]]:
+    for name, *values in _attribute.findall(attributes):
+        yield name.lower(), next((v for v in values if v), "").lower()
+
+
+def cut_named(root: Node) -> None:
+    """Cut off what is named as no article and holds no article or main element, where such an element stands elsewhere
+    or the part has little of the page's text outside links; the rest is for the density to judge."""
+    order, todo = [], [(root, False, False, 0)]
+    while todo:
+        node, linked, named, around = todo.pop()
+        order.append((node, linked, named, around))
+        linked, named, around = linked or node.tag == "a", named or node.named, around + (node.tag in ("article", "main"))
+        todo += [(c, linked, named, around) for c in node.children if isinstance(c, Node)]
+    if not any(x[0].named for x in order):
+        return
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    articles = 0
+    for node, linked, named, _ in reversed(order):
+        n = 0
+        for c in node.children:
+            if isinstance(c, Node):
+                n += plain[id(c)]
+                if c.tag in ("article", "main") or id(c) in holds:
+                    holds.add(id(node))
+            elif not linked and node.tag != "a":
+                n += len("".join(c.split()))
+        plain[id(node)] = n
+        articles += n > 0 and not named and node.tag in ("article", "main")
+    most = plain[id(root)] * MOST_CUT
+    for node, _, _, around in order:
+        around += node.tag in ("article", "main")
+        node.children = [c for c in node.children if not (isinstance(c, Node) and c.named and id(c) not in holds and (articles > around or plain[id(c)] <= most))]
+
+
 def parse(page: str) -> Node:
     """The tree of a page without what is no article. Children are nodes and pieces of text."""
     root = Node("body", None)
@@ -132,6 +181,7 @@ def parse(page: str) -> Node:
                 if not dropped:
                     dropped.append(len(stack) - 1)
                 continue
+            node.named = named_so(tag, attributes, any(x.tag in ("article", "main") for x in stack))
             stack[-1].children.append(node)
             if tag not in VOID:
                 stack.append(node)
@@ -139,6 +189,7 @@ def parse(page: str) -> Node:
             tag = end.lower()
             if tag not in ("body", "html") and (i := find({tag}, set())):
                 pop(i)
+    cut_named(root)
     return root
 
 
