@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from vicinal.operators import forest
 from vicinal.plans.queries import ORACLES, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -34,3 +35,14 @@ def test_like_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 500
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
+def test_forests_are_registered_whole(spark, monkeypatch):
+    assert [r["max_depth"] for r in QUERIES["depth_sweep"](spark, TABLES).collect()] == [8, 12, 16, 20, 24, 28]
+    made = []
+    for name in ("fit_forest", "fit_soft_forest"):
+        monkeypatch.setattr(forest, name, lambda *a, _fit=getattr(forest, name), **kw: made.append(_fit(*a, **kw)) or made[-1])
+    for name in ("feature_importance", "forest_soft"):
+        QUERIES[name](spark, TABLES)
+    assert [(m.getNumTrees, m.getOrDefault("maxDepth")) for m in made] == [(30, 25)] * 2

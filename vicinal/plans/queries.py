@@ -457,15 +457,11 @@ def _training(spark, sf_dir):
     return v.select(F.col("key").alias("ref_id"), F.array(*DIMENSIONS).alias("v"), (risky > 16_000).cast("int").alias("label"))
 
 
-def _small_forest(data, trees=8, depth=8):
-    return forest.fit_forest(data, trees=trees, max_depth=depth, min_leaf=5)
-
-
 @query()
 def forest_score(spark, sf_dir):
     """Scores by walking the node table of a forest."""
     data = _training(spark, sf_dir)
-    walk = forest.walker(forest.node_rows(_small_forest(data)))
+    walk = forest.walker(forest.node_rows(forest.fit_forest(data)))
     return data.select("ref_id", walk(dequantize(F.col("v"))).alias("score"))
 
 
@@ -475,7 +471,7 @@ def forest_soft(spark, sf_dir):
     data = _training(spark, sf_dir)
     votes = knn.distill(data)
     soft = data.join(votes.select("ref_id", (F.col("fraud_count") / 5.0).alias("soft")), "ref_id")
-    model = forest.fit_soft_forest(soft, trees=5, max_depth=8, min_leaf=5)
+    model = forest.fit_soft_forest(soft)
     return forest.predict(model, soft).select("ref_id", "soft", "score")
 
 
@@ -483,26 +479,26 @@ def forest_soft(spark, sf_dir):
 def tree_report(spark, sf_dir):
     """A single tree on a stratified split, and its report on the held-out part."""
     split = sampling.stratified_split(_training(spark, sf_dir), id_column="ref_id")
-    model = forest.fit_tree(split.where("in_train"), max_depth=8, min_leaf=20, balanced=True)
+    model = forest.fit_tree(split.where("in_train"), balanced=True)
     held = forest.predict(model, split.where(~F.col("in_train")))
     return evaluate.classification_report(evaluate.confusion(held, F.col("label") == 1, F.col("score") >= 0.5))
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    return forest.importances(spark, _small_forest(_training(spark, sf_dir)), DIMENSIONS)
+    return forest.importances(spark, forest.fit_forest(_training(spark, sf_dir)), DIMENSIONS)
 
 
 @query()
 def depth_sweep(spark, sf_dir):
-    return forest.depth_sweep(_training(spark, sf_dir), depths=(2, 6), folds=2, min_leaf=10)
+    return forest.depth_sweep(_training(spark, sf_dir))
 
 
 @query()
 def hybrid_score(spark, sf_dir):
     """Forest first, neighbours where it is unsure, then both verdicts."""
     data = _training(spark, sf_dir)
-    walk = forest.walker(forest.node_rows(_small_forest(data)))
+    walk = forest.walker(forest.node_rows(forest.fit_forest(data)))
     scored = data.select(F.col("ref_id").alias("id"), "v", walk(dequantize(F.col("v"))).alias("score"))
     final = score.hybrid(scored, data, 0.2, 0.8)
     return score.verdicts(final, "final_score").drop("v")
