@@ -151,3 +151,12 @@ def test_top_k_of_few_none_and_other_lengths(spark):
     assert top(spark, []) == [] and top(spark, [(1, [1.0])]) == [] and top(spark, [(0, [1.0])]) == []
     large = [(0, [2.0**18 + 1, -(2.0**18)]), (1, [2.0**18, 1.0]), (2, [-3.0, 2.0**18])]
     assert top(spark, large) == brute_top(large, lambda i: i % 20 == 0, 10)
+
+
+def test_top_k_of_an_id_with_many_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [float(x) for x in 50 + rng.normal(size=4)]) for _ in range(40)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 60)]
+    got = [r for r in top(spark, rows, 5, 100) if r[0] == 0]
+    whole = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows}
+    pairs = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for j, x in whole if j == 0 for i, y in whole if i != 0)[:5]
+    assert got == [(0, n + 1, i, -s) for n, (s, i) in enumerate(pairs)]

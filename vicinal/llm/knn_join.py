@@ -2,9 +2,9 @@
 
 Every row goes to its nearest pivot; a pivot's rows are a group. For a query q of a group with pivot p and radius u (the
 largest distance of its queries to p), the score of any row v, the inner product q.v, lies within u |v| of
-p.v. The k-th largest of the least scores p.v - u |v| over all rows is therefore a bound that each of the group's queries
-reaches k times, and a row is needed by the group only if p.v + u |v| reaches it. The bound comes
-from summaries: each task sends its k best least scores for each group. Needed rows are
+p.v. The (k+1)-th largest of the least scores p.v - u |v|, of each id its largest, is therefore a bound that each of the
+group's queries reaches with k other ids, and a row is needed by the group only if p.v + u |v| reaches it. The bound comes
+from summaries: each task sends its k + 1 best ids and their least scores for each group. Needed rows are
 replicated to the groups, which are cut into blocks and solved by a matrix product; blocks' best k are merged.
 
 Scores are whole numbers that must fit into a long, and exact; bounds are computed in floating point and moved outwards by more than their
@@ -119,15 +119,29 @@ def _top_k_of_length(rows: DataFrame, k: int) -> DataFrame:
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, u = told.value
-        best = np.zeros((len(u), 0))
+        best, of = np.zeros((len(u), 0)), np.zeros((len(u), 0), np.int64)
         for b in batches:
             if b.num_rows:
                 least = bounds(as_matrix(b.column("x")).astype(np.float64), c, u)[0].T
-                best = -np.sort(-np.concatenate([best, least], axis=1), axis=1)[:, : k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(u)), best.shape[1]), pa.int32()), pa.array(best.ravel(), pa.float64())], names=["g", "least"])
-
-    ranked = rows.select("x").mapInArrow(summarise, "g int, least double").withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("least"))))
-    # one of the k + 1 may be the query itself
+                ids = b.column("id").to_numpy()
+                by = np.argsort(ids, kind="stable")
+                ids, starts = np.unique(ids[by], return_index=True)
+                least = np.maximum.reduceat(least[:, by], starts, axis=1)
+                at = np.argsort(-least, axis=1)[:, : k + 1]
+                best, of = np.concatenate([best, np.take_along_axis(least, at, 1)], axis=1), np.concatenate([of, ids[at]], axis=1)
+                at = np.argsort(-best, axis=1, kind="stable")
+                best, of = np.take_along_axis(best, at, 1), np.take_along_axis(of, at, 1)
+                # an id counts once, with its best
+                best[np.tril(of[:, :, None] == of[:, None, :], -1).any(2)] = -np.inf
+                at = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
+                best, of = np.take_along_axis(best, at, 1), np.take_along_axis(of, at, 1)
+        g = np.repeat(np.arange(len(u)), best.shape[1])
+        there = np.isfinite(best.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(g[there], pa.int32()), pa.array(of.ravel()[there], pa.int64()), pa.array(best.ravel()[there], pa.float64())], names=["g", "id", "least"])
+
+    # one of k + 1 ids may be the query's own, whatever the number of its rows
+    of_ids = rows.select("id", "x").mapInArrow(summarise, "g int, id long, least double").groupBy("g", "id").agg(F.max("least").alias("least"))
+    ranked = of_ids.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("least"))))
     bound = np.full(len(groups), -np.inf)
     for r in ranked.where(F.col("_r") == k + 1).select("g", "least").collect():
         bound[r["g"]] = r["least"]
