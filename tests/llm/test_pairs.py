@@ -160,3 +160,10 @@ def test_top_k_of_an_id_with_many_vectors(spark):
     whole = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows}
     pairs = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for j, x in whole if j == 0 for i, y in whole if i != 0)[:5]
     assert got == [(0, n + 1, i, -s) for n, (s, i) in enumerate(pairs)]
+
+
+def test_keep_one_of_an_id_with_two_texts(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (9, text("b")), (5, text("b")), (7, None), (7, ""), (None, text("a"))]
+    kept = ngram_join.keep_one(spark.createDataFrame([(i, t, 2) for i, t in rows], "doc_id long, text string, x int")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted([("1", text("a")), ("5", text("b")), ("7", "None"), ("7", ""), ("None", text("a"))])

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialise, release, ship
 from .components import components
@@ -262,6 +263,11 @@ def _tile_links(tiles: DataFrame, tile_of: DataFrame, segments: DataFrame, num:
 def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``documents`` (doc_id, text): documents are
     linked when den * common grams >= num * grams of either."""
+    return _components_of_rows(documents, k, num, den).drop("node")
+
+
+def _components_of_rows(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The same with the node of each row's set, which is null where it has no words."""
     spark = documents.sparkSession
     ship(spark)
     frequent = frequent_grams(documents, k)
@@ -344,16 +350,28 @@ def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int =
     of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("component"))
     of_node = least.join(labels.join(of_label, "label").select("node", "component"), "node", "left").select(F.col("node").alias("_node"), F.coalesce("component", "least").alias("component"))
     out = docs.join(of_node, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+
+
+def _with_node(documents: DataFrame, k: int) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(grams) if len(grams) else None for grams in _sets(batch, k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    return documents.mapInArrow(cut, StructType([*documents.schema.fields, StructField("_node", LongType())]))
 
 
 def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``documents`` without near copies: of each component the row with the least id stays. Rows that
-    repeat an id and text are one document; rows with a null id, and texts without words, stay."""
-    found = materialise(ngram_components(documents, k, num, den))
-    gone = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    repeat an id and text are one document, and rows that repeat an id with other texts stay or go each by its own
+    text; rows with a null id, and texts without words, stay."""
+    found = materialise(_components_of_rows(documents, k, num, den))
+    gone = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id", F.col("node").alias("_node")).distinct()
     often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if often.isEmpty():
-        return kept
-    return kept.join(often, "doc_id", "left_anti").select(*documents.columns).unionByName(kept.join(often, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"]))
+        return documents.join(gone.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
+    once = documents.join(often, "doc_id", "left_anti")
+    once = once.join(gone.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
+    again = documents.join(often, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(_with_node(again, k).join(gone, ["doc_id", "_node"], "left_anti").select(*documents.columns))
