@@ -54,10 +54,10 @@ def edited(words, n, rng):
     return " ".join(out)
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
-def test_join_like_brute_force(spark, k, num, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEADERS", 1)  # more is left to the last comparison
-    monkeypatch.setattr(ngram_join, "TILE", 5)
+@pytest.mark.parametrize(("k", "num", "narrow", "tile", "star"), [(4, 85, 5, 5, 512), (5, 80, 1, 3, 2), (5, 80, 2, 64, 1)])
+def test_join_like_brute_force(spark, k, num, narrow, tile, star, monkeypatch):
+    for name, value in (("NARROW", narrow), ("TILE", tile), ("STAR", star)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(k)
     base = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (120, 60, 30, 12)]
     common = " ".join(f"c{i}" for i in range(10))
@@ -74,6 +74,7 @@ def test_join_like_brute_force(spark, k, num, monkeypatch):
 
 def test_join_where_sets_are_joined_and_not_sent(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MAX_SENT", 0)
+    monkeypatch.setattr(ngram_join, "KEPT_NODES", 1)  # so equal sets are given by a task more than once
     rows = [(i, " ".join(f"w{j}" for j in range(30)) + (f" t{i}" if i % 2 else "")) for i in range(6)]
     assert joined(spark, rows, 4, 85) == brute(rows, 4, 85, 100)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,6 +14,8 @@ __all__ = ["WORD", "crc_of_id", "materialise", "release", "shared_dir", "ship",
 
 #: White space that separates words in every contract here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: With it Spark drops a query's shuffle files when the query ends, and not when the driver happens to collect garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it: lineage ends there, and a lost
-    executor costs nothing that was written. Hadoop deletes the files when the driver ends."""
+    executor costs nothing that was written. The shuffle files of the query that made it are dropped at its end. Hadoop deletes
+    the table when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -45,16 +52,13 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def release(spark: SparkSession, *written: DataFrame) -> None:
-    """Free the disk of what is done: tables from ``materialise`` that nothing reads any more, and the shuffle files
-    of finished queries, which Spark drops when the driver's garbage is collected."""
+    """Free the disk of tables from ``materialise`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     for df in written:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/vicinal-" in path:
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,16 +2,16 @@
 
 All distinct n-grams have one global order: those that are frequent last, by frequency, the others
 first, by hash. Two sets that are similar enough share a gram in the first few of each (the prefix
-bound), which gives candidate pairs. The order is cut into fragments, and each set with it; a pair's common
-grams are counted in each fragment by itself and the partial counts are summed for each pair. A link is
-decided by that exact sum alone.
+bound), which gives candidate pairs. The order is cut into fragments, and each set with it into segments. Candidates meet
+fragment by fragment: only the segments of one fragment come together, their common grams are counted there, and
+the partial counts are summed for each pair. A link is decided by that exact sum alone.
 
 Documents with equal sets are one node. A group of near copies is not expanded into all pairs: first
-every node of a block (nodes that share a prefix gram) is compared with all others of a small block, or with a few of a
-larger one, chosen by hash, and those that this leaves unconnected with a few others; then only pairs whose nodes are not yet connected are compared. So no
-link between different components is lost, and pairs inside one need not be known. Before whole sets are
-compared, a pair's common prefix grams must allow the overlap that it needs. Where many nodes of a large block are
-left, it is cut into tiles, and all pairs of two tiles are counted at once, fragment by fragment.
+every node of a block (nodes that share a prefix gram) is compared with one of them, which is chosen by the hash of its
+set, so that blocks of the same nodes choose the same. Then only pairs whose nodes are not yet connected are compared: in wide
+blocks with another of the block's nodes, and at last, where nodes are still not connected, all pairs. So no
+link between different components is lost, and pairs inside one need not be known. Where many nodes of a wide block are
+left, it is cut into tiles by size and hash, and all pairs of two tiles are counted at once, fragment by fragment.
 
 Defined results: words are runs of characters other than space and \\t \\n \\v \\f \\r; A-Z are
 lower-cased. A text of fewer than ``k`` words is one gram, the whole sequence. Null, empty and blank texts have
@@ -41,14 +41,20 @@ COUNT_AT_ONCE = 4_000_000
 MIN_FREQUENT, MAX_FREQUENT = 4, 4_000_000
 #: Of the global order: FRAGMENTS - 1 of ranges of hashes, the last of the frequent grams.
 FRAGMENTS = 5
-#: Nodes of each block that its others are compared with first.
-LEADERS = 4
-#: Times that this is done, with other nodes each time, while large blocks are left.
-TURNS = 2
-#: Nodes of a tile, and of the largest block that is compared pair by pair.
+#: Times that wide blocks are compared with one of their nodes each.
+TURNS = 3
+#: Nodes of the widest block of which all pairs are compared at first.
+NARROW = 5
+#: Nodes of a tile, and of the widest block that is compared pair by pair.
 TILE = 64
-#: Ids of candidates that may be sent to every task, 8 bytes each; above it their sets are joined.
+#: Pairs that meet one copy of the segment that they share.
+STAR = 512
+#: A node of more than one in HOT of all rows has its rows joined apart.
+HOT = 10_000
+#: Grams, and keys of texts, that may be sent to every task; above it they are joined by a shuffle.
 MAX_SENT = 2_000_000
+#: Sets that a task remembers, so that it gives the grams of equal ones once.
+KEPT_NODES = 1_000_000
 
 
 def _emit(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -135,129 +141,139 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _prefixes(documents: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, n, node and the first grams of each document's set in the global order."""
+    """doc_id, key (a hash of the text), n and node of each document, and the first grams of its set in the global order,
+    which are null where the task has given those of an equal set before."""
     sent = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            n, node, heads = [], [], []
+            n, node, heads, there = [], [], [], []
             for grams in _sets(batch, k):
                 n.append(len(grams))
                 node.append(node_of(grams) if len(grams) else None)
-                p = prefix_length(len(grams), num, den) if len(grams) else 0
+                if not len(grams) or node[-1] in given:
+                    there.append(False)
+                    continue
+                if len(given) >= KEPT_NODES:
+                    given.clear()
+                given.add(node[-1])
+                there.append(True)
+                p = prefix_length(len(grams), num, den)
                 place = places(grams, sent.value)
                 head = grams[place == 0][:p]
                 if len(head) < p:
                     late = place > 0
                     head = np.concatenate([head, grams[late][np.argsort(place[late])][: p - len(head)]])
                 heads.append(head)
-            yield _emit({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": _lists(heads)})
+            at = np.where(there, np.cumsum(there) - 1, -1)
+            prefix = _lists(heads).take(pa.array(at, pa.int32(), mask=at < 0))
+            yield _emit({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": prefix})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, n long, node long, prefix array<long>")
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(cut, f"doc_id {kind}, key long, n long, node long, prefix array<long>")
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows, to be sent to every task if these are few enough."""
+    return F.broadcast(df) if n <= MAX_SENT else df
 
 
-def _segments(documents: DataFrame, nodes: DataFrame, k: int, frequent) -> DataFrame:
-    """node, n, parts: the sets of ``nodes``, each cut into the fragments of the global order."""
+def _segments(documents: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, frequent) -> DataFrame:
+    """node, f, grams: the sets of ``nodes``, each cut into the fragments of the global order. One text of each is read again."""
     spark = documents.sparkSession
-    few = nodes.count() <= MAX_SENT
-    ids = np.sort(nodes.toPandas()["node"].to_numpy(np.int64)) if few else None
-    sent = spark.sparkContext.broadcast((ids, frequent))
+    one = materialise(docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.key").alias("_key")))
+    sent = spark.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, often = sent.value
-        done: set[int] = set()
         for batch in batches:
-            node, n, parts = [], [], []
+            node, parts = [], []
             for grams in _sets(batch, k):
-                if not len(grams) or (x := node_of(grams)) in done:
-                    continue
-                if wanted is not None and ((at := np.searchsorted(wanted, x)) == len(wanted) or wanted[at] != x):
-                    continue
-                if len(done) < 1_000_000:
-                    done.add(x)
-                part = np.where(places(grams, often) > 0, FRAGMENTS - 1, (grams >> U(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
-                node.append(x), n.append(len(grams))
+                part = np.where(places(grams, sent.value) > 0, FRAGMENTS - 1, (grams >> U(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
+                node.append(node_of(grams))
                 parts += [grams[part == f] for f in range(FRAGMENTS)]
-            cuts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, FRAGMENTS), pa.int32()), _lists(parts))
-            yield _emit({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "parts": cuts})
+            f = np.tile(np.arange(FRAGMENTS), len(node))
+            yield _emit({"node": _long(np.repeat(np.array(node, np.int64), FRAGMENTS)), "f": pa.array(f, pa.int32()), "grams": _lists(parts)})
 
-    cuts = documents.select("text").mapInArrow(cut, "node long, n long, parts array<array<long>>")
-    if not few:
-        cuts = cuts.join(nodes, "node", "left_semi")
-    return materialise(cuts.groupBy("node").agg(F.first("n").alias("n"), F.first("parts").alias("parts")))
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    texts = texts.join(_few(one, one.count()), F.expr("key = _key and doc_id <=> _id"), "left_semi").select("text")
+    found = materialise(texts.mapInArrow(cut, "node long, f int, grams array<long>"))
+    repeated = found.where("f = 0").groupBy("node").count().where("count > 1")
+    return found if repeated.isEmpty() else materialise(found.dropDuplicates(["node", "f"]))  # rows alike in id and text
 
 
-def _allowed(a: str, b: str, num: int, den: int):
-    """Whether nodes a and b (n, prefix) can reach the threshold. Beyond the prefix that ends first in the global
-    order, they can have no more in common than what its set has left there."""
-    both = F.size(F.array_intersect(f"{a}.prefix", f"{b}.prefix"))
-    left = lambda x: F.col(f"{x}.n") - F.size(f"{x}.prefix")
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)) & ((num + den) * (both + F.greatest(left(a), left(b))) >= num * (n_a + n_b))
+def _needed(num: int, den: int, a: str = "n_a", b: str = "n_b") -> str:
+    """``num + den`` times the common grams that sets of these sizes need."""
+    return f"{num} * ({a} + {b})"
 
 
 def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose overlaps, counted in each fragment by itself and summed, reach the threshold."""
-    a = segments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("of_a"))
-    b = segments.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("of_b"))
-    counts = F.zip_with("of_a", "of_b", lambda x, y: F.size(F.array_intersect(x, y)))
-    both = F.aggregate(counts, F.lit(0), lambda total, x: total + x)
-    return pairs.join(b, "b").join(a, "a").where((num + den) * both >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-
-
-def _tiles_of(large: DataFrame) -> DataFrame:
-    """node, label, home, tile: each node's largest block, and its part of that block, of about TILE nodes. A block's commonest
-    label has tiles of its own, which need not meet each other."""
-    home = large.groupBy("node", "label").agg(F.max(F.struct("size", "h", "main", "of_main")).alias("m")).select("node", "label", "m.*")
+    """The pairs (a, b; n_a, n_b are their sizes) whose common grams reach the threshold. A pair's segments meet in
+    each fragment by themselves, where those of b come to a copy of a's for ``STAR`` pairs at most; only the counts go on."""
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("copies"))
+    placed = pairs.join(stars, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("copies")
+    members = placed.join(segments.select(F.col("node").alias("b"), "f", F.col("grams").alias("of_b")), "b")
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(segments.select(F.col("node").alias("a"), "f", F.col("grams").alias("of_a")), "a")
+    counted = members.join(centres, ["a", "copy", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
+    return summed.where(F.expr(f"{num + den} * common >= {_needed(num, den)}")).select("a", "b")
+
+
+def _tiles_of(wide: DataFrame, num: int, den: int) -> DataFrame:
+    """node, n, label, home, tile: each node's widest block, and its part of that block, of about TILE nodes of like size. A block's
+    commonest label has tiles of its own, which need not meet each other."""
+    home = wide.groupBy("node", "n", "label").agg(F.max(F.struct("size", "h", "main", "of_main")).alias("m")).select("node", "n", "label", "m.*")
     is_main = F.col("label") == F.col("main")
     parts = F.when(is_main, F.ceil(F.col("of_main") / TILE)).otherwise(F.greatest(F.ceil((F.col("size") - F.col("of_main")) / TILE), F.lit(1)))
-    tile = F.xxhash64("h", is_main, F.pmod(F.xxhash64("node"), parts))
-    return home.select("node", "label", F.col("h").alias("home"), tile.alias("tile"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))) if num < den else F.col("n")
+    return home.select("node", "n", "label", F.col("h").alias("home"), F.xxhash64("h", is_main, band, F.pmod(F.xxhash64("node"), parts)).alias("tile"))
 
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """The pairs of tiles (s, t) with nodes of unlike labels that share a block; ``rows``: h, node, label, tile."""
-    there = rows.groupBy("h", "tile").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    return there.alias("s").join(there.alias("t"), F.expr("s.h = t.h and s.tile <= t.tile and least(s.x, t.x) <> greatest(s.y, t.y)")).select(F.col("s.tile").alias("s"), F.col("t.tile").alias("t")).distinct()
+def _meeting(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of tiles (s, t) with nodes of unlike labels and like sizes that share a block; ``rows``: h, label, tile, n."""
+    there = rows.groupBy("h", "tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    on = f"s.h = t.h and s.tile <= t.tile and least(s.x, t.x) <> greatest(s.y, t.y) and {den} * s.most >= {num} * t.least and {den} * t.most >= {num} * s.least"
+    return there.alias("s").join(there.alias("t"), F.expr(on)).select(F.col("s.tile").alias("s"), F.col("t.tile").alias("t")).distinct()
 
 
 def _tile_links(tiles: DataFrame, tile_of: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The links (a, b) between nodes of unlike labels in two tiles. For each fragment the common grams of all nodes of one tile and
-    all of the other are counted by a matrix product, and the counts are summed over the fragments."""
-    held = tile_of.join(segments, "node").select("tile", "node", "label", "n", "parts")
-    side = lambda key: tiles.join(held, F.col(key) == F.col("tile")).select(*[F.col(c).alias(f"{key}_{c}") for c in ("s", "t", "node", "label", "n", "parts")])
+    """The links (a, b) between nodes of unlike labels in two tiles. In each fragment by itself the common grams of all nodes of one
+    tile and all of the other are counted by a matrix product; the counts are summed for each pair. A count that even whole agreement in the
+    other fragments would not make enough is left out, as its pair is no link."""
+    segments = materialise(segments.join(tile_of.select("node").distinct(), "node", "left_semi"))
+    sizes = segments.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", F.size("grams").alias("s")))).alias("s")).select("node", F.transform("s", lambda x: x["s"]).alias("sizes"))
+    held = tile_of.select("tile", "node", "label", "n").join(sizes, "node").join(segments, "node")
+    names = ["s", "t", "f", "node", "label", "n", "sizes", "grams"]
+    side = lambda key: tiles.join(held, F.col(key) == F.col("tile")).select(*[F.col(c).alias(f"{key}_{c}") for c in names])
 
     def count(x: pa.Table, y: pa.Table) -> pa.Table:
-        names = ["s", "t", "node", "label", "n", "parts"]
         x, y = x.rename_columns(names), y.rename_columns(names)
-        a, b = x.num_rows, y.num_rows
-        if not a or not b:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        both = np.zeros((a, b))
-        rows = [[[np.asarray(part, np.int64) for part in r] for r in z.column("parts").to_pylist()] for z in (x, y)]
-        for f in range(FRAGMENTS):
-            grams = [np.concatenate([r[f] for r in each]) for each in rows]
-            shared = np.intersect1d(*grams)
-            ones = []
-            for each, all_grams in zip(rows, grams, strict=True):
-                owner = np.repeat(np.arange(len(each)), [len(r[f]) for r in each])
-                at = np.searchsorted(shared, all_grams)
-                at[at == len(shared)] = 0
-                hit = shared[at] == all_grams if len(shared) else np.zeros(len(all_grams), bool)
-                m = np.zeros((len(each), len(shared)), np.float32)
-                m[owner[hit], at[hit]] = 1
-                ones.append(m)
-            both += ones[0] @ ones[1].T
+        if not x.num_rows or not y.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n_a", "n_b", "common")})
+        f = x.column("f")[0].as_py()
+        grams = [[np.asarray(g.values.to_numpy(), np.int64) for g in z.column("grams")] for z in (x, y)]
+        flat = [np.concatenate(g) for g in grams]
+        shared, ones = np.intersect1d(*flat), []
+        for own, values in zip(grams, flat, strict=True):
+            owner = np.repeat(np.arange(len(own)), [len(g) for g in own])
+            at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+            hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+            m = np.zeros((len(own), len(shared)), np.float32)
+            m[owner[hit], at[hit]] = 1
+            ones.append(m)
+        common = (ones[0] @ ones[1].T).astype(np.int64)
         node, label, n = ([z.column(c).to_numpy() for z in (x, y)] for c in ("node", "label", "n"))
-        i, j = np.nonzero(((num + den) * both >= num * (n[0][:, None] + n[1][None])) & (label[0][:, None] != label[1][None]))
-        return pa.table({"a": _long(node[0][i]), "b": _long(node[1][j])})
+        sizes = [np.array(z.column("sizes").to_pylist(), np.int64) for z in (x, y)]
+        most = np.minimum(sizes[0][:, None], sizes[1][None])
+        most[:, :, f] = common
+        i, j = np.nonzero((common > 0) & ((num + den) * most.sum(2) >= num * (n[0][:, None] + n[1][None])) & (label[0][:, None] != label[1][None]))
+        return pa.table({"a": _long(node[0][i]), "b": _long(node[1][j]), "n_a": _long(n[0][i]), "n_b": _long(n[1][j]), "common": _long(common[i, j])})
 
-    return side("s").groupBy("s_s", "s_t").cogroup(side("t").groupBy("t_s", "t_t")).applyInArrow(count, "a long, b long")
+    counted = side("s").groupBy("s_s", "s_t", "s_f").cogroup(side("t").groupBy("t_s", "t_t", "t_f")).applyInArrow(count, "a long, b long, n_a long, n_b long, common long")
+    # a tile that meets itself has each pair both ways
+    one_way = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("a > b").alias("turned"), (F.col("n_a") + F.col("n_b")).alias("n"), "common")
+    summed = one_way.groupBy("a", "b", "turned", "n").agg(F.sum("common").alias("common"))
+    return summed.where(f"{num + den} * common >= {num} * n").select("a", "b").distinct()
 
 
 def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -266,91 +282,118 @@ def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int =
     return _components_of_rows(documents, k, num, den).drop("node")
 
 
+def _nodes(whole: DataFrame) -> DataFrame:
+    """node, n, prefix: each set once. Only the rows of sets that several tasks have met are shuffled."""
+    given = whole.where("prefix is not null").select("node", "n", "prefix")
+    often = materialise(given.groupBy("node").count().where("count > 1").select("node"))
+    known = _few(often, often.count())
+    again = given.join(known, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return given.join(known, "node", "left_anti").unionByName(again)
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """h, node, n, at, size: the prefix grams that more than one node has, their places in the prefix, and the number of nodes."""
+    grams = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
+    shared = materialise(grams.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
+    return materialise(grams.join(_few(shared, shared.count()), "h"))
+
+
 def _components_of_rows(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The same with the node of each row's set, which is null where it has no words."""
     spark = documents.sparkSession
     ship(spark)
     frequent = frequent_grams(documents, k)
     whole = materialise(_prefixes(documents, k, num, den, frequent))
-    nodes = materialise(whole.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    docs = materialise(whole.select("doc_id", "n", "node"))
+    docs = materialise(whole.select("doc_id", "key", "n", "node"))
+    members = _blocks(_nodes(whole))
     release(spark, whole)
-    grams = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    shared = grams.select("h").groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(grams.join(shared, "h"))
-    release(spark)
 
     def may(a: str, b: str) -> Column:
         """At the first gram that two sets share, what is left of either must allow the overlap that they need."""
-        return F.expr(f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * least({a}.n - {a}.at, {b}.n - {b}.at) >= {num} * ({a}.n + {b}.n)")
+        needed = _needed(num, den, f"{a}.n", f"{b}.n")
+        return F.expr(f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * least({a}.n - {a}.at, {b}.n - {b}.at) >= {needed}")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        found = pairs.distinct().join(nodes.alias("x"), F.expr("a = x.node")).join(nodes.alias("y"), F.expr("b = y.node"))
-        return materialise(found.where(_allowed("x", "y", num, den)).select("a", "b"))
+    def ends(x: str, y: str, *more: Column) -> list[Column]:
+        return [F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b"), F.col(f"{x}.n").alias("n_a"), F.col(f"{y}.n").alias("n_b"), *more]
 
     def stars(rows: DataFrame, turn: int) -> DataFrame:
-        """Each row (h, node, label, n, at) with a few rows of its block, which the turn and the gram choose by hash."""
-        turns = rows.withColumn("turn", F.explode(F.array(*[F.lit(turn * LEADERS + i) for i in range(LEADERS)])))
-        first = turns.groupBy("h", "turn").agg(F.min(F.struct(F.xxhash64("h", "node", "turn"), "node", "label", "n", "at")).alias("first"))
-        first = first.select("h", "first.node", "first.label", "first.n", "first.at").distinct()
+        """Each row (h, node, label, n, at) with one node of its block, which the turn and the nodes' hashes choose."""
+        first = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "label", "n", "at")).alias("y")).select("h", "y.node", "y.label", "y.n", "y.at")
         met = rows.alias("x").join(first.alias("y"), F.expr("x.h = y.h and x.label <> y.label") & may("x", "y"))
-        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        return met.select(ends("y", "x"))
+
+    def enough(pairs: DataFrame, unknown: str) -> DataFrame:
+        """The pairs (with common, of their prefix grams) that can be links if they have ``unknown`` more of these in common: beyond
+        the prefix that ends first in the global order, they have no more than what its set has left there."""
+        beyond = ", ".join(f"{n} - ({n} - ceil({num} * {n} / {den}) + 1)" for n in ("n_a", "n_b"))
+        return pairs.where(f"{num + den} * (common + {unknown} + greatest({beyond})) >= {_needed(num, den)}").select("a", "b", "n_a", "n_b")
+
+    def all_pairs(rows: DataFrame, unlike: str) -> DataFrame:
+        """The pairs of like size of each block, the number of blocks that they share, and whether one of these shows that they may be links."""
+        on = f"x.h = y.h and x.node < y.node and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {unlike}"
+        met = rows.alias("x").join(rows.alias("y"), F.expr(on))
+        return met.groupBy(*ends("x", "y")).agg(F.count("*").alias("common"), F.max(may("x", "y")).alias("may"))
 
     def unconnected(rows: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of blocks in which not all nodes are connected yet, with their labels."""
-        labelled = rows.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = materialise(labelled)
-        mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-        return materialise(labelled.join(mixed, "h", "left_semi"))
-
-    # all pairs of blocks that are no larger than their stars would be, and the stars of the others
-    large = members.where(F.col("size") > LEADERS + 1)
-    few = members.where(F.col("size") <= LEADERS + 1).drop("size")
-    few_pairs = few.alias("x").join(few.alias("y"), F.expr("x.h = y.h and x.node < y.node") & may("x", "y"))
-    pairs = close(few_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(stars(large.withColumn("label", F.col("node")), 0)))
-    release(spark)
-    ends = materialise(_ends(pairs))
-    segments = _segments(documents, ends, k, frequent)
-    links = materialise(_links(pairs, segments, num, den))
-    release(spark)
-    rest = unconnected(large, links)
+        labelled = materialise(rows.drop("label", "size").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("h", "size")
+        return materialise(labelled.join(mixed, "h"))
+
+    held = None  # segments of the nodes that have been asked for
+
+    def segments_of(nodes: DataFrame) -> DataFrame:
+        nonlocal held
+        new = materialise(nodes if held is None else nodes.join(held.where("f = 0").select("node"), "node", "left_anti"))
+        if held is None or not new.isEmpty():
+            more = _segments(documents, docs, new, k, frequent)
+            held = more if held is None else held.unionByName(more)
+        return held
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return materialise(_links(pairs, segments_of(nodes), num, den))
+
+    # all pairs of narrow blocks; what grams a pair has in common in wide ones is not known here
+    wide = members.where(F.col("size") > NARROW)
+    in_wide = materialise(wide.groupBy("node").agg(F.count("*").alias("w")))
+    of = lambda x: in_wide.select(F.col("node").alias(x), F.col("w").alias(f"w_{x}"))
+    met = all_pairs(members.where(F.col("size") <= NARROW), "true").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = enough(met, "least(coalesce(w_a, 0), coalesce(w_b, 0))")
+    # and one node of each wide block with the others
+    rest = wide.withColumn("label", F.col("node"))
+    links = compare(materialise(pairs.unionByName(stars(rest, 0)).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first(F.struct("a", "b", "n_a", "n_b")).alias("p")).select("p.*")))
+    rest = unconnected(rest, links)
     for turn in range(1, TURNS):
-        wide = rest.where(F.col("size") > TILE)
-        if wide.isEmpty():
+        still = rest.where(F.col("size") > TILE)
+        if still.isEmpty():
             break
-        # of nodes whose sets are at hand; the others' turn comes below
-        pairs = stars(wide, turn).distinct()
-        for x in ("a", "b"):
-            pairs = pairs.join(ends.withColumnRenamed("node", x), x, "left_semi")
-        more = materialise(_links(close(pairs), segments, num, den))
-        if more.isEmpty():
+        found = compare(materialise(stars(still, turn).distinct()))
+        if found.isEmpty():
             break
-        links = links.unionByName(more)
+        links = links.unionByName(found)
         rest = unconnected(rest, links)
-    # what is left: small blocks pair by pair, large ones tile by tile
+    # what is left: small blocks pair by pair, the others tile by tile
+    by_label = rest.groupBy("h", "label").agg(F.count("*").alias("of_label"))
+    sizes = materialise(by_label.groupBy("h").agg(F.sum("of_label").alias("size"), F.max_by("label", "of_label").alias("main"), F.max("of_label").alias("of_main")))
     rest = rest.drop("size")
-    sizes = rest.groupBy("h", "label").agg(F.count("*").alias("of_label")).groupBy("h").agg(F.sum("of_label").alias("size"), F.max_by("label", "of_label").alias("main"), F.max("of_label").alias("of_main"))
-    sizes = materialise(sizes)
-    release(spark)
-    tile_of = materialise(_tiles_of(rest.join(sizes.where(F.col("size") > TILE), "h")))
+    tile_of = materialise(_tiles_of(rest.join(sizes.where(F.col("size") > TILE), "h"), num, den))
     small = rest.join(sizes.where(F.col("size") <= TILE).select("h"), "h", "left_semi").join(tile_of.select("node", "home"), "node", "left")
-    pairs = small.alias("x").join(
-        small.alias("y"), F.expr("x.h = y.h and x.node < y.node and x.label <> y.label and coalesce(x.home <> y.home, true)") & may("x", "y")
-    )
-    pairs = close(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    tiles = materialise(_meeting(rest.select("h", "node").join(tile_of, "node")))
-    release(spark, members)
-    new = materialise(_ends(pairs).unionByName(tile_of.select("node")).distinct().join(ends, "node", "left_anti"))
-    if not new.isEmpty():
-        segments = segments.unionByName(_segments(documents, new, k, frequent))
-    more = materialise(_links(pairs, segments, num, den).unionByName(_tile_links(tiles, tile_of, segments, num, den)))
-    release(spark, nodes, segments, rest)
+    # the first common gram of a pair that shares a narrow block may not be among these, but such pairs are decided; those of two nodes in tiles meet there
+    pairs = enough(all_pairs(small, "(x.home is null or y.home is null) and x.label <> y.label").where("may"), "0")
+    more = compare(materialise(pairs))
+    tiles = materialise(_meeting(rest.select("h", "node").join(tile_of, "node"), num, den))
+    if not tiles.isEmpty():
+        more = more.unionByName(materialise(_tile_links(tiles, tile_of, segments_of(tile_of.select("node").distinct()), num, den)))
     labels = components(links.unionByName(more))
-    least = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = materialise(docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("component"))
-    of_node = least.join(labels.join(of_label, "label").select("node", "component"), "node", "left").select(F.col("node").alias("_node"), F.coalesce("component", "least").alias("component"))
-    out = docs.join(of_node, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    of_node = materialise(least.join(labels.join(of_label, "label").select("node", "component"), "node", "left").select("node", "rows", F.coalesce("component", "least").alias("component")))
+    release(spark, least, held, members)
+    # nodes of many rows are few, so these rows need no shuffle
+    many = F.broadcast(of_node.where(F.col("rows") > max(1000, docs.count() // HOT)))
+    rows = docs.join(many.select("node"), "node", "left_anti").join(of_node, "node", "left").unionByName(docs.join(many, "node"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "node")
 
 
 def _with_node(documents: DataFrame, k: int) -> DataFrame:
