@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -97,6 +98,72 @@ def test_pieces_are_the_tokenizers(spark):
     assert packing.pack_documents(df.limit(0), TOKENIZER).count() == 0
 
 
+SIGNS = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+
+
+@pytest.fixture(scope="module")
+def whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def test_ids_of_all_pairs_of_signs(whole_tokenizer):
+    words = packing.WordIds(TOKENIZER)
+    texts = [f"{core}{a}{b} x {a}{b}{core} {core}{a}9{b}" for core in ("f", "Word", "7", "é", "") for a in SIGNS for b in SIGNS]
+    for text, found in zip(texts, whole_tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == found.ids, text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("aB1é \n.,;:!?$%&#*|()[]{}<>\"'`’“”…Σςİßﬁ日½²\u0301\u0338\u00a0\u200b"), st.characters()), max_size=40))
+def test_ids_of_any_text(whole_tokenizer, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(packing.WordIds(TOKENIZER).encode(text), "<u4").tolist() == whole_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_ids_of_the_documents(whole_tokenizer, scale):
+    import pyarrow.parquet as pq
+
+    path = f"/root/testdata/sf{scale}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    texts = [t or "" for t in pq.read_table(path, columns=["text"]).column("text").to_pylist()]
+    words = packing.WordIds(TOKENIZER)
+    assert not [t for t, x in zip(texts, whole_tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if words.encode(t) != np.array(x.ids, "<u4").tobytes()]
+
+
+def brute_sum_of_squares(lengths, capacity):
+    """The rule from its words: of all places, a new sequence too if none has room, the least sum of squares of counts by gap."""
+    sequences = []
+    placed = []
+    for s in lengths:
+        ways = []
+        for i in range(len(sequences)):
+            if sum(sequences[i]) + s <= capacity:
+                after = [capacity - sum(x) - (s if j == i else 0) for j, x in enumerate(sequences)]
+                counts = {g: after.count(g) for g in after if 0 < g < capacity}
+                ways.append((sum(n * n for n in counts.values()), capacity - sum(sequences[i]), i))
+        if ways:
+            i = min(ways)[2]
+        else:
+            sequences.append([])
+            i = len(sequences) - 1
+        placed.append((sum(sequences[i]), capacity - sum(sequences[i])))
+        sequences[i].append(s)
+    return len(sequences), placed
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 15), max_size=60))
+def test_sum_of_squares_as_the_rule_says(lengths):
+    sequence, offset = packing.sum_of_squares(np.array(lengths, np.int64), 16)
+    n, placed = brute_sum_of_squares(lengths, 16)
+    # which of the sequences of equal gaps is taken is free, so places are compared by their gaps
+    assert (int(sequence.max()) + 1 if lengths else 0) == n and offset.tolist() == [at for at, _ in placed]
+
+
 def check_sequences(rows, capacity=2048):
     by: dict = {}
     for r in rows:

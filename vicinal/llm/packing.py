@@ -34,7 +34,7 @@ GROUP, GROUP_WITH_IDS = 50_000, 8_000
 KEPT_WORDS = 500_000
 
 
-#: Punctuation that the tokenizer splits from the letters before it, and that never joins with letters.
+#: Punctuation that the tokenizer splits from a letter or digit before it, and that never joins with those.
 TAIL = ".,;:!?$%&#*|"
 #: Of texts in which a token may reach over white space or in which Python and the tokenizer disagree on what white space is.
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
@@ -52,7 +52,8 @@ class WordIds(dict):
     """The token ids of words as little-endian bytes; a word not met yet is encoded.
 
     For a tokenizer that lower-cases, drops white space and encodes runs of letters and of other signs each by
-    itself. Words of Latin letters go straight to its vocabulary, others through all of it.
+    itself. Words of Latin letters go straight to its vocabulary, others through all of it; signs that follow another sign
+    stay with it, since the tokenizer reads them as one run.
     """
 
     def __init__(self, path: str):
@@ -68,7 +69,7 @@ class WordIds(dict):
         if len(self) >= KEPT_WORDS:
             self.clear()
         core = word.rstrip(TAIL)
-        if len(core) < len(word) and core:
+        if len(core) < len(word) and core and core[-1].isalnum() and core[-1] < "\u0250":
             raw = self[core] + self[word[len(core) :]]
         elif word.isalpha() and max(word) < "\u0130" and unicodedata.is_normalized("NFC", word):
             spelt = word.lower().encode().decode("latin-1").translate(self.letters)
