@@ -335,3 +335,78 @@ def test_a_name_alone_does_not_lose_the_article(named):
 def test_large_notices_go_where_an_article_stands_elsewhere():
     notice = "<div class=ad><p>Buy this thing now, it is good and cheap, and there is more of it than of the article.</p></div>"
     assert html_text.extract(f"<body>{notice}<article><h1>Short</h1><p>Text.</p></article></body>") == "Short\nText."
+
+
+BARE = """<html><head><title>No</title></head><body><div><div><h1>The site</h1></div></div><div><ul><li><a href=/a>Menu one</a><li><a href=/b>Menu two</a><li><a href=/c>Menu three</a></ul></div>
+<div class="x1">Buy this thing now, it is very good and cheap, and there is more of it.</div>%s<div class=x3><ul><li><a href=/d>Another page of this site</a><li><a href=/e>And one more of them</a></ul></div>
+<div id=x4>&copy; 2026 nobody &middot; all words reserved</div></body></html>"""
+PARTS = [f"Part {i} of the text tells of this and that, and of what comes after it, in so many words." for i in range(6)]
+
+
+@pytest.mark.parametrize("frame", ["<div>%s</div>", "<div class=x2><div>%s</div></div>", "<section id=q7>%s</section>", "<div><span>%s</span></div>"])
+def test_extracts_by_density_without_tags_or_names_that_tell(frame):
+    body = "<h1>What it is about</h1>" + "".join(f"<p>{x}</p>" for x in PARTS)
+    assert html_text.extract(BARE % (frame % body)) == "\n".join(["What it is about", *PARTS])
+
+
+def test_without_densities_the_article_is_not_found(monkeypatch):
+    body = "<div>" + "".join(f"<p>{x}</p>" for x in PARTS) + "</div>"
+    measured = html_text.measure
+
+    def flat(root):
+        order = measured(root)
+        for x in order:
+            x.density, x.sum = 1.0, 1.0
+        return order
+
+    assert html_text.extract(BARE % body) == "\n".join(PARTS)
+    monkeypatch.setattr(html_text, "measure", flat)
+    assert html_text.extract(BARE % body) != "\n".join(PARTS)
+    assert html_text.extract(PAGE % body) != "\n".join(PARTS)
+
+
+def test_a_title_and_parts_apart_belong_to_the_text():
+    two = f"<h1>Title</h1><div><p>{PARTS[0]}</p><p>{PARTS[1]}</p><p>{PARTS[2]}</p></div><div class=ad>Buy this.</div><div><p>{PARTS[3]}</p><p>{PARTS[4]}</p></div>"
+    assert html_text.extract(BARE % f"<div>{two}</div>") == "\n".join(["Title", *PARTS[:5]])
+
+
+def test_densities_as_the_formula_says():
+    import math
+    import re
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randrange(4))) if depth else ""
+        tag = rng.choice(["div", "section", "a", "b", "ul"])
+        return f"<{tag}>{'x' * rng.randrange(30)} {kids}</{tag}>"
+
+    for _ in range(60):
+        page = tree(4)
+        root = html_text.parse(page)
+        order = html_text.measure(root)
+
+        def written(x):
+            return "".join(c if isinstance(c, str) else f"<{c.tag}>{written(c)}</{c.tag}>" for c in x.children)
+
+        def counts(x):
+            inner = written(x)
+            tags = len(re.findall(r"<\w+>", inner))
+            linked, depth, links = 0, x.tag == "a", 0
+            for token in re.findall(r"</?\w+>|[^<]+", f"{inner}"):
+                if token == "<a>":
+                    depth, links = depth + 1, links + 1
+                elif token == "</a>":
+                    depth -= 1
+                elif not token.startswith("<") and depth:
+                    linked += len(token.replace(" ", ""))
+            return len(re.sub(r"<[^>]+>| ", "", inner)), tags, linked, links + (x.tag == "a")
+
+        body_c, _, body_l, _ = counts(root)
+        for x in order:
+            c, t, lc, lt = counts(x)
+            if c:
+                base = math.log(c / max(c - lc, 1) * max(lc, 1) + body_l / body_c * c + math.e)
+                t, inner = max(t, 1), c / max(lc, 1) * max(t, 1) / max(lt, 1)
+                want = c / t * max(math.log(inner), 0) / math.log(base) if math.log(base) > 1e-9 else c / t
+                assert x.density == pytest.approx(want, rel=1e-6), (page, x.tag)

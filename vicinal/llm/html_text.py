@@ -1,13 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Parts that by their tag are no article (menus, page headers, footers, forms, scripts), or are
-hidden, are cut off; so are those that by their role, class or id are none (sidebars, notices, adverts, comments),
-unless they hold an article or main element, or much of the page's text with no such element elsewhere. Every block node then gets its
-composite density: characters for each tag, adjusted by the share of characters and tags that are in
-links and by the share of the whole body. The node whose children's densities sum to most is the
-middle of the content; the least density on its path to the body is the page's threshold, and every
-node that reaches it gives the subtree of largest sum beneath it. A chosen subtree grows to the article or main
-element around it.
+A page becomes a tree. Elements that by their tag are no text of an article (menus, footers, asides, forms, scripts), or are
+hidden, are left out. Every other node gets its composite density: characters for each tag, adjusted by the share of
+characters and tags that are in links and by the share of the whole body, and weighed by what its tags and names tell: less outside of
+article and main elements where a page has such, less where class, id or role speak of a sidebar, notice, advert or comments. The node
+whose child blocks' densities sum to most, a title's counting more, is the middle of the content; the least density on its path to
+the body is the page's threshold. Every other container of several blocks that reaches it gives the subtree of largest sum beneath it.
+A chosen subtree brings the headings that stand right before it, and grows to the article or main element next around it;
+parts within it whose names tell against them stay if they reach the threshold.
 
 Defined results: null or empty html gives an empty text. Broken html is read as far as it goes: tags that are
 not closed end with what is around them, what is no tag is text. All white space counts as such, also
@@ -48,28 +48,25 @@ DROPPED = frozenset(
 ENDS_P = BLOCKS - {"body", "html", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot"}
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Words in class, id and role of what is no article; those that begin so; and those that count only outside an article.
-NOT_TEXT = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent contentinfo cookie cookies disclaimer disqus footer gdpr masthead "
-    "menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related search share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words in class, id and role that speak of what is no article, and those that begin so.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies footer menu nav navigation newsletter notice popup promo related share sidebar signup "
+    "social sponsored subscribe widget".split()
 )
-NOT_TEXT_BEGIN = ("comment", "advert", "cookie", "sidebar", "sponsor", "reply", "replies", "respond")
-TEXT_BEGIN = ("commentar", "commentat")
-#: Class words of layouts and of what holds an article: they tell nothing.
-_layout = re.compile(r"(?:^|[-_])(?:has|no|with|without)[-_]|widget[-_]*(?:container|wrap|content|inner|body)|^elementor|search[-_]*results?(?:[-_]|$)")
-#: The share of the page's text outside links that a part may have to be cut off by its name, if no article or main element stands elsewhere.
-MOST_CUT = 0.4
-OUTSIDE_ONLY = frozenset({"header", "site-header", "topbar", "byline"})
+NAMES_BEGIN = ("comment", "advert", "cookie", "sidebar", "sponsor", "replies")
+#: Weights of densities: of what is named so, of what is outside of article and main elements, and of titles in the sum of their parent.
+NAMED, OUTSIDE, TITLES = 0.2, 0.3, {"h1": 5.0, "h2": 3.0}
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "holds_block", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
+    __slots__ = ("blocks", "chars", "children", "density", "holds_block", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags", "weight")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.weight, self.blocks = 1.0, 0
         self.holds_block = self.named = False
 
 
@@ -85,16 +82,12 @@ def not_article(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def named_so(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether class, id or role of an element say that it is no part of an article."""
+def named_so(tag: str, attributes: str) -> bool:
+    """Whether class, id or role of an element speak of what is no part of an article."""
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    for name, value in _values(attributes):
-        if name in ("class", "id", "role"):
-            for word in (w for x in value.split() if not _layout.search(x) for w in re.split(r"[^a-z0-9]+", x)):
-                if word in NOT_TEXT or (word.startswith(NOT_TEXT_BEGIN) and not word.startswith(TEXT_BEGIN)) or (not inside and word in OUTSIDE_ONLY):
-                    return True
-    return False
+    words = (w for name, value in _values(attributes) if name in ("class", "id", "role") for w in re.split(r"[^a-z0-9]+", value))
+    return any(w in NAMES or w.startswith(NAMES_BEGIN) for w in words)
 
 
 def _values(attributes: str) -> Iterator[tuple[str, str]]:
@@ -102,37 +95,6 @@ def _values(attributes: str) -> Iterator[tuple[str, str]]:
         yield name.lower(), next((v for v in values if v), "").lower()
 
 
-def cut_named(root: Node) -> None:
-    """Cut off what is named as no article and holds no article or main element, where such an element stands elsewhere
-    or the part has little of the page's text outside links; the rest is for the density to judge."""
-    order, todo = [], [(root, False, False, 0)]
-    while todo:
-        node, linked, named, around = todo.pop()
-        order.append((node, linked, named, around))
-        linked, named, around = linked or node.tag == "a", named or node.named, around + (node.tag in ("article", "main"))
-        todo += [(c, linked, named, around) for c in node.children if isinstance(c, Node)]
-    if not any(x[0].named for x in order):
-        return
-    plain: dict[int, int] = {}
-    holds: set[int] = set()
-    articles = 0
-    for node, linked, named, _ in reversed(order):
-        n = 0
-        for c in node.children:
-            if isinstance(c, Node):
-                n += plain[id(c)]
-                if c.tag in ("article", "main") or id(c) in holds:
-                    holds.add(id(node))
-            elif not linked and node.tag != "a":
-                n += len("".join(c.split()))
-        plain[id(node)] = n
-        articles += n > 0 and not named and node.tag in ("article", "main")
-    most = plain[id(root)] * MOST_CUT
-    for node, _, _, around in order:
-        around += node.tag in ("article", "main")
-        node.children = [c for c in node.children if not (isinstance(c, Node) and c.named and id(c) not in holds and (articles > around or plain[id(c)] <= most))]
-
-
 def parse(page: str) -> Node:
     """The tree of a page without what is no article. Children are nodes and pieces of text."""
     root = Node("body", None)
@@ -181,7 +143,7 @@ def parse(page: str) -> Node:
                 if not dropped:
                     dropped.append(len(stack) - 1)
                 continue
-            node.named = named_so(tag, attributes, any(x.tag in ("article", "main") for x in stack))
+            node.named = named_so(tag, attributes)
             stack[-1].children.append(node)
             if tag not in VOID:
                 stack.append(node)
@@ -189,52 +151,87 @@ def parse(page: str) -> Node:
             tag = end.lower()
             if tag not in ("body", "html") and (i := find({tag}, set())):
                 pop(i)
-    cut_named(root)
     return root
 
 
-def measure(root: Node) -> None:
-    """Counts of characters and tags of each node, with those in links, then densities and their sums."""
+def in_order(root: Node) -> list[Node]:
+    """All nodes, each before its children; without recursion, as pages may be nested deep."""
     order, todo = [], [root]
-    while todo:  # without recursion: pages may be nested deep
+    while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if isinstance(c, Node)]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return order
+
+
+def weigh(order: list[Node]) -> None:
+    """What a node's names and place tell, as a weight of its density."""
+    whole = [x for x in order if x.tag in ("article", "main") and x.chars and not any(y.named for y in _up(x))]
+    around = {id(y) for x in whole for y in _up(x.parent)}
+    inside: set[int] = set()
+    for x in order:
+        up = x.parent
+        if x.tag in ("article", "main") or (up is not None and id(up) in inside):
+            inside.add(id(x))
+        x.named = x.named and id(x) not in around
+        named = (1.0 if up is None or id(up) in around else up.weight) * (NAMED if x.named else 1.0)
+        x.weight = named * (OUTSIDE if whole and id(x) not in inside and id(x) not in around and (up is None or id(up) in around) else 1.0)
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts of characters and tags of each node, with those in links, then densities and their sums. Returns all nodes."""
+    order = in_order(root)
     for node in reversed(order):
+        text = False
         for c in node.children:
             if isinstance(c, Node):
-                node.chars, node.tags = node.chars + c.chars, node.tags + c.tags + 1
+                node.chars, node.tags, node.blocks = node.chars + c.chars, node.tags + c.tags + 1, node.blocks + c.blocks
                 node.link_chars, node.link_tags = node.link_chars + c.link_chars, node.link_tags + c.link_tags
                 node.holds_block |= c.holds_block or c.tag in BLOCKS
-            else:
-                node.chars += len("".join(c.split()))
+            elif n := len("".join(c.split())):
+                node.chars, text = node.chars + n, True
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+        if node.tag in BLOCKS and not node.blocks and (node.chars or text):
+            node.blocks = 1
+    weigh(order)
     body_share = root.link_chars / max(root.chars, 1)
-    for node in reversed(order):
+    for node in order:
         if node.chars:
             c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
             base = math.log(c / max(c - node.link_chars, 1) * lc + body_share * c + math.e)
-            node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / math.log(base) if base > 1 and c / lc * t / lt > 0 and math.log(base) > 1e-9 else c / t
+            plain = c / t * max(math.log(c / lc * t / lt), 0.0) / math.log(base) if base > 1 and math.log(base) > 1e-9 else c / t
+            node.density = node.weight * plain
     for node in order:
-        node.sum = sum(c.density for c in node.children if isinstance(c, Node) and c.tag in BLOCKS)
+        node.sum = sum(c.density * TITLES.get(c.tag, 1.0) for c in node.children if isinstance(c, Node) and c.tag in BLOCKS)
+    return order
+
+
+def titles_before(node: Node) -> list[Node]:
+    """The headings that stand right before a subtree, with no other text between."""
+    found: list[Node] = []
+    while node.parent is not None:
+        parent = node.parent
+        before = parent.children[: next(i for i, c in enumerate(parent.children) if c is node)]
+        for c in reversed(before):
+            if isinstance(c, Node) and c.tag in HEADINGS and c.chars:
+                found.append(c)
+            elif c.chars if isinstance(c, Node) else c.strip():
+                return found
+        node = parent
+    return found
 
 
 def content_nodes(root: Node) -> list[Node]:
-    """The chosen subtrees, in page order and none within another."""
-    measure(root)
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    """The chosen subtrees, in page order and none within another. What is left out of them is cut off."""
+    order = measure(root)
     holders = [x for x in order if x.holds_block and x.chars]
     if not holders:
         return [root]
     best = max(holders, key=lambda x: x.sum)
-    threshold, up = best.density, best
+    threshold, up, path = best.density, best, set()
     while up is not None:
-        threshold, up = min(threshold, up.density), up.parent
+        threshold, up, _ = min(threshold, up.density), up.parent, path.add(id(up))
     # the largest sum beneath each node
     under: dict[int, Node] = {}
     for x in reversed(order):
@@ -244,32 +241,36 @@ def content_nodes(root: Node) -> list[Node]:
                 own = y
         if own is not None:
             under[id(x)] = own
-    chosen, todo = {id(best): best}, [root]
+    chosen, todo = [best], [root]
     while todo:
         x = todo.pop()
-        if x.density >= threshold - 1e-9 and (x.chars - x.link_chars) * 2 > x.chars:
-            y = under.get(id(x), x if x.tag in BLOCKS else None)
-            if y is not None:
-                chosen[id(y)] = y
+        if id(x) not in path and x.holds_block and x.blocks > 1 and x.density >= threshold - 1e-9 and (x.chars - x.link_chars) * 2 > x.chars:
+            chosen.append(under[id(x)])
+        elif x is not best:
             todo += [c for c in x.children if isinstance(c, Node) and c.tag in BLOCKS]
     grown = {}
-    for x in chosen.values():
-        top, up = x, x
-        while up is not None:
-            top = up if up.tag in ("article", "main") else top
-            up = up.parent
-        grown[id(top)] = top
+    for x in chosen:
+        top = x
+        while top.parent is not None and top.tag not in ("article", "main"):
+            top = top.parent
+        top = top if top.tag in ("article", "main") else x
+        for y in (top, *titles_before(top)):
+            grown[id(y)] = y
+    kept = {id(z) for y in (best, *grown.values()) for z in _up(y)}
     out = []
     for x in order:
-        if id(x) in grown:
-            up = x.parent
-            while up is not None and id(up) not in grown:
-                up = up.parent
-            if up is None:
-                out.append(x)
+        if id(x) in grown and not any(id(y) in grown for y in _up(x) if y is not x):
+            out.append(x)
+        x.children = [c for c in x.children if not (isinstance(c, Node) and c.named and c.tag in BLOCKS and c.chars and id(c) not in kept and c.density < threshold - 1e-9)]
     return out
 
 
+def _up(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def blocks_of(node: Node, out: list[str]) -> None:
     """Add the text of each block in a subtree, in page order."""
     held: list[str] = []
