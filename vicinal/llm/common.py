@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.shipping import ship
+from vicinal import shipping
 
-__all__ = ["WORD", "crc_of_id", "materialise", "release", "shared_dir", "ship", "table"]
+__all__ = ["WORD", "crc_of_id", "give_back", "materialise", "release", "shared_dir", "ship", "table"]
 
 #: White space that separates words in every contract here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: With it Spark drops a query's shuffle files when the query ends, and not when the driver happens to collect garbage.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of rows that a Python worker is sent at once, so that long texts need no more memory than short ones.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this session ready for Python workers: they get this package, and rows in batches of a bounded size."""
+    shipping.ship(spark)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return what a task has freed to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
