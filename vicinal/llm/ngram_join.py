@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise, release, ship
+from .common import give_back, materialise, release, ship
 from .components import components
 from .kernels import U, mix, shingle_sets, texts_of
 
 #: Grams counted together in a task before counts of one are dropped. Only the order hangs on it.
-COUNT_AT_ONCE = 4_000_000
+COUNT_AT_ONCE = 2_000_000
 #: A gram is frequent from the least count on, but not below MIN_FREQUENT, at which no more than MAX_FREQUENT grams are: these
 #: are sent to every task, 12 bytes each.
 MIN_FREQUENT, MAX_FREQUENT = 4, 4_000_000
@@ -105,6 +105,8 @@ def frequent_grams(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
                     yield emit()
                     held, n = [], 0
         yield emit()
+        held = []
+        give_back()
 
     # a task that sees more text sees more repeats; up to eight small partitions are read by one, if all cores stay busy
     parts = documents.rdd.getNumPartitions()
@@ -169,6 +171,8 @@ def _prefixes(documents: DataFrame, k: int, num: int, den: int, frequent) -> Dat
             at = np.where(there, np.cumsum(there) - 1, -1)
             prefix = _lists(heads).take(pa.array(at, pa.int32(), mask=at < 0))
             yield _emit({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": prefix})
+        given.clear()
+        give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(cut, f"doc_id {kind}, key long, n long, node long, prefix array<long>")
@@ -194,6 +198,7 @@ def _segments(documents: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, f
                 parts += [grams[part == f] for f in range(FRAGMENTS)]
             f = np.tile(np.arange(FRAGMENTS), len(node))
             yield _emit({"node": _long(np.repeat(np.array(node, np.int64), FRAGMENTS)), "f": pa.array(f, pa.int32()), "grams": _lists(parts)})
+        give_back()
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
     texts = texts.join(_few(one, one.count()), F.expr("key = _key and doc_id <=> _id"), "left_semi").select("text")
@@ -210,11 +215,13 @@ def _needed(num: int, den: int, a: str = "n_a", b: str = "n_b") -> str:
 def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b; n_a, n_b are their sizes) whose common grams reach the threshold. A pair's segments meet in
     each fragment by themselves, where those of b come to a copy of a's for ``STAR`` pairs at most; only the counts go on."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("copies"))
+    stars = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("copies")))
     placed = pairs.join(stars, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("copies")
-    members = placed.join(segments.select(F.col("node").alias("b"), "f", F.col("grams").alias("of_b")), "b")
-    centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(segments.select(F.col("node").alias("a"), "f", F.col("grams").alias("of_a")), "a")
-    counted = members.join(centres, ["a", "copy", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    n = pairs.count()
+    members = segments.select(F.col("node").alias("b"), "f", F.col("grams").alias("of_b")).join(_few(placed, n), "b")
+    centres = segments.select(F.col("node").alias("a"), "f", F.col("grams").alias("of_a")).join(_few(stars, n), "a")
+    centres = centres.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    counted = members.join(centres.hint("merge"), ["a", "copy", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
     return summed.where(F.expr(f"{num + den} * common >= {_needed(num, den)}")).select("a", "b")
 
@@ -295,7 +302,8 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     """h, node, n, at, size: the prefix grams that more than one node has, their places in the prefix, and the number of nodes."""
     grams = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
     shared = materialise(grams.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
-    return materialise(grams.join(_few(shared, shared.count()), "h"))
+    # as many as documents, so these are never sent to every task
+    return materialise(grams.join(shared.hint("merge"), "h"))
 
 
 def _components_of_rows(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -410,11 +418,12 @@ def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     repeat an id and text are one document, and rows that repeat an id with other texts stay or go each by its own
     text; rows with a null id, and texts without words, stay."""
     found = materialise(_components_of_rows(documents, k, num, den))
-    gone = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id", F.col("node").alias("_node")).distinct()
-    often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = materialise(found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id", F.col("node").alias("_node")).distinct())
+    often = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    release(documents.sparkSession, found)
+    known, repeated = (_few(x.select("doc_id"), x.count()) for x in (gone, often))
     if often.isEmpty():
-        return documents.join(gone.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
-    once = documents.join(often, "doc_id", "left_anti")
-    once = once.join(gone.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
-    again = documents.join(often, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"])
+        return documents.join(known, "doc_id", "left_anti").select(*documents.columns)
+    once = documents.join(repeated, "doc_id", "left_anti").join(known, "doc_id", "left_anti").select(*documents.columns)
+    again = documents.join(repeated, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(_with_node(again, k).join(gone, ["doc_id", "_node"], "left_anti").select(*documents.columns))

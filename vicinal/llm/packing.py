@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import give_back, materialise, ship
 
 CAPACITY = 2048
 #: Pieces for each packer, and when token ids are carried along.
 GROUP, GROUP_WITH_IDS = 50_000, 8_000
 #: Words whose ids a task keeps at hand.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 
 
 #: Punctuation that the tokenizer splits from a letter or digit before it, and that never joins with those.
@@ -104,6 +104,8 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_
             if with_ids:
                 columns["ids"] = pa.array([array("I", x).tolist() for x in out["ids"]], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        words.clear()
+        give_back()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return documents.select("doc_id", "text").mapInArrow(cut, schema)
