@@ -136,8 +136,8 @@ def top(spark, rows, k=10, every=20):
 
 
 def test_top_k_like_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn_join, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(knn_join, "ROW_BLOCK", 70)
+    for name, value in (("BIN", 70), ("LEAST_BIN", 1), ("ASKED", 3), ("AT_ONCE", 500)):
+        monkeypatch.setattr(knn_join, name, value)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 12))
     rows = [(i, [float(x) for x in centres[i % 6] * (1 + i % 3) + 0.1 * rng.normal(size=12)]) for i in range(400)]
@@ -168,3 +168,34 @@ def test_keep_one_of_an_id_with_two_texts(spark):
     rows = [(1, text("a")), (5, text("a")), (5, text("b")), (9, text("b")), (5, text("b")), (7, None), (7, ""), (None, text("a"))]
     kept = ngram_join.keep_one(spark.createDataFrame([(i, t, 2) for i, t in rows], "doc_id long, text string, x int")).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted([("1", text("a")), ("5", text("b")), ("7", "None"), ("7", ""), ("None", text("a"))])
+
+
+def test_top_k_sends_rows_once_and_queries_where_they_must(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "LEAST_BIN", 1)
+    monkeypatch.setattr(knn_join, "BIN", 100)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    centres *= 20 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(x) for x in centres[i // 7 % 40] + 0.05 * rng.normal(size=16)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = knn_join.whole_vectors(df, F.col("vec_id") % 20 == 0, "vec_id", "embedding", 1024).cache()
+    sent, asked, places = knn_join.routes(whole, 10)
+    assert places >= 30 and sent.count() <= 4000
+    assert asked.count() <= 0.25 * 200 * places  # some clusters have no pivot of their own
+    assert top(spark, rows) == brute_top(rows, lambda i: i % 20 == 0, 10)
+    # nothing can be pruned: still each row is sent once
+    apart = [(i, [float(x) for x in y / np.linalg.norm(y)]) for i, y in enumerate(rng.normal(size=(1500, 32)))]
+    whole = knn_join.whole_vectors(spark.createDataFrame(apart, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, "vec_id", "embedding", 1024).cache()
+    sent, asked, places = knn_join.routes(whole, 10)
+    assert sent.count() == 1500 and asked.count() <= 75 * places
+    assert top(spark, apart) == brute_top(apart, lambda i: i % 20 == 0, 10)
+
+
+def test_bins_hold_all_cells():
+    rng = np.random.default_rng(5)
+    points, sizes = rng.normal(size=(50, 3)), rng.integers(0, 400, 50)
+    sizes[7] = 5000
+    first, parts = knn_join.bins_of(points, sizes, 600)
+    assert parts[7] == 9 and (parts[np.arange(50) != 7] == 1).all()
+    load = np.bincount(first, np.where(parts == 1, sizes, 0), minlength=(first + parts).max())
+    assert load.max() <= 600 and set(range(first[7], first[7] + 9)).isdisjoint(first[np.arange(50) != 7])

@@ -1,11 +1,16 @@
 """Exact top-k search by a Voronoi join.
 
-Every row goes to its nearest pivot; a pivot's rows are a group. For a query q of a group with pivot p and radius u (the
-largest distance of its queries to p), the score of any row v, the inner product q.v, lies within u |v| of
-p.v. The (k+1)-th largest of the least scores p.v - u |v|, of each id its largest, is therefore a bound that each of the
-group's queries reaches with k other ids, and a row is needed by the group only if p.v + u |v| reaches it. The bound comes
-from summaries: each task sends its k + 1 best ids and their least scores for each group. Needed rows are
-replicated to the groups, which are cut into blocks and solved by a matrix product; blocks' best k are merged.
+The inner product becomes a distance by one more component: with M the largest norm of all rows, a row v is the point
+(v, sqrt(M^2 - |v|^2)) and a query q the point (q, 0), and |q, v|^2 = |q|^2 + M^2 - 2 q.v. Rows and queries both go to their nearest
+pivot; a pivot's rows are a cell, its queries a group. Summaries of a cell are its number of rows, its least and largest
+distance to the pivot and the distances of its k + 1 nearest ids. From these alone comes a bound that k other rows of each query
+surely keep: first for a group, by its radius, then for each query of it. A cell is needed by a query only if no
+bound (by the cell's ring around its pivot, by the plane between the two pivots) puts it beyond.
+
+Near cells lie in one bin of a bounded number of rows, and a cell that is too large is cut into several bins. Queries are fewer than
+rows, so they travel: each goes to the bins that hold a cell it needs, each row goes to its bin, and only if some query needs it.
+A bin is solved by matrix products, and what reaches the query's bound goes on, k rows at most. Where nothing can be pruned, every query
+meets every bin, as it must, and each row still moves once.
 
 Scores are whole numbers that must fit into a long, and exact; bounds are computed in floating point and moved outwards by more than their
 error, so no row that counts is lost.
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
-
-#: Pivots at most, whatever the input; with the dimension this bounds what every task is sent.
-MAX_PIVOTS = 256
-#: Queries of a block, and candidates of one.
-QUERY_BLOCK, ROW_BLOCK = 2048, 16_384
+from .kernels import mix
+
+#: There are as many pivots as the square root of the rows, but no more than this, which bounds what every task is sent (9 MB at 64 components).
+MAX_PIVOTS = 16_384
+#: Rows of a bin at most, and at least where there are more cores than bins.
+BIN, LEAST_BIN = 65_536, 1024
+#: Queries that one copy of a bin is asked by.
+ASKED = 1_000_000
+#: Numbers of a matrix of distances that are held at once.
+AT_ONCE = 2_000_000
+#: Of the largest norm: more than the error of a distance.
+SLACK = 1e-6
 #: Scores and norms whose products stay whole numbers in floating point.
 EXACT = 2.0**52
 
@@ -44,167 +57,265 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two int64 matrices."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if most < EXACT else a @ b.T
+def products(a: np.ndarray, b: np.ndarray, b_float: np.ndarray, b_most: float) -> np.ndarray:
+    """Exact inner products of the rows of two int64 matrices, the second also given as floating point with its largest number."""
+    most = float(np.abs(a).max(initial=0)) * b_most * a.shape[1]
+    return (a.astype(np.float64) @ b_float.T).astype(np.int64) if most < EXACT else a @ b.T
 
 
-def whole_vectors(table: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
-    """id and x (array of long): floor(scale * component) of usable vectors, without repeated rows."""
+def whole_vectors(table: DataFrame, is_query: Column, id_column: str, vector: str, scale: int) -> DataFrame:
+    """id, x (array of long) and query: floor(scale * component) of usable vectors, without repeated rows."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     good = x.isNotNull() & (F.size(x) > 0) & F.col(id_column).isNotNull() & finite
-    cut = table.where(good).select(F.col(id_column).cast("long").alias("id"), F.transform(x, lambda c: F.floor(scale * c.cast("double"))).alias("x"))
-    return cut.dropDuplicates(["id", "x"])
+    cut = table.select(F.col(id_column).cast("long").alias("id"), F.when(good, F.transform(x, lambda c: F.floor(scale * c.cast("double")))).alias("x"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    return cut.where("x is not null").groupBy("id", "x").agg(F.max("query").alias("query"))
 
 
 def choose_pivots(rows: DataFrame, n: int) -> np.ndarray:
-    """At most n distinct vectors, the first by hash, of the commonest length."""
-    length = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if length is None:
-        return np.zeros((0, 0))
-    some = rows.where(F.size("x") == length["d"]).orderBy(F.xxhash64("id"), "id").limit(n).select("x").toArrow()
+    """At most n distinct vectors of ``rows`` (id, x), the first by hash."""
+    some = rows.orderBy(F.xxhash64("id", F.lit(5)), "id", "x").limit(n).select("x").toArrow()
     return np.unique(as_matrix(some.column("x").combine_chunks()), axis=0).astype(np.float64)
 
 
-def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    squares = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None]
-    g = squares.argmin(1)
-    return g, np.sqrt(((x - pivots[g]) ** 2).sum(1))
+def raised(x: np.ndarray, most: float | None) -> np.ndarray:
+    """Points with one more component: of rows, which brings all to the norm ``most`` (squared); of queries (None) it is 0."""
+    more = np.zeros(len(x)) if most is None else np.sqrt(np.maximum(most - (x**2).sum(1), 0.0))
+    return np.column_stack([x, more])
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0.0))
+
+
+def in_parts(n: int, width: int) -> Iterator[slice]:
+    step = max(1, AT_ONCE // max(width, 1))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+def bins_of(points: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bin of each cell and over how many its rows are dealt. Cells are halved along their widest component until a
+    part has ``most`` rows or one cell."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    n, todo = 0, [np.arange(len(sizes))] if len(sizes) else []
+    while todo:
+        cells = todo.pop()
+        if len(cells) == 1 or sizes[cells].sum() <= most:
+            first[cells] = n
+            parts[cells] = 1 if len(cells) > 1 else max(1, -(-int(sizes[cells[0]]) // most))
+            n += int(parts[cells[0]])
+            continue
+        along = points[cells][:, np.ptp(points[cells], axis=0).argmax()]
+        cells = cells[np.argsort(along, kind="stable")]
+        half = int(np.clip(np.searchsorted(np.cumsum(sizes[cells]), sizes[cells].sum() / 2), 1, len(cells) - 1))
+        todo += [cells[half:], cells[:half]]
+    return first, parts
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Summaries of the cells that have rows, and of the groups of queries."""
+
+    pivots: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    #: Distances to the pivot of the nearest k + 1 ids, and those ids, ascending; infinite where there are fewer.
+    near: np.ndarray
+    ids: np.ndarray
+    #: Largest distance of a query to the pivot of its group.
+    radius: np.ndarray
+    slack: float
+    k: int
+
+    def kept(self, reach: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """For points of distances ``reach`` to all pivots: a distance within which k rows lie, of other ids than ``own``, or (None) than any one id."""
+        row = np.arange(len(reach))
+        first = np.argsort(reach + self.near[:, 0], axis=1, kind="stable")[:, : self.k + 1]
+        far = (reach[row[:, None], first][:, :, None] + self.near[first]).reshape(len(reach), -1)
+        ids = self.ids[first].reshape(len(reach), -1)
+        if own is None:
+            out = np.full(len(reach), np.inf)
+            for i in row:
+                # the nearest of each id, and one more than k of these, as one may be the query's own
+                by = np.argsort(far[i], kind="stable")
+                once = by[np.sort(np.unique(ids[i][by], return_index=True)[1])]
+                if len(once) > self.k:
+                    out[i] = far[i][once[self.k]]
+            return out
+        far = np.sort(np.where(ids == own[:, None], np.inf, far), axis=1)
+        return far[:, self.k - 1] if far.shape[1] >= self.k else np.full(len(reach), np.inf)
+
+    def needed(self, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For queries whether each cell may hold one of their k best, and the distance that these keep."""
+        reach = distances(x, self.pivots)
+        group = reach.argmin(1)
+        groups, of = np.unique(group, return_inverse=True)
+        between, radius = distances(self.pivots[groups], self.pivots), self.radius[groups][:, None]
+        # of the group: every query is within the radius of its pivot
+        bound = self.kept(between + radius, None)
+        wanted = (between - radius - self.most[None] <= bound[:, None] + self.slack)[of]
+        # of the query itself
+        bound = np.minimum(self.kept(reach, ids), bound[of])
+        nearest = reach[np.arange(len(x)), group][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(between[of] > 0, (reach**2 - nearest**2) / (2 * between[of]), 0.0)
+        beyond = np.maximum(np.maximum(reach - self.most[None], self.least[None] - reach), plane)
+        return wanted & (beyond <= bound[:, None] + self.slack), bound + self.slack
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of ``table`` for each of its rows with ``is_query``."""
     spark = table.sparkSession
     ship(spark)
-    marked = table.withColumn("_query", F.coalesce(is_query, F.lit(False)))
-    rows = whole_vectors(marked, id_column, vector, scale)
-    rows = materialise(rows.join(marked.where("_query").select(F.col(id_column).cast("long").alias("id")).distinct().withColumn("query", F.lit(True)), "id", "left").withColumn("query", F.coalesce("query", F.lit(False))))
-    out = "query_id long, rank int, vec_id long, score long"
+    rows = materialise(whole_vectors(table, is_query, id_column, vector, scale))
     lengths = [r[0] for r in rows.where("query").select(F.size("x")).distinct().collect()]
     parts = [_top_k_of_length(rows.where(F.size("x") == d), k) for d in sorted(lengths)]
     if not parts:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole
 
 
-def _top_k_of_length(rows: DataFrame, k: int) -> DataFrame:
-    spark = rows.sparkSession
-    n_queries = rows.where("query").count()
-    pivots = choose_pivots(rows.where("query"), min(MAX_PIVOTS, max(1, math.isqrt(n_queries))))
-    sent = spark.sparkContext.broadcast(pivots)
+def _place(rows: DataFrame, sent, most: float | None) -> DataFrame:
+    """id, g, r of each row of ``rows`` (id, x), as a row or (``most`` None) as a query: its nearest pivot and the distance to it."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                g, r = _nearest(as_matrix(b.column("x")).astype(np.float64), sent.value)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(g, pa.int32()), pa.array(r, pa.float64())], names=["id", "x", "g", "r"])
-
-    queries = materialise(rows.where("query").select("id", "x").mapInArrow(place, "id long, x array<long>, g int, r double"))
-    size = {r["g"]: (r["n"], r["u"]) for r in queries.groupBy("g").agg(F.count("*").alias("n"), F.max("r").alias("u")).collect()}  # a row for each pivot
-    groups = sorted(size)
-    radius = np.array([size[g][1] for g in groups]) * (1 + 1e-9) + 1e-6
-    centres = pivots[groups]
-    told = spark.sparkContext.broadcast((centres, radius))
-
-    def bounds(x: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and most scores of rows with queries of each group, moved outwards."""
-        near, reach = x @ centres.T, np.sqrt((x**2).sum(1))[:, None] * radius[None]
-        slack = 1e-6 + 1e-9 * (np.abs(near) + reach)
-        return near - reach - slack, near + reach + slack
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, u = told.value
-        best, of = np.zeros((len(u), 0)), np.zeros((len(u), 0), np.int64)
+            x, ids = as_matrix(b.column("x")).astype(np.float64), b.column("id").to_numpy()
+            for part in in_parts(len(x), len(sent.value)):
+                reach = distances(raised(x[part], most), sent.value)
+                g = reach.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(g, pa.int32()), pa.array(reach[np.arange(len(g)), g])], names=["id", "g", "r"])
+
+    return rows.select("id", "x").mapInArrow(place, "id long, g int, r double")
+
+
+def cells_of(rows: DataFrame, k: int) -> tuple[Cells, np.ndarray, float]:
+    """The summaries of ``rows`` (id, x, query), the cells' numbers of rows, and the largest squared norm. The driver
+    receives k + 4 numbers for each pivot."""
+    spark = rows.sparkSession
+    squares = F.aggregate("x", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
+    about = rows.agg(F.count("*").alias("n"), F.max(squares).alias("most")).first()
+    most = about["most"] * (1 + 1e-9)
+    pivots = raised(choose_pivots(rows, min(MAX_PIVOTS, max(1, math.isqrt(about["n"])))), most)
+    sent = spark.sparkContext.broadcast(pivots)
+    placed = materialise(_place(rows, sent, most))
+    sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    ring = np.full((2, len(pivots)), [[np.inf], [-np.inf]])
+    for r in placed.groupBy("g").agg(F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("z")).collect():
+        sizes[r["g"]], ring[0, r["g"]], ring[1, r["g"]] = r["n"], r["a"], r["z"]
+    # of an id that stands in a cell more than once its nearest, so that k others are left whichever id asks
+    order = Window.partitionBy("g").orderBy("r", "id")
+    ranked = placed.groupBy("g", "id").agg(F.min("r").alias("r")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    near, ids = np.full((len(pivots), k + 1), np.inf), np.zeros((len(pivots), k + 1), np.int64)
+    found = ranked.toPandas()
+    near[found["g"], found["_n"] - 1], ids[found["g"], found["_n"] - 1] = found["r"], found["id"]
+    for r in _place(rows.where("query"), sent, None).groupBy("g").agg(F.max("r").alias("u")).collect():
+        radius[r["g"]] = r["u"]
+    return Cells(pivots, ring[0], ring[1], near, ids, radius, SLACK * math.sqrt(most) + SLACK**2 * most + SLACK, k), sizes, most
+
+
+def routes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows and the queries with the bin of each (a query once for each bin it needs), and the number of places.
+
+    Rows: at, id, x. Queries: at, id, x, least: the score that k others reach.
+    """
+    spark = rows.sparkSession
+    cells, sizes, most = cells_of(rows, k)
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    first, parts = bins_of(cells.pivots, sizes, int(np.clip(-(-int(sizes.sum()) // (2 * cores)), LEAST_BIN, BIN)))
+    n_bins = int((first + parts).max(initial=0))
+    told = spark.sparkContext.broadcast((cells, first, parts))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, first, parts = told.value
+        # the bins of each cell, one after the other
+        cell = np.repeat(np.arange(len(first)), parts)
+        bins = np.concatenate([np.arange(a, a + n) for a, n in zip(first, parts, strict=True)])
+        by = np.argsort(bins, kind="stable")
+        cell, starts = cell[by], np.searchsorted(bins[by], np.arange(n_bins))
         for b in batches:
-            if b.num_rows:
-                least = bounds(as_matrix(b.column("x")).astype(np.float64), c, u)[0].T
-                ids = b.column("id").to_numpy()
-                by = np.argsort(ids, kind="stable")
-                ids, starts = np.unique(ids[by], return_index=True)
-                least = np.maximum.reduceat(least[:, by], starts, axis=1)
-                at = np.argsort(-least, axis=1)[:, : k + 1]
-                best, of = np.concatenate([best, np.take_along_axis(least, at, 1)], axis=1), np.concatenate([of, ids[at]], axis=1)
-                at = np.argsort(-best, axis=1, kind="stable")
-                best, of = np.take_along_axis(best, at, 1), np.take_along_axis(of, at, 1)
-                # an id counts once, with its best
-                best[np.tril(of[:, :, None] == of[:, None, :], -1).any(2)] = -np.inf
-                at = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
-                best, of = np.take_along_axis(best, at, 1), np.take_along_axis(of, at, 1)
-        g = np.repeat(np.arange(len(u)), best.shape[1])
-        there = np.isfinite(best.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(g[there], pa.int32()), pa.array(of.ravel()[there], pa.int64()), pa.array(best.ravel()[there], pa.float64())], names=["g", "id", "least"])
-
-    # one of k + 1 ids may be the query's own, whatever the number of its rows
-    of_ids = rows.select("id", "x").mapInArrow(summarise, "g int, id long, least double").groupBy("g", "id").agg(F.max("least").alias("least"))
-    ranked = of_ids.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("least"))))
-    bound = np.full(len(groups), -np.inf)
-    for r in ranked.where(F.col("_r") == k + 1).select("g", "least").collect():
-        bound[r["g"]] = r["least"]
-    told_bound = spark.sparkContext.broadcast(bound)
-    query_blocks = np.array([max(1, -(-size[g][0] // QUERY_BLOCK)) for g in groups])
-
-    def count_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, u = told.value
-        total = np.zeros(len(u), np.int64)
+            whole, ids = as_matrix(b.column("x")), b.column("id").to_numpy()
+            for part in in_parts(len(ids), len(cells.pivots) + n_bins):
+                x = whole[part].astype(np.float64)
+                needed, bound = cells.needed(raised(x, None), ids[part])
+                needed &= np.isfinite(cells.least)[None]
+                q, to = np.nonzero(np.logical_or.reduceat(needed[:, cell], starts, axis=1))
+                least = ((x**2).sum(1) + most - bound**2) / 2
+                least = least - 1e-9 * np.abs(least) - 1.0
+                at = pa.array(q + part.start)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), b.column("id").take(at), b.column("x").take(at), pa.array(least[q])], names=["bin", "id", "x", "least"])
+
+    asked = materialise(rows.where("query").select("id", "x").mapInArrow(ask, "bin int, id long, x array<long>, least double"))
+    # a bin that many ask is copied; one that none asks stays where it is
+    copies = np.zeros(n_bins, np.int64)
+    for r in asked.groupBy("bin").count().collect():
+        copies[r["bin"]] = -(-r["count"] // ASKED)
+    place = np.concatenate([[0], np.cumsum(copies)])
+    at_place = spark.sparkContext.broadcast((place, copies))
+
+    @F.arrow_udf("int")
+    def place_of(bins: pa.Array, ids: pa.Array) -> pa.Array:
+        place, copies = at_place.value
+        b = bins.to_numpy(zero_copy_only=False)
+        return pa.array(place[b] + mix(ids.to_numpy(zero_copy_only=False).view(np.uint64)) % copies[b].astype(np.uint64), pa.int32())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (cells, first, parts), (place, copies) = told.value, at_place.value
         for b in batches:
-            if b.num_rows:
-                total += (bounds(as_matrix(b.column("x")).astype(np.float64), c, u)[1] >= told_bound.value[None]).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(u)), pa.int32()), pa.array(total)], names=["g", "n"])
+            x, ids = as_matrix(b.column("x")), b.column("id").to_numpy()
+            for part in in_parts(len(ids), len(cells.pivots)):
+                g = distances(raised(x[part].astype(np.float64), most), cells.pivots).argmin(1)
+                own = first[g] + (mix(ids[part].view(np.uint64)) >> np.uint64(7)).astype(np.int64) % parts[g]
+                at = np.repeat(np.arange(len(g)), copies[own])
+                turn = np.arange(len(at)) - np.repeat(np.cumsum(copies[own]) - copies[own], copies[own])
+                rows_ = pa.array(at + part.start)
+                yield pa.RecordBatch.from_arrays([pa.array(place[own[at]] + turn, pa.int32()), b.column("id").take(rows_), b.column("x").take(rows_)], names=["at", "id", "x"])
 
-    # each group is cut into blocks by what it needs
-    row_blocks = np.ones(len(groups), np.int64)
-    for r in rows.select("x").mapInArrow(count_needed, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
-        row_blocks[r["g"]] = max(1, -(-r["n"] // ROW_BLOCK))
+    sent = rows.select("id", "x").mapInArrow(send, "at int, id long, x array<long>")
+    return sent, asked.select(place_of("bin", "id").alias("at"), "id", "x", "least"), int(place[-1])
+
+
+def _top_k_of_length(rows: DataFrame, k: int) -> DataFrame:
+    sent, asked, places = routes(rows, k)
+    # a place's rows, then its queries
+    both = sent.select("at", F.lit(None).cast("double").alias("least"), "id", "x").unionByName(asked.select("at", "least", "id", "x"))
+    both = both.repartitionById(max(places, 1), F.col("at")).sortWithinPartitions("at", F.col("least").asc_nulls_first())
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, u = told.value
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, here = None, [], None
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column("id").to_numpy(), as_matrix(b.column("x"))
-            needed = bounds(x.astype(np.float64), c, u)[1] >= told_bound.value[None]
-            for g in range(len(u)):
-                at = np.flatnonzero(needed[:, g])
-                for q in range(query_blocks[g] if len(at) else 0):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), g), pa.int32()), pa.array(np.full(len(at), q), pa.int32()), pa.array(ids[at] % row_blocks[g], pa.int32()), b.column("id").take(pa.array(at)), b.column("x").take(pa.array(at))],
-                        names=["g", "q", "s", "id", "x"],
-                    )
-
-    number = {g: i for i, g in enumerate(groups)}
-    place_of = F.element_at(F.array(*[F.lit(number.get(i, -1)) for i in range(len(pivots))]), F.col("g") + 1)
-    of_group = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("g") + 1)
-    asked = queries.select("id", "x", place_of.alias("g")).withColumn("q", F.pmod(F.xxhash64("id"), of_group(query_blocks)).cast("int"))
-    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), of_group(row_blocks - 1)))).select("g", "q", "s", "id", "x")
-    needed = rows.select("id", "x").mapInArrow(replicate, "g int, q int, s int, id long, x array<long>")
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, v = as_matrix(left.column("x")), as_matrix(right.column("x"))
-        qid, vid = left.column("id").to_numpy(), right.column("id").to_numpy()
-        query, row, score = [], [], []
-        if len(q) and len(v):
-            by = np.argsort(vid, kind="stable")
-            v, vid = v[by], vid[by]
-            for i in range(0, len(q), 256):
-                s = products(q[i : i + 256], v)
-                for j in range(len(s)):
-                    own = s[j]
-                    other = vid != qid[i + j]
-                    own, ids = own[other], vid[other]
-                    if len(own) > k:
-                        edge = np.partition(own, len(own) - k)[len(own) - k]
-                        over, ties = np.flatnonzero(own > edge), np.flatnonzero(own == edge)
-                        at = np.concatenate([over, ties[: k - len(over)]])
-                        own, ids = own[at], ids[at]
-                    query.append(np.full(len(own), qid[i + j])), row.append(ids), score.append(own)
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"query_id": join(query), "vec_id": join(row), "score": join(score)})
-
-    local = asked.groupBy("g", "q", "s").cogroup(needed.groupBy("g", "q", "s")).applyInArrow(solve, "query_id long, vec_id long, score long")
+            ids, x, places = b.column("id").to_numpy(), as_matrix(b.column("x")), b.column("at").to_numpy()
+            asks, least = b.column("least").is_valid().to_numpy(zero_copy_only=False), b.column("least").to_numpy(zero_copy_only=False)
+            edges = (np.flatnonzero((np.diff(places) != 0) | np.diff(asks)) + 1).tolist()
+            for i, j in zip([0, *edges], [*edges, len(ids)], strict=True):
+                if i < j and places[i] != at:
+                    at, held, here = places[i], [], None
+                if i < j and not asks[i]:
+                    held.append((x[i:j], ids[i:j]))
+                elif i < j:
+                    if here is None:
+                        v, vid = (np.concatenate(z) for z in zip(*held, strict=True)) if held else (np.zeros((0, x.shape[1]), np.int64), np.zeros(0, np.int64))
+                        by, held = np.argsort(vid, kind="stable"), []
+                        here = (v[by], v[by].astype(np.float64), float(np.abs(v).max(initial=0)), vid[by])
+                    yield from best_of(x[i:j], ids[i:j], least[i:j], *here)
+
+    def best_of(q: np.ndarray, qid: np.ndarray, least: np.ndarray, v: np.ndarray, v_float: np.ndarray, v_most: float, vid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(len(q), len(v)):
+            query, row, score = [], [], []
+            for own, me, floor in zip(products(q[part], v, v_float, v_most), qid[part], least[part], strict=True):
+                there = np.flatnonzero((own >= floor) & (vid != me))
+                if len(there) > k:  # rows are in the order of their ids
+                    found = own[there]
+                    edge = np.partition(found, len(found) - k)[len(found) - k]
+                    over, ties = there[found > edge], there[found == edge]
+                    there = np.concatenate([over, ties[: k - len(over)]])
+                query.append(np.full(len(there), me)), row.append(vid[there]), score.append(own[there])
+            join = lambda z: pa.array(np.concatenate(z), pa.int64())
+            yield pa.RecordBatch.from_arrays([join(query), join(row), join(score)], names=["query_id", "vec_id", "score"])
+
+    local = both.mapInArrow(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
