@@ -96,3 +96,40 @@ def test_queries_give_a_row_for_each_input(spark, name):
         pytest.skip("rows are pieces or neighbours")
     source = "pages" if name.startswith(("op4", "op8")) else "documents"
     assert queries.QUERIES[name](spark, TABLES).count() == table(spark, TABLES, source).count()
+
+
+def tables_of(spark, path, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, predicted string, n_lines double, n_removed int")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables_of(spark, tmp_path, [], [])).count() == 0
+
+
+def test_stages_keep_clashing_columns_null_texts_and_repeated_ids(spark, tmp_path):
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    of = lambda i, t, source="s": (i, t, "en", source, len(t or ""), 9.5, "yes", 7.25, -3)
+    rows = [of(1, text("a")), of(2, text("a") + " end"), of(2, text("b")), of(3, None), of(None, text("c")), of(4, ""), of(5, text("d")), of(5, text("d")), of(6, text("e"), None), of(None, None)]
+    path = tables_of(spark, tmp_path, rows, [(1, 1, 0), (2, 0, None), (None, 1, 1)])
+    docs = table(spark, path, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = materialise(stage(spark, docs, path))
+        assert after.columns == docs.columns and all((r["score"], r["predicted"], r["n_lines"], r["n_removed"]) == (9.5, "yes", 7.25, -3) for r in after.collect()), name
+        if name == "ngram_join":
+            # 2 with the text of 1 goes, 2 with a text of its own stays, of the rows that repeat 5 one stays
+            want = [of(1, text("a")), of(2, text("b")), of(3, None), of(None, text("c")), of(4, ""), of(5, text("d")), of(6, text("e"), None), of(None, None)]
+            assert sorted(map(repr, map(tuple, after.collect()))) == sorted(map(repr, want))
+        docs = after
+    assert {r["text"] for r in docs.collect()} <= {text(x) for x in "abcde"} and docs.count() >= 4
+    pieces = corpus_pipeline.run(spark, path)
+    assert Counter(r["doc_id"] for r in pieces.collect()) == Counter(r["doc_id"] for r in docs.collect())
+
+
+def test_rows_that_repeat_are_dealt_to_packers(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "")] * 300, "doc_id long, text string").repartition(3)
+    cut = materialise(packing.pieces(docs, queries.tokenizer_path("word_bpe_49k.json")))
+    packed = packing.pack(cut, 2048, 50).collect()
+    assert check_sequences(packed) <= 6 and len({r["sequence_id"] for r in packed}) > 1

@@ -49,8 +49,9 @@ def boilerplate(documents: DataFrame, min_sites: int = 10, site: str = "source")
     return far.unionByName(near.join(counted, "_hash").select("_hash", "_first"))
 
 
-def dedup_lines(documents: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
-    """``documents`` with boilerplate lines taken from text, and n_lines (before) and n_removed.
+def dedup_lines(documents: DataFrame, min_sites: int = 10, site: str = "source", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``documents`` with boilerplate lines taken from text, and the numbers of its lines before and of those removed. Columns that have
+    one of ``names`` are replaced; other names keep them.
 
     A document's places to remove (a few numbers) meet its text by id and hash of the text; nothing
     else of the lines is shuffled.
@@ -65,4 +66,4 @@ def dedup_lines(documents: DataFrame, min_sites: int = 10, site: str = "source")
     lines = F.split("text", "\n", -1)
     rest = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__ld_places"), i))
     text = F.when(F.col("__ld_places").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    return joined.withColumns({"text": text, "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.greatest(F.coalesce(F.size("__ld_places"), F.lit(0)), F.lit(0))}).drop("__ld_text", "__ld_id", "__ld_of", "__ld_places")
+    return joined.withColumns({"text": text, names[0]: F.coalesce(F.size(lines), F.lit(0)), names[1]: F.greatest(F.coalesce(F.size("__ld_places"), F.lit(0)), F.lit(0))}).drop("__ld_text", "__ld_id", "__ld_of", "__ld_places")

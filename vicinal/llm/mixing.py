@@ -14,7 +14,7 @@ grow slowly. Order by bands also keeps the words taken near the target, since li
 together.
 
 Defined results: null or empty text has size 0. A null source is a source of its own, last in
-order. Null ids are ranked first. Repeated rows are documents of their own. A source without words has target 0 and takes nothing.
+order. Null ids are dealt to buckets by a hash of their text. Repeated rows are documents of their own. A source without words has target 0 and takes nothing.
 Empty tables give empty results. Other columns are kept by
 ``mix``; names that begin with ``__mix`` are reserved.
 """
@@ -81,7 +81,8 @@ def copies(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     buckets = max(1, math.ceil(math.sqrt(rows / 50)))
     shares = targets(weights_by_order(per_source.select("source", "source_size"), weights), most)
     # the odd multiplier deals out ids that share a factor
-    bucket = F.coalesce(F.pmod(F.pmod(F.col("doc_id"), F.lit(1000003)) * 7919, F.lit(buckets)), F.lit(0)).cast("int")
+    key = F.coalesce("doc_id", "__mix_key") if "__mix_key" in sized.columns else F.coalesce("doc_id", F.lit(0))
+    bucket = F.pmod(F.pmod(key, F.lit(1000003)) * 7919, F.lit(buckets)).cast("int")
     placed = sized.withColumns({"_band": size_band(F.col("size")), "_bucket": bucket})
     cells = placed.groupBy("source", "_band", "_bucket").agg(F.count("*").alias("_n"))
     along = Window.partitionBy("source").orderBy("_band", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,10 +103,14 @@ def copies(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     )
 
 
+def _sized(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("__mix_key"))
+
+
 def plan_mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of ``documents``. The text is read once;
     what follows reads the written ids and sizes."""
-    sized = materialise(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    sized = materialise(_sized(documents))
     out = copies(sized, weights, most, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
@@ -114,7 +119,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     """The rows of ``documents``, each as often as the mix takes it. Rows alike in id, source and size
     get their copies together: the total of such a group is dealt out over its rows."""
     keyed = documents.withColumn("__mix_size", n_words(F.col("text")))
-    sized = materialise(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    sized = materialise(_sized(documents))
     dealt = copies(sized, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
     alone = dealt.where("__mix_rows = 1 and __mix_copies > 0")
     d = keyed.alias("d")

@@ -150,7 +150,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
     """``cut`` (rows with doc_id, piece, length) with sequence_id and offset. ``cut`` should be a written table: it is read twice."""
     n = cut.count()
     packers = max(1, -(-n // group))
-    dealt = cut.withColumn("_packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)).cast("int"))
+    # by its place in the table too, so that rows which repeat are dealt out
+    dealt = cut.withColumn("_packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(packers)).cast("int"))
     whole = dealt.where(F.col("length") == capacity)
     rest = dealt.where(F.col("length") < capacity)
 

@@ -6,8 +6,9 @@ A logistic calibration on other labelled documents than the dictionaries' turns
 compressed share of the text and its length into the probability of label 1.
 
 Defined results: null text is empty; an empty text has difference 0 and gets the calibrated score of
-that. Equal texts get equal scores. Without labels, or with labels of one kind only, every score is the smoothed
-share of label 1. Repeated rows and extra columns do not matter; null ids take no part in learning.
+that. Equal texts get equal scores. With fewer than four sampled documents of either label every score is the smoothed
+share of label 1 among those. Repeated rows do not matter, nor do extra columns but those named like the result's; null ids take no part in
+learning, and an id that stands on rows of several texts teaches with each.
 """
 
 from __future__ import annotations
@@ -147,9 +148,10 @@ def score_udf(model: Model):
     return score
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``documents`` with score (0 to 1) and predicted (1 from ``threshold`` on), learnt from ``labels`` (doc_id, quality)."""
+def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``documents`` with a score (0 to 1) and a prediction (1 from ``threshold`` on), learnt from ``labels`` (doc_id, quality). Columns of
+    ``documents`` that have one of ``names`` are replaced; other names keep them."""
     ship(documents.sparkSession)
     score = score_udf(fit(documents, labels))
-    scored = documents.withColumn("score", score("text"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = documents.withColumn(names[0], score("text"))
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

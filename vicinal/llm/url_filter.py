@@ -8,7 +8,7 @@ levels whose groups differ little are shrunk much. A host is blocked when the lo
 bound of its share of bad pages is above ``max_bad``.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
-gets the reputation of the empty host. Null outcomes do not count. Repeated rows count each time.
+gets the reputation of the empty host. Null outcomes do not count. Repeated rows count each time; of equally long rules that fit the last decides.
 An empty table gives an empty result. Extra columns are kept, but those named like a result's are replaced, and names that
 begin with two underscores are reserved.
 """
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: (action, host, path prefix)
 Rule = tuple[str, str, str]
 
@@ -73,11 +75,12 @@ def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     ``labelled`` has host and bad (boolean), one row per labelled page, and rows with a null bad for the other
     pages: a host of such rows only is as its domain's prior says, or its suffix's or that of all pages where those
     have no labels either. Counts are partial sums before any shuffle, so a host with a third of all pages is one
-    row per task; each level then has a row per group.
+    row per task; each level then has a row per group. The pages are read once, the hosts' counts are written.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = hosts.withColumns({"bad": F.coalesce("bad", F.lit(0)), "domain": domain, "suffix": suffix})
+    # what follows reads these rows and never the pages again
+    hosts = materialise(hosts.withColumns({"bad": F.coalesce("bad", F.lit(0)), "domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
