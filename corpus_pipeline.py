@@ -2,7 +2,12 @@
 to their weights, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever these are named, but for names that begin with two underscores, which are reserved.
+
+Defined results: a null text is empty to all stages and stays null. Rows that repeat an id and text lose the same lines, and are one document to
+the n-gram join, so one of them stays; of rows alike in these but not in other columns any one. Rows that repeat an id with other texts are
+documents of their own. Rows with a null id, and texts without words, are never taken for copies. The mix takes no document without words. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +24,15 @@ from vicinal.llm.queries import MIN_SITES, tokenizer_path, training_labels
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects; it learns from the labels outside the held-out fold."""
-    scored = toxicity.score_toxicity(docs, training_labels(spark, sf_dir, 5, 0))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, training_labels(spark, sf_dir, 5, 0), names=("__toxicity", "__toxic"))
+    return scored.where("__toxic = 0").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that stand on many sites, but in the first document that has them. No document goes."""
-    cleaned = line_dedup.dedup_lines(docs, MIN_SITES)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cleaned = line_dedup.dedup_lines(docs, MIN_SITES, names=("__lines", "__removed"))
+    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
