@@ -47,3 +47,43 @@ def test_log_lines(capsys):
     line = json.loads(capsys.readouterr().err)
     assert (line["message"], line["rows"], line["level"]) == ("scored 3", 3, "INFO")
     assert log.logger("t", "debug", "text").level == logging.DEBUG
+
+
+def test_models_are_saved_and_loaded(spark, references, tmp_path):
+    refs, _ = references
+    from vicinal.operators import forest
+
+    for name, model in (("t", forest.fit_tree(refs, min_leaf=2)), ("f", forest.fit_forest(refs, trees=3, max_depth=4)), ("s", forest.fit_soft_forest(refs.withColumn("soft", F.col("label") / 2.0), trees=3, max_depth=4))):
+        forest.save_model(model, str(tmp_path / name))
+        again = forest.load_model(str(tmp_path / name))
+        scores = [sorted((r["ref_id"], r["score"]) for r in forest.predict(m, refs).collect()) for m in (model, again)]
+        assert scores[0] == scores[1]
+
+
+def test_samples_from_each_source(spark, tmp_path, references):
+    from vicinal.operators import forest
+
+    rows = [{"name": "a", "vector": [0.9] * 14, "expected": "fraud"}, {"name": "b", "vector": [0.1] * 14}]
+    (tmp_path / "s.json").write_text(json.dumps(rows))
+    from_file, from_text = sources.read_samples(spark, str(tmp_path / "s.json")), sources.read_samples(spark, lines=json.dumps(rows))
+    assert from_file.collect() == from_text.collect() and sources.read_samples(spark).count() == 2
+    found = {r["name"]: r for r in forest.predict_samples(forest.fit_tree(references[0], min_leaf=2), from_file).collect()}
+    assert not found["a"]["approved"] and found["a"]["as_expected"] and found["b"]["approved"] and found["b"]["as_expected"]
+
+
+def test_command_line(spark, references, tmp_path, capsys):
+    from vicinal.__main__ import parser, run
+
+    _, top = references
+    of = lambda *words: run(spark, parser().parse_args([str(w) for w in words]))
+    assert of("generate", "--rows", 50, "--out", tmp_path / "g", "--seed", 3, "--mcc", 5411, 5999) == 0
+    rows = spark.read.parquet(str(tmp_path / "g"))
+    assert rows.count() == 50 and {r["mcc"] for r in rows.collect()} == {5411, 5999}
+    assert rows.select("amount_milli").collect() != sources.generate_payloads(spark, 50).select("amount_milli").collect()
+    assert of("relabel", "--references", top / "refs.parquet", "--out", tmp_path / "votes") == 0
+    assert of("train", "--references", top / "refs.parquet", "--min-leaf", 2, "--out-model", tmp_path / "m", "--out-metrics", tmp_path / "metrics") == 0
+    assert of("predict", "--model", tmp_path / "m") == 0 and "legit sample" in capsys.readouterr().out
+    request = {"id": "tx-1", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"}, "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": []},
+               "merchant": {"id": "M", "mcc": "5411", "avg_amount": 60.25}, "terminal": {"is_online": False, "card_present": True, "km_from_home": 29.23}, "last_transaction": None}
+    (tmp_path / "set.json").write_text(json.dumps({"entries": [{"request": request, "expected_approved": True, "expected_fraud_score": 0.0}]}))
+    assert of("evaluate", "--model", tmp_path / "m", "--test-set", tmp_path / "set.json") == 0 and "weighted_e" in capsys.readouterr().out

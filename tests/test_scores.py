@@ -152,3 +152,53 @@ def test_stream_answers_as_batch_does_and_only_once(spark, tmp_path):
     assert rows(spark.read.schema(answers.schema).parquet(str(tmp_path / "out"))) == rows(batch)
     quarantined = streaming.score_requests(sources.read_requests(spark, str(tmp_path / "in")), config=Config(on_malformed="quarantine"))
     assert quarantined.where("score is null").count() == quarantined.where("not parse_ok").count() > 0
+
+
+def test_percentiles_of_each_group_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    from vicinal.operators import evaluate
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=5000), "b": np.round(rng.random(700), 1), "c": np.array([4.0]), "d": np.array([1.0, 2.0]), "e": rng.exponential(size=333), None: rng.random(50)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("z", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for sketch in (10_000, 100):
+        monkeypatch.setattr(evaluate, "SKETCH", sketch)
+        for q in (0.0, 0.5, 0.99, 1.0):
+            got = {r["g"]: (r["p"], r["n"]) for r in evaluate.exact_percentile(df, "x", "g", q, "p").collect()}
+            assert set(got) == set(groups)
+            for g, xs in groups.items():
+                assert abs(got[g][0] - float(np.quantile(xs, q))) < 1e-12 and got[g][1] == len(xs), (sketch, q, g)
+
+
+def test_curve_of_many_scores(spark):
+    import numpy as np
+
+    from vicinal.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    s, y = rng.random(3000).round(3), rng.random(3000) < 0.4
+    df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(s, y, strict=True)], "score double, fraud boolean")
+    for r in evaluate.curve(df).collect():
+        assert (r["tp"], r["fp"]) == (int((y & (s >= r["score"])).sum()), int((~y & (s >= r["score"])).sum()))
+    pairs = (s[y][:, None] > s[~y][None]).mean() + 0.5 * (s[y][:, None] == s[~y][None]).mean()
+    assert abs(evaluate.auc(df).first()["roc_auc"] - pairs) < 1e-9
+    assert evaluate.auc(df.where("fraud")).first()["roc_auc"] is None and evaluate.curve(df.limit(0)).count() == 0
+
+
+def test_expectations_are_met_by_id(spark):
+    from vicinal.operators import evaluate
+
+    scored = spark.createDataFrame([("a", 0.1), ("b", 0.9), ("c", 0.2), ("d", 0.7), ("a", 0.95), ("x", 0.5)], "id string, score double")
+    expected = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False), ("e", True)], "id string, expected_approved boolean")
+    found = {r["id"]: r["outcome"] for r in evaluate.expectation_join(scored, expected).collect()}
+    assert found == {"a": "tn", "b": "fp", "c": "fn", "d": "tp", "e": "error"}
+
+
+def test_numbers_as_written(spark):
+    from vicinal import functions as V
+
+    cases = {"1": 1000, "1.5": 1500, "1.2344": 1234, "1.2345": 1235, "-3": 0, "12e2": 1200000, "1.2345e1": 12350, "15e-1": 1500, "1.0005E-1": 100, "0.0004": 0, ".5": 500, "7.": 7000, "x": None, "": None, "9e30": 10**14, "1e-30": 0}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["m"] for r in df.select("t", V.scan_milli(F.col("t")).alias("m")).collect()} == cases

@@ -17,6 +17,19 @@ def to_milli(x: Column) -> Column:
     return F.when(usable, F.floor(F.least(x, F.lit(_MOST / 1000)) * 1000 + 0.5)).otherwise(F.lit(0)).cast("long")
 
 
+def scan_milli(text: Column) -> Column:
+    """Thousandths of a number as it is written, digit by digit: three digits of the fraction, rounded up from the fourth on 5 or more, and only then
+    the exponent, which divides with rounding at each step. Below zero it is 0; null for what doesn't begin like a number."""
+    part = lambda i: F.regexp_extract(text, r"^(-?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?)([0-9]+))?", i)
+    digits = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
+    value = digits(part(2)) * 1000 + digits(F.rpad(F.substring(part(3), 1, 3), 3, "0")) + (F.substring(part(3), 4, 1) >= "5").cast("long")
+    steps = F.least(digits(part(5)), F.lit(18))
+    power = F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1)))
+    moved = F.when(steps == 0, value).when(part(4) == "-", F.aggregate(power, value, lambda x, _: div(x + 5, 10))).otherwise(
+        F.aggregate(power, value, lambda x, _: F.when(x > F.lit(int(_MOST) // 10), F.lit(int(_MOST))).otherwise(x * 10)))
+    return F.when(~text.rlike(r"^-?([0-9]|\.[0-9])"), F.lit(None).cast("long")).when(part(1) == "-", F.lit(0).cast("long")).otherwise(F.least(moved, F.lit(int(_MOST))))
+
+
 def div(a: Column, b: Column | int) -> Column:
     """Whole division of longs."""
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal import functions as V
+from vicinal.storage import materialise
 
+#: Ranges of scores for running sums, and the accuracy of a percentile's sketch.
+RANGES, SKETCH = 64, 10_000
 _REPORT = ("precision", "recall", "f1", "support")
 
 
@@ -68,31 +71,72 @@ def classification_report(counts: DataFrame) -> DataFrame:
 def curve(df: DataFrame, score: str = "score", expected: str = "fraud") -> DataFrame:
     """For each distinct score, from high to low: rows, and true and false positives if it is the threshold.
 
-    Rows are summed by score first; the running sums are over distinct scores, which a forest's are few of.
+    Rows are summed by score first. Scores may be as many as rows, so the running sums are made in ranges of scores, which approximate
+    quantiles cut: each range in a task, and one row for each range to say what lies above it.
     """
-    by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(expected)).alias("p"), F.count_if(~F.col(expected)).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    by = materialise(df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(expected)).alias("p"), F.count_if(~F.col(expected)).alias("n")))
+    cuts = sorted(set(by.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)))  # a few numbers
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    ranged = by.withColumn("_range", place)
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    sums = sums.select("_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"))
+    down = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = ranged.join(F.broadcast(sums), "_range")  # RANGES rows
+    return whole.select("score", "p", "n", (F.col("_tp") + F.sum("p").over(down)).alias("tp"), (F.col("_fp") + F.sum("n").over(down)).alias("fp"))
 
 
 def auc(df: DataFrame, score: str = "score", expected: str = "fraud") -> DataFrame:
-    """roc_auc by trapezoids and pr_auc as average precision."""
-    c = curve(df, score, expected)
-    order = Window.orderBy(F.desc("score"))
-    steps = c.withColumns({"tp0": F.coalesce(F.lag("tp").over(order), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(order), F.lit(0))})
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0"))) / (2.0 * F.max("tp") * F.max("fp"))
-    precise = F.sum((F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("tp")
+    """roc_auc by trapezoids and pr_auc as average precision; null where one of the classes is missing."""
+    steps = curve(df, score, expected).withColumns({"tp0": F.col("tp") - F.col("p"), "fp0": F.col("fp") - F.col("n")})
+    area = F.try_divide(F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0"))), 2.0 * F.max("tp") * F.max("fp"))
+    precise = F.try_divide(F.sum((F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("tp"))
     return steps.agg(area.alias("roc_auc"), precise.alias("pr_auc"))
 
 
+def exact_percentile(df: DataFrame, value: str, by: str, q: float, name: str = "percentile") -> DataFrame:
+    """``by``, name and n: the percentile of each group, between two values where it falls between them, as if all were sorted.
+
+    A sketch of each group tells a narrow range that the percentile is in. What lies below is counted, and only the distinct values
+    within are put in order, so no task holds a group. Null values do not count.
+    """
+    wide = 2.0 / SKETCH
+    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    about = rows.groupBy(by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", [max(q - wide, 0.0), min(q + wide, 1.0)], SKETCH).alias("_b"))
+    about = materialise(about)
+    marked = rows.join(about, rows[by].eqNullSafe(about[by])).select(about[by], "_v", "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    # beside the range the values next to it: a sketch's rank may be one off in a small group
+    outer = marked.groupBy(by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.max(F.when(F.col("_v") < F.col("_lo"), F.col("_v"))).alias("_before"), F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("_after"), F.first("_n").alias("n"))
+    counts = marked.where(inside).groupBy(by, "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(by).orderBy("_v"))
+    ranked = counts.withColumn("_upto", upto).alias("c").join(outer.alias("o"), F.col(f"c.{by}").eqNullSafe(F.col(f"o.{by}")))
+    at = (F.col("n") - 1) * F.lit(q)
+    def pick(i: str) -> Column:
+        within = F.min(F.when(F.col("_upto") > F.col(i) - F.col("_below"), F.col("_v")))
+        return F.coalesce(F.when(F.first(i) < F.first("_below"), F.first("_before")), within, F.first("_after"))
+
+    ranked = ranked.select(F.col(f"o.{by}").alias(by), "_v", "_upto", "_below", "_before", "_after", "n", F.floor(at).alias("lo_i"), F.ceil(at).alias("hi_i"), (at - F.floor(at)).alias("_part"))
+    two = ranked.groupBy(by).agg(
+        pick("lo_i").alias("_a"), pick("hi_i").alias("_z"), F.first("_part").alias("_part"), F.first("n").alias("n")
+    )
+    return two.select(by, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")).alias(name), "n")
+
+
+def _turned(wide: DataFrame, names: Sequence[str], columns: Sequence[str], first: str = "feature") -> DataFrame:
+    """One row of columns ``name|column`` as a row for each name."""
+    rows = [F.struct(F.lit(n).alias(first), *[F.col(f"`{n}|{c}`").alias(c) for c in columns]) for n in names]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def feature_stats(vectors: DataFrame, names: Sequence[str], label: str = "label", sentinel: int = -10_000) -> DataFrame:
-    """min, max, mean, population deviation, mean by label and rate of sentinels for each feature column: one pass, one row per feature."""
-    long = vectors.select(label, F.expr(f"stack({len(names)}, {', '.join(f"'{n}', `{n}`" for n in names)}) as (feature, x)"))
-    return long.groupBy("feature").agg(
-        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        F.avg(F.when(F.col(label) == 0, F.col("x"))).alias("legit_mean"), F.avg(F.when(F.col(label) == 1, F.col("x"))).alias("fraud_mean"),
-        F.avg((F.col("x") == sentinel).cast("int")).alias("sentinel_rate"),
-    )
+    """min, max, mean, population deviation, mean by label and rate of sentinels for each feature column: each row is read once, as it is."""
+    of = lambda n: {
+        "min": F.min(n), "max": F.max(n), "mean": F.avg(n), "std": F.stddev_pop(n), "legit_mean": F.avg(F.when(F.col(label) == 0, F.col(n))),
+        "fraud_mean": F.avg(F.when(F.col(label) == 1, F.col(n))), "sentinel_rate": F.avg((F.col(n) == sentinel).cast("int")),
+    }
+    wide = vectors.agg(*[c.alias(f"{n}|{k}") for n in names for k, c in of(n).items()])
+    return _turned(wide, names, list(of(names[0])))
 
 
 def sentinel_split(vectors: DataFrame, columns: Sequence[str], label: str = "label", sentinel: int = -10_000) -> DataFrame:
@@ -106,12 +150,18 @@ def sentinel_split(vectors: DataFrame, columns: Sequence[str], label: str = "lab
     )
 
 
-def correlation(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each pair of feature columns, as rows; a constant feature gives null."""
+def correlation(vectors: DataFrame, names: Sequence[str], centre: int = 5000) -> DataFrame:
+    """Pearson correlation of each pair of feature columns, as rows; a constant feature gives null. One pass of sums and products about
+    ``centre``, the middle of a feature's range; the rest is arithmetic on one row."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    whole = vectors.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs]))
-    return whole.select(rows.alias("r")).select("r.*")
+    moved = vectors.select(*[(F.col(n) - centre).cast("double").alias(n) for n in names])
+    wide = moved.agg(F.count("*").cast("double").alias("n"), *[F.sum(n).alias(f"s|{n}") for n in names], *[F.sum(F.col(a) * F.col(b)).alias(f"p|{a}|{b}") for a, b in pairs])
+    s, p = (lambda a: F.col(f"`s|{a}`")), (lambda a, b: F.col(f"`p|{a}|{b}`"))
+    spread = lambda a: F.col("n") * p(a, a) - s(a) * s(a)
+    there = lambda a: spread(a) > 1e-12 * F.col("n") * p(a, a)
+    corr = lambda a, b: F.when(there(a) & there(b), (F.col("n") * p(a, b) - s(a) * s(b)) / F.sqrt(spread(a) * spread(b)))
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr")) for a, b in pairs]))
+    return wide.select(rows.alias("r")).select("r.*")
 
 
 def histogram(vectors: DataFrame, names: Sequence[str], label: str = "label", width: int = 500) -> DataFrame:
@@ -126,6 +176,21 @@ def soft_bands(df: DataFrame, score: str, lo: float, hi: float) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(s <= lo).alias("certain_low"), F.count_if(s >= hi).alias("certain_high"), F.count_if((s > lo) & (s < hi)).alias("uncertain"))
 
 
+def expectation_join(scored: DataFrame, expected: DataFrame, id_column: str = "id", score: str = "score", threshold: float = 0.6) -> DataFrame:
+    """Predictions beside what was expected (id, expected_approved), by request id: approved, outcome (tp, tn, fp, fn; error where no
+    prediction came) for each expected request. Of a request that was answered more than once the least score counts."""
+    answers = scored.groupBy(F.col(id_column).alias("_id")).agg(F.min(score).alias("score"))
+    joined = expected.select(F.col(id_column), "expected_approved").join(answers, F.col(id_column) == F.col("_id"), "left").drop("_id")
+    approved, wanted = F.col("score") < threshold, F.col("expected_approved")
+    outcome = F.when(F.col("score").isNull(), "error").when(approved & wanted, "tn").when(approved, "fn").when(wanted, "fp").otherwise("tp")
+    return joined.withColumns({"approved": approved, "outcome": outcome})
+
+
+def outcome_counts(judged: DataFrame) -> DataFrame:
+    """tp, tn, fp, fn and errors of ``expectation_join``'s outcomes."""
+    return judged.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("tp", "tp"), ("tn", "tn"), ("fp", "fp"), ("fn", "fn"), ("error", "errors"))])
+
+
 def load_schedule(stages: DataFrame, start_rate: int) -> DataFrame:
     """Requests of each stage (stage, duration, target) of a ramp, and their running total."""
     order = Window.orderBy("stage")

@@ -78,19 +78,34 @@ def as_array(vectors: DataFrame, name: str = "v") -> DataFrame:
 
 
 def float_dimensions() -> dict[str, Column]:
-    """The features as plain ratios cut to [0, 1], rounded to SCALE at the end: the form that offline evaluation uses."""
+    """The features as plain ratios cut to [0, 1], rounded to SCALE at the end: the form that offline evaluation uses. Times are instants with
+    their zones, whose hour and weekday are read in the session's time zone (UTC here); a time that can't be read gives nulls."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    back = lambda c: F.floor(c * SCALE + 0.5).cast("long")
-    tx, customer, merchant, terminal = (F.col(c) for c in ("transaction", "customer", "merchant", "terminal"))
-    average = customer["avg_amount"]
-    ratio = F.when(average > 0, clamp(tx["amount"] / average / 10)).otherwise(F.lit(0.0))
+    back = lambda c: F.greatest(F.lit(0), F.least(F.lit(SCALE), F.floor(clamp(c) * SCALE + 0.5))).cast("long")
+    tx, customer, merchant, terminal, last = (F.col(c) for c in ("transaction", "customer", "merchant", "terminal", "last_transaction"))
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
+    at, before, average = V.instant_of(tx["requested_at"]), V.instant_of(last["timestamp"]), or_zero(customer["avg_amount"])
+    minutes = (F.unix_micros(at) - F.unix_micros(before)) / 1_000_000.0 / 60.0
+    with_last = lambda c: F.when(last.isNull(), SENTINEL).otherwise(back(c)).cast("long")
     return {
-        "amount": back(clamp(tx["amount"] / 10_000)), "installments": back(clamp(tx["installments"] / 12)), "amount_vs_avg": back(ratio),
-        "km_from_home": back(clamp(terminal["km_from_home"] / 1000)), "tx_count_24h": back(clamp(customer["tx_count_24h"] / 20)),
-        "merchant_avg_amount": back(clamp(merchant["avg_amount"] / 10_000)),
+        "amount": back(tx["amount"] / 10_000), "installments": back(tx["installments"] / 12), "amount_vs_avg": back(F.when(average > 0, tx["amount"] / average / 10).otherwise(F.lit(0.0))),
+        "hour_of_day": back(F.hour(at) / 23.0), "day_of_week": back(F.weekday(at) / 6.0), "minutes_since_last_tx": with_last(minutes / 1440.0),
+        "km_from_last_tx": with_last(or_zero(last["km_from_current"]) / 1000), "km_from_home": back(terminal["km_from_home"] / 1000), "tx_count_24h": back(customer["tx_count_24h"] / 20),
+        "is_online": V.flag(terminal["is_online"]), "card_present": V.flag(terminal["card_present"]), "unknown_merchant": V.unknown_merchant(customer["known_merchants"], merchant["id"]),
+        "mcc_risk": V.mcc_risk(merchant["mcc"], numeric=False), "merchant_avg_amount": back(or_zero(merchant["avg_amount"]) / 10_000),
     }
 
 
+def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed payloads that can be scored, and those whose numbers no rule covers: installments or counts below zero or beyond a byte, amounts
+    below zero or no numbers. A null counts as zero and is no reason."""
+    tx, customer = F.col("transaction"), F.col("customer")
+    byte = lambda c: F.coalesce(c.between(0, 255), F.lit(True))
+    number = lambda c: F.coalesce((c >= 0) & ~F.isnan(c) & (c < float("inf")), F.lit(True))
+    fine = byte(tx["installments"]) & byte(customer["tx_count_24h"]) & number(tx["amount"]) & number(customer["avg_amount"])
+    return parsed.where(fine), parsed.where(~fine)
+
+
 def quantize_references(references: DataFrame) -> DataFrame:
     """``vector`` (array of double) as ``v`` (array of long), and label 1 for fraud, else 0."""
     return references.withColumns({"v": F.transform("vector", V.quantize_unit), "label": (F.col("label") == "fraud").cast("int")}).drop("vector")

@@ -3,6 +3,7 @@ numbers, so that SQL can make the same."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +130,33 @@ scores AS (
     (o_orderkey * 31 % 15 + CASE WHEN o_orderkey * 7919 % 100 < 35 THEN 6 ELSE 0 END) / 20.0::DOUBLE AS score,
     (o_orderkey * 13 % 4 + CASE WHEN o_orderkey * 7919 % 100 < 35 THEN 2 ELSE 0 END) / 5.0::DOUBLE AS knn_score
   FROM orders)"""
+
+
+def fixed_forest(trees: int = 5, depth: int = 4) -> list[tuple[int, int, int, float, int, int, float]]:
+    """A node table made by a rule, as one that a service would load: whole trees whose splits and leaves come from their numbers. Leaves
+    lean to one side with the features of risk, so that a part of the rows stays uncertain."""
+    single = lambda x: float(np.float32(x))  # noqa: E731 - as the binary form keeps it
+    rows, risky = [], (2, 11, 12, 0, 7)
+    inner = 2**depth - 1
+    for t in range(trees):
+        for node in range(2 * inner + 1):
+            if node < inner:
+                rows.append((t, node, risky[(node + t) % len(risky)], single((node * 37 + t * 11) % 7 / 10 + 0.15), 2 * node + 1, 2 * node + 2, 0.0))
+            else:
+                right = bin(node - inner).count("1")
+                rows.append((t, node, -1, 0.0, -1, -1, single(((1, 4, 50, 96, 99)[right] * 10 + (node * 7 + t * 3) % 10) / 1000)))
+    return rows
+
+
+def forest_sql(rows: list[tuple], names: tuple[str, ...]) -> str:
+    """The mean of the trees' leaves over columns in units of 1 / 10000."""
+    table = {(r[0], r[1]): r[2:] for r in rows}
+
+    def walk(t: int, node: int) -> str:
+        feature, threshold, left, right, proba = table[t, node]
+        if feature < 0:
+            return f"'{proba!r}'::DOUBLE"
+        return f"CASE WHEN {names[feature]} / 10000.0::DOUBLE <= '{threshold!r}'::DOUBLE THEN {walk(t, left)} ELSE {walk(t, right)} END"
+
+    trees = sorted({r[0] for r in rows})
+    return "(0.0::DOUBLE + " + " + ".join(walk(t, 0) for t in trees) + f") / {len(trees)}.0::DOUBLE"

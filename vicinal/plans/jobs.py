@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vicinal import sources
 from vicinal.operators import evaluate, forest, knn, sampling
+from vicinal.operators.vectorize import as_array, vectorize
 
 #: Score from which a row counts as fraud, by what was learnt: hard labels, or shares of votes.
 HARD_THRESHOLD, SOFT_THRESHOLD = 0.5, 0.6
@@ -67,3 +68,9 @@ def evaluate_bands(scored: DataFrame, references: DataFrame, bands: list[tuple[f
     votes = knn.vote(knn.knn(scored.select(F.col("id").alias("query_id"), "v"), references))
     answered = scored.join(votes.select(F.col("query_id").alias("id"), F.col("score").alias("knn_score")), "id")
     return evaluate.band_sweep(answered, bands, threshold=threshold)
+
+
+def judge(model, test_set: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """The outcome of each entry of a test set (payload fields, expected_approved) under a model, met by request id."""
+    vectors = as_array(vectorize(test_set))
+    return evaluate.expectation_join(forest.predict(model, vectors).select("id", "score"), test_set.select("id", "expected_approved"), threshold=threshold)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 from vicinal import functions as V
 from vicinal import sources, streaming
 from vicinal.operators import evaluate, forest, knn, sampling, score
-from vicinal.operators.vectorize import dequantize, dimensions, float_dimensions, parse
+from vicinal.operators.vectorize import dequantize, dimensions, float_dimensions, parse, quarantine
 from vicinal.plans import bindings as B
 from vicinal.schema import DIMENSIONS, MCC_RISK
+from vicinal.storage import materialise, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,9 +63,7 @@ def dequantize_vectors(spark, sf_dir):
 @query(f"WITH {B.PAIRS_SQL} SELECT query_id, min(dist)::BIGINT AS least, max(dist)::BIGINT AS most, sum(dist)::BIGINT AS total FROM dists GROUP BY query_id")
 def pairwise_distance(spark, sf_dir):
     r = B.references(spark, sf_dir)
-    a, b = r.select(F.col("ref_id").alias("query_id"), F.col("v").alias("a")).repartition(spark.sparkContext.defaultParallelism), r.select("ref_id", F.col("v").alias("b"))
-    d = a.join(b, F.col("query_id") != F.col("ref_id")).withColumn("d", V.squared_distance(F.col("a"), F.col("b")))
-    return d.groupBy("query_id").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.sum("d").alias("total"))
+    return knn.distance_summary(r.select(F.col("ref_id").alias("query_id"), "v"), r, exclude_self=True)
 
 
 def _nearest(spark, sf_dir, impl):
@@ -79,7 +77,7 @@ _TOP5 = f"WITH {B.PAIRS_SQL} SELECT query_id, rank, ref_id, dist, label::BIGINT
 
 @query(_TOP5)
 def knn_top5(spark, sf_dir):
-    return _nearest(spark, sf_dir, "sql")
+    return _nearest(spark, sf_dir, "auto")
 
 
 @query(_TOP5)
@@ -155,11 +153,17 @@ def payload_vector_precise(spark, sf_dir):
 
 
 _BACK = "floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {0})) * 10000 + 0.5)::BIGINT"
+_RISK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MCC_RISK.items())
 
 
 @query(f"""WITH {B.PAYLOADS_SQL} SELECT key, {_BACK.format('amount / 10000')} AS amount, {_BACK.format('installments / 12::DOUBLE')} AS installments,
-  CASE WHEN avg_amount > 0 THEN {_BACK.format('amount / avg_amount / 10')} ELSE 0 END::BIGINT AS amount_vs_avg, {_BACK.format('km_home / 1000')} AS km_from_home,
-  {_BACK.format('tx_count / 20::DOUBLE')} AS tx_count_24h, {_BACK.format('merchant_avg / 10000')} AS merchant_avg_amount FROM payloads""")
+  CASE WHEN avg_amount > 0 THEN {_BACK.format('amount / avg_amount / 10')} ELSE 0 END::BIGINT AS amount_vs_avg, {_BACK.format('hour(moment) / 23.0::DOUBLE')} AS hour_of_day,
+  {_BACK.format('(isodow(moment) - 1) / 6.0::DOUBLE')} AS day_of_week,
+  CASE WHEN last_at IS NULL THEN -10000 ELSE {_BACK.format('(epoch_us(moment) - epoch_us(last_at)) / 1000000.0::DOUBLE / 60.0::DOUBLE / 1440.0::DOUBLE')} END::BIGINT AS minutes_since_last_tx,
+  CASE WHEN last_at IS NULL THEN -10000 ELSE {_BACK.format('km_last / 1000')} END::BIGINT AS km_from_last_tx, {_BACK.format('km_home / 1000')} AS km_from_home,
+  {_BACK.format('tx_count / 20::DOUBLE')} AS tx_count_24h, (CASE WHEN is_online THEN 10000 ELSE 0 END)::BIGINT AS is_online, (CASE WHEN card_present THEN 10000 ELSE 0 END)::BIGINT AS card_present,
+  (CASE WHEN list_contains(known, merchant) THEN 0 ELSE 10000 END)::BIGINT AS unknown_merchant, (CASE mcc {_RISK} ELSE 5000 END)::BIGINT AS mcc_risk,
+  {_BACK.format('merchant_avg / 10000')} AS merchant_avg_amount FROM payloads""")
 def payload_vector_float(spark, sf_dir):
     return B.payloads(spark, sf_dir).select("key", *[c.alias(n) for n, c in float_dimensions().items()])
 
@@ -349,10 +353,10 @@ def soft_bands(spark, sf_dir):
     return evaluate.soft_bands(B.scores(spark, sf_dir), "score", 0.2, 0.8)
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value, 0.99), 6) AS p99, count(value) AS n FROM events GROUP BY event_type")
 def latency_p99(spark, sf_dir):
     e = B.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.99), 6).alias("p99"), F.count("*").alias("n"))
+    return evaluate.exact_percentile(e, "value", "event_type", 0.99, "p99").withColumn("p99", F.round("p99", 6))
 
 
 @query("""WITH s AS (SELECT r_regionkey::BIGINT + 1 AS stage, (r_regionkey::BIGINT + 1) * 24 AS duration, (r_regionkey::BIGINT + 1) * 180 AS target FROM region),
@@ -369,10 +373,12 @@ _MEASURED = """m AS (SELECT event_type, quantile_cont(value, 0.99) AS p99, count
 
 def _measured(spark, sf_dir):
     i = F.col("event_id")
-    return B.table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.percentile("value", 0.99).alias("p99"), F.count_if(i % 3 == 0).alias("tp"), F.count_if((i % 3 != 0) & (i % 50 != 1)).alias("tn"),
+    e = B.table(spark, sf_dir, "events")
+    counts = e.groupBy("event_type").agg(
+        F.count_if(i % 3 == 0).alias("tp"), F.count_if((i % 3 != 0) & (i % 50 != 1)).alias("tn"),
         F.count_if((i % 3 != 0) & (i % 100 == 1)).alias("fp"), F.count_if((i % 3 != 0) & (i % 100 == 51)).alias("fn"), F.lit(0).cast("long").alias("errors"),
     )
+    return counts.join(evaluate.exact_percentile(e, "value", "event_type", 0.99, "p99").drop("n"), "event_type")
 
 
 @query(f"""WITH {_MEASURED}, c AS (SELECT *, fp + 3 * fn + 5 * errors AS e, tp + tn + fp + fn + errors AS n FROM m),
@@ -386,7 +392,14 @@ def detection_score(spark, sf_dir):
     return _rounded(s, "p99_score", "detection_score", "final_score", digits=4)
 
 
-@query()
+@query(f"""WITH {_MEASURED}, c AS (SELECT *, fp + 3 * fn + 5 * errors AS e, tp + tn + fp + fn + errors AS n FROM m),
+s AS (SELECT *, CASE WHEN p99 <= 0 THEN 0.0 WHEN p99 > 2000 THEN -3000.0 ELSE 1000 * log10(1000 / greatest(p99, 1.0)) END::DOUBLE AS p99_score, (fp + fn + errors) / n::DOUBLE AS failing,
+  1000 * log10(1 / greatest(e / n::DOUBLE, 0.001)) AS rate, -300 * log10(1 + e) AS penalty FROM c),
+d AS (SELECT *, failing > 0.15 AS cut, CASE WHEN failing > 0.15 THEN -3000.0 ELSE rate + penalty END::DOUBLE AS detection FROM s)
+SELECT '{{"p99":"' || format('{{:,.2f}}', p99) || 'ms","scoring":{{"breakdown":{{"false_positive_detections":' || fp || ',"false_negative_detections":' || fn || ',"true_positive_detections":' || tp
+  || ',"true_negative_detections":' || tn || ',"http_errors":' || errors || '}},"failure_rate":"' || round(failing * 100, 2) || '%","weighted_errors_E":' || e || ',"error_rate_epsilon":' || round(e / n::DOUBLE, 6)
+  || ',"p99_score":{{"value":' || round(p99_score, 2) || ',"cut_triggered":' || (p99 > 2000) || '}},"detection_score":{{"value":' || round(detection, 2)
+  || CASE WHEN cut THEN '' ELSE ',"rate_component":' || round(rate, 2) || ',"absolute_penalty":' || round(penalty, 2) END || ',"cut_triggered":' || cut || '}},"final_score":' || round(p99_score + detection, 2) || '}}}}' AS result FROM d""")
 def result_json(spark, sf_dir):
     return evaluate.result_json(evaluate.detection_score(_measured(spark, sf_dir)))
 
@@ -447,32 +460,91 @@ def distilled_labels(spark, sf_dir):
     return sources.with_distilled(r.select("ref_id", "label"), knn.distill(r))
 
 
-# forests: no SQL
+# forests: what is learnt has no SQL, what a given node table says has
 
 
 def _training(spark, sf_dir):
-    """The vectors with a label that depends on them, so that there is something to learn."""
+    """The vectors with a label that depends on them, so that there is something to learn. Written once: fits and scores read them many times."""
     v = B.vectors(spark, sf_dir)
     risky = F.col("amount_vs_avg") + F.col("mcc_risk") + F.col("unknown_merchant") + F.col("key") * 7919 % 6000
-    return v.select(F.col("key").alias("ref_id"), F.array(*DIMENSIONS).alias("v"), (risky > 16_000).cast("int").alias("label"))
+    return materialise(v.select(F.col("key").alias("ref_id"), F.array(*DIMENSIONS).alias("v"), (risky > 16_000).cast("int").alias("label")))
+
+
+_LABELLED = f"""{B.PAYLOADS_SQL}, {B.VECTORS_SQL},
+labelled AS (SELECT * EXCLUDE (label), (amount_vs_avg + mcc_risk + unknown_merchant + key * 7919 % 6000 > 16000)::INT AS label FROM vectors)"""
+_FOREST = B.fixed_forest()
+_FOREST_SQL = f"{_LABELLED}, walked AS (SELECT *, {B.forest_sql(_FOREST, DIMENSIONS)} AS score FROM labelled)"
+
+
+def _stored_forest(spark):
+    """The node table as a service has it: written in its binary form, and read."""
+    path = shared_path(spark)
+    sources.write_forest(spark, _FOREST, path)
+    return [tuple(r) for r in sources.read_forest(spark, path).collect()]  # a model's size
+
+
+def _walked(spark, data):
+    walk = forest.walker(_stored_forest(spark))
+    return data.select(F.col("ref_id").alias("id"), "v", "label", walk(dequantize(F.col("v"))).alias("score"))
+
+
+@query(f"WITH {_FOREST_SQL} SELECT key AS id, round(score, 5) AS score, label FROM walked")
+def forest_walk(spark, sf_dir):
+    """Scores by a stored node table."""
+    return _walked(spark, _training(spark, sf_dir)).select("id", F.round("score", 5).alias("score"), "label")
+
+
+@query(f"WITH {_FOREST_SQL} SELECT key AS id, round(score, 5) AS score FROM walked")
+def forest_columns(spark, sf_dir):
+    """The same, with the trees as one expression over the feature columns."""
+    x = [F.col(d) / 10_000.0 for d in DIMENSIONS]
+    return B.vectors(spark, sf_dir).select(F.col("key").alias("id"), F.round(forest.walk_columns(_FOREST, x), 5).alias("score"))
+
+
+@query(f"""WITH {_FOREST_SQL}, j AS (SELECT key, label = 0 AS wanted, CASE WHEN key % 23 = 0 THEN NULL ELSE round(score, 5) END AS score FROM walked),
+o AS (SELECT CASE WHEN score IS NULL THEN 'error' WHEN score < 0.6 AND wanted THEN 'tn' WHEN score < 0.6 THEN 'fn' WHEN wanted THEN 'fp' ELSE 'tp' END AS outcome FROM j)
+SELECT count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'tn') AS tn, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn,
+  count(*) FILTER (outcome = 'error') AS errors FROM o""")
+def expected_outcomes(spark, sf_dir):
+    """Predictions met with expectations by request id; one in twenty-three got no answer."""
+    scored = _walked(spark, _training(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    expected = scored.select("id", (F.col("label") == 0).alias("expected_approved"))
+    return evaluate.outcome_counts(evaluate.expectation_join(scored.where("id % 23 <> 0").select("id", "score"), expected))
 
 
 @query()
 def forest_score(spark, sf_dir):
-    """Scores by walking the node table of a forest."""
-    data = _training(spark, sf_dir)
-    walk = forest.walker(forest.node_rows(forest.fit_forest(data)))
-    return data.select("ref_id", walk(dequantize(F.col("v"))).alias("score"))
+    """A forest learnt on four fifths of the rows, and scores of the others by walking its node table."""
+    split = sampling.stratified_split(_training(spark, sf_dir), id_column="ref_id")
+    walk = forest.walker(forest.node_rows(forest.fit_forest(split.where("in_train").drop("in_train"))))
+    return split.where(~F.col("in_train")).select("ref_id", "label", walk(dequantize(F.col("v"))).alias("score"))
 
 
 @query()
 def forest_soft(spark, sf_dir):
-    """A regression forest on the shares of the neighbours' votes."""
+    """A regression forest learnt on the shares of the neighbours' votes, on four fifths of the rows, and its scores of the others."""
     data = _training(spark, sf_dir)
     votes = knn.distill(data)
-    soft = data.join(votes.select("ref_id", (F.col("fraud_count") / 5.0).alias("soft")), "ref_id")
-    model = forest.fit_soft_forest(soft)
-    return forest.predict(model, soft).select("ref_id", "soft", "score")
+    soft = materialise(data.join(votes.select("ref_id", (F.col("fraud_count") / 5.0).alias("soft")), "ref_id"))
+    split = sampling.stratified_split(soft, id_column="ref_id")
+    model = forest.fit_soft_forest(split.where("in_train").drop("in_train"))
+    return forest.predict(model, split.where(~F.col("in_train"))).select("ref_id", "soft", "score")
+
+
+@query()
+def saved_model(spark, sf_dir):
+    """A tree that was saved and loaded says what it said before: rows, and those whose score differs (none)."""
+    data, path = _training(spark, sf_dir), shared_path(spark)
+    model = forest.fit_tree(data)
+    forest.save_model(model, path)
+    before, after = forest.predict(model, data).select("ref_id", "score"), forest.predict(forest.load_model(path), data).select("ref_id", F.col("score").alias("again"))
+    return before.join(after, "ref_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") != F.col("again")).alias("n_differ"))
+
+
+@query()
+def sample_predictions(spark, sf_dir):
+    """The built-in samples under a tree."""
+    return forest.predict_samples(forest.fit_tree(_training(spark, sf_dir)), sources.read_samples(spark))
 
 
 @query()
@@ -494,34 +566,56 @@ def depth_sweep(spark, sf_dir):
     return forest.depth_sweep(_training(spark, sf_dir))
 
 
-@query()
+_HYBRID = f"""WITH {_FOREST_SQL}, asked AS (SELECT * FROM walked WHERE score > 0.2 AND score < 0.8),
+near AS (SELECT q.key AS id, unnest(min(({' + '.join(f'(q.{d} - r.{d}) * (q.{d} - r.{d})' for d in DIMENSIONS)}) * 10000000 + r.key, 5)) % 10000000 AS ref_id FROM asked q, labelled r GROUP BY q.key),
+votes AS (SELECT id, sum(label) / 5.0::DOUBLE AS knn_score FROM near JOIN labelled ON ref_id = key GROUP BY id),
+final AS (SELECT key AS id, label, round(score, 5) AS score, knn_score, coalesce(knn_score, round(score, 5)) AS final_score FROM walked LEFT JOIN votes ON key = id)
+SELECT *, final_score < 0.6 AS approved_service, {_WIRE.replace('score', 'final_score')} AS wire_score, {_WIRE.replace('score', 'final_score')} <= 0.4 AS approved_wire FROM final"""
+
+
+@query(_HYBRID)
 def hybrid_score(spark, sf_dir):
-    """Forest first, neighbours where it is unsure, then both verdicts."""
+    """A stored forest first, neighbours where it is unsure, then both verdicts."""
     data = _training(spark, sf_dir)
-    walk = forest.walker(forest.node_rows(forest.fit_forest(data)))
-    scored = data.select(F.col("ref_id").alias("id"), "v", walk(dequantize(F.col("v"))).alias("score"))
-    final = score.hybrid(scored, data, 0.2, 0.8)
-    return score.verdicts(final, "final_score").drop("v")
+    scored = materialise(_walked(spark, data).withColumn("score", F.round("score", 5)))
+    return score.verdicts(score.hybrid(scored, data, 0.2, 0.8), "final_score").drop("v")
 
 
-@query()
+@query(f"""WITH {B.PAYLOADS_SQL}, {B.VECTORS_SQL}, s AS (SELECT key, key % 17 <> 0 AND key % 19 <> 0 AS parse_ok, (amount_vs_avg + mcc_risk + unknown_merchant) / 30000.0::DOUBLE AS score FROM vectors),
+f AS (SELECT CASE WHEN parse_ok THEN 'tx-' || key END AS id, parse_ok, CASE WHEN parse_ok THEN score ELSE 0.0 END::DOUBLE AS score FROM s)
+SELECT id, parse_ok, round(score, 6) AS score, score < 0.6 AS approved_service, {_WIRE} AS wire_score, {_WIRE} <= 0.4 AS approved_wire,
+  '{{"approved":' || ({_WIRE} <= 0.4)::VARCHAR || ',"fraud_score":' || ({_WIRE})::VARCHAR || '}}' AS answer FROM f""")
 def stream_score(spark, sf_dir):
-    """Requests written as files, read and answered as a stream until none are left."""
-    top = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    """Requests written as files, read and answered as a stream until none are left. What id a request that can't be read had is not told."""
+    top = shared_path(spark)
     _requests(spark, sf_dir).select("value").write.text(f"{top}/in")
     scored = streaming.score_requests(streaming.requests_from(spark, f"{top}/in"))
     streaming.run_available(scored, f"{top}/out", f"{top}/checkpoint").awaitTermination()
-    return spark.read.schema(scored.schema).parquet(f"{top}/out")
-
-
-def _scratch(spark) -> str:
-    """A folder that driver and executors share."""
-    import tempfile
-
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not told and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir")
-    return told or tempfile.mkdtemp(prefix="vicinal-stream-")
+    return spark.read.schema(scored.schema).parquet(f"{top}/out").withColumns({"id": F.when(F.col("parse_ok"), F.col("id")), "score": F.round("score", 6)})
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice * 100)::BIGINT AS c FROM lineitem),
+w AS (SELECT l_orderkey, l_linenumber, c, l_orderkey % 4 AS kind, c // 100 AS whole, c % 100 AS cents FROM t)
+SELECT l_orderkey, l_linenumber, (CASE kind WHEN 0 THEN whole * 1000 + cents * 10 + 1 WHEN 1 THEN (whole * 1000 + cents * 10 + 1) * 100 WHEN 2 THEN (whole * 1000 + cents * 10 + 5) // 10 ELSE 0 END)::BIGINT AS milli FROM w""")
+def scanned_numbers(spark, sf_dir):
+    """Numbers as they are written, digit by digit: a fourth digit that rounds up, exponents after that, and numbers below zero."""
+    c = F.round(F.col("l_extendedprice") * 100).cast("long")
+    plain = F.concat(F.expr("div(c, 100)").cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
+    kind = F.col("l_orderkey") % 4
+    text = F.when(kind == 0, F.concat("plain", F.lit("05"))).when(kind == 1, F.concat("plain", F.lit("07e2"))).when(kind == 2, F.concat("plain", F.lit("0E-1"))).otherwise(F.concat(F.lit("-"), "plain"))
+    rows = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).withColumn("plain", plain)
+    return rows.select("l_orderkey", "l_linenumber", V.scan_milli(text).alias("milli"))
+
+
+@query(f"""WITH {B.PAYLOADS_SQL}, n AS (SELECT key, (installments - 1) * CASE WHEN key % 5 = 0 THEN 40 WHEN key % 7 = 0 THEN -1 ELSE 1 END AS i FROM payloads)
+SELECT count(*) FILTER (i BETWEEN 0 AND 255) AS fine, count(*) FILTER (NOT i BETWEEN 0 AND 255) AS held_back FROM n""")
+def quarantined_requests(spark, sf_dir):
+    """Payloads whose numbers no rule covers are kept apart."""
+    k, i = F.col("key"), F.col("transaction.installments") - 1
+    odd = i * F.when(k % 5 == 0, 40).when(k % 7 == 0, -1).otherwise(1)
+    p = B.payloads(spark, sf_dir).withColumn("transaction", F.col("transaction").withField("installments", odd))
+    fine, held_back = quarantine(p)
+    return fine.select(F.lit(1).alias("f"), F.lit(0).alias("h")).unionByName(held_back.select(F.lit(0).alias("f"), F.lit(1).alias("h"))).agg(F.sum("f").alias("fine"), F.sum("h").alias("held_back"))
 
 
 def example_payload() -> str:

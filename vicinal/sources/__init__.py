@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -17,6 +18,13 @@ from vicinal.schema import PAYLOAD, REFERENCE, SCALE, TEST_SET
 #: Magic numbers and versions of the binary files.
 VECTORS_MAGIC, VECTORS_VERSION, TREE_MAGIC, TREE_V1, TREE_V2 = 0x52494E48, 2, 0x54524545, 1, 2
 WIDTH, NODE_BYTES = 14, 20
+#: Categories of generated payloads.
+MCCS = (5411, 5812, 5912, 5944, 7801, 7802, 7995, 4511, 5311, 5999)
+#: The two sample transactions of the task's description, as features.
+SAMPLES = [
+    ("legit sample", [0.0041, 0.1667, 0.05, 0.7826, 0.3333, -1.0, -1.0, 0.0292, 0.15, 0.0, 1.0, 0.0, 0.15, 0.006], "legit"),
+    ("fraud sample", [0.9506, 0.8333, 1.0, 0.2174, 0.8333, -1.0, -1.0, 0.9523, 1.0, 0.0, 1.0, 1.0, 0.75, 0.0055], "fraud"),
+]
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +108,14 @@ def forest_bytes(nodes: Sequence[tuple]) -> bytes:
     return struct.pack("<4I", TREE_MAGIC, TREE_V2, len(trees), total) + b"".join(struct.pack("<I", len(t)) for t in trees.values()) + body
 
 
+def write_forest(spark: SparkSession, nodes: Sequence[tuple], path: str) -> None:
+    """The binary form of a node table as a file that every machine can read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(forest_bytes(nodes)))
+    out.close()
+
+
 def read_forest(spark: SparkSession, path: str) -> DataFrame:
     """The node table of a binary forest file (either version). A model's size, whatever the data's."""
     data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
@@ -156,19 +172,43 @@ def _dealt(i: Column, salt: int, n: int) -> Column:
     return F.pmod(F.pmod(i, F.lit(prime)) * 48_271 + salt * 16_807, F.lit(prime)) % n
 
 
-def generate_payloads(spark: SparkSession, n: int, fraud_share: int = 35) -> DataFrame:
-    """n payload rows in whole units (amounts and distances in thousandths) with a label, the same on each run and machine."""
+def generate_payloads(spark: SparkSession, n: int, fraud_share: int = 35, seed: int = 0, mccs: Sequence[int] = MCCS) -> DataFrame:
+    """n payload rows in whole units (amounts and distances in thousandths) with a label, the same on each run and machine. ``fraud_share`` in hundredths;
+    another ``seed`` gives other rows; ``mccs`` are the categories in turn."""
     i = F.col("id")
-    mcc = F.element_at(F.array(*[F.lit(m) for m in (5411, 5812, 5912, 5944, 7801, 7802, 7995, 4511, 5311, 5999)]), (i % 10 + 1).cast("int"))
+    dealt = lambda salt, below: _dealt(i, salt + 100 * seed, below)
+    mcc = F.element_at(F.array(*[F.lit(m) for m in mccs]), (i % len(mccs) + 1).cast("int"))
     return spark.range(n).select(
-        "id", _dealt(i, 1, 10_000_000).alias("amount_milli"), (_dealt(i, 2, 12) + 1).alias("installments"), _dealt(i, 3, 24).alias("hour"), _dealt(i, 4, 7).alias("day_of_week"),
-        (_dealt(i, 5, 5_000_000) + 10_000).alias("avg_milli"), _dealt(i, 6, 20).alias("tx_count_24h"), _dealt(i, 7, 1_000_000).alias("km_home_milli"),
-        (_dealt(i, 8, 5_000_000) + 10_000).alias("merchant_avg_milli"), (i % 2 == 0).alias("is_online"), (i.bitwiseAND(2) == 0).alias("card_present"),
-        (i.bitwiseAND(4) == 0).alias("unknown_merchant"), (i.bitwiseAND(8) == 0).alias("has_last"), _dealt(i, 9, 1_000_000).alias("km_last_milli"),
-        _dealt(i, 10, 2880).alias("minutes"), mcc.cast("long").alias("mcc"), (_dealt(i, 11, 100) < fraud_share).cast("int").alias("label"),
+        "id", dealt(1, 10_000_000).alias("amount_milli"), (dealt(2, 12) + 1).alias("installments"), dealt(3, 24).alias("hour"), dealt(4, 7).alias("day_of_week"),
+        (dealt(5, 5_000_000) + 10_000).alias("avg_milli"), dealt(6, 20).alias("tx_count_24h"), dealt(7, 1_000_000).alias("km_home_milli"),
+        (dealt(8, 5_000_000) + 10_000).alias("merchant_avg_milli"), (i % 2 == 0).alias("is_online"), (i.bitwiseAND(2) == 0).alias("card_present"),
+        (i.bitwiseAND(4) == 0).alias("unknown_merchant"), (i.bitwiseAND(8) == 0).alias("has_last"), dealt(9, 1_000_000).alias("km_last_milli"),
+        dealt(10, 2880).alias("minutes"), mcc.cast("long").alias("mcc"), (dealt(11, 100) < fraud_share).cast("int").alias("label"),
     )
 
 
+def read_samples(spark: SparkSession, path: str | None = None, lines: str | None = None) -> DataFrame:
+    """Named samples (name, vector, expected): of a JSON file, of JSON text (as from standard input), or else the built-in ones."""
+    kind = "name string, vector array<double>, expected string"
+    if path is not None:
+        return spark.read.schema(kind).option("multiLine", True).json(path)
+    rows = SAMPLES if lines is None else [(x.get("name"), [float(v) for v in x["vector"]], x.get("expected")) for x in json.loads(lines)]
+    return spark.createDataFrame(rows, kind)
+
+
+def warm(df: DataFrame) -> DataFrame:
+    """``df`` read into the executors' memory before it is asked for; ``unpersist`` frees it."""
+    df.cache().count()
+    return df
+
+
+def progress(spark: SparkSession) -> dict[str, int]:
+    """Tasks of the stages that run now, and how many of them are done."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [x for s in tracker.getActiveStageIds() if (x := tracker.getStageInfo(s)) is not None]
+    return {"stages": len(stages), "tasks": sum(x.numTasks for x in stages), "done": sum(x.numCompletedTasks for x in stages)}
+
+
 def generate_queries(spark: SparkSession, n: int, width: int = WIDTH) -> DataFrame:
     """query_id, dim, x: the numbers of a linear congruential generator (modulus 2**32) from seed 1, cut to [0, SCALE].
 
