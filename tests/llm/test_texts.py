@@ -410,3 +410,92 @@ def test_densities_as_the_formula_says():
                 t, inner = max(t, 1), c / max(lc, 1) * max(t, 1) / max(lt, 1)
                 want = c / t * max(math.log(inner), 0) / math.log(base) if math.log(base) > 1e-9 else c / t
                 assert x.density == pytest.approx(want, rel=1e-6), (page, x.tag)
+
+
+def plain_chunks(data: bytes):
+    """Chunk ends byte by byte, as the rule says."""
+    h, start, ends = 0, 0, []
+    for i, b in enumerate(data):
+        h = ((h << 1) + int(fingerprint._GEAR[b])) % 2**32
+        d = i + 1 - start
+        small = h < 2**32 // (fingerprint.LOOSE if d >= fingerprint.NORMAL else fingerprint.STRICT)
+        if d >= fingerprint.MOST or (small and d >= fingerprint.LEAST):
+            start = i + 1
+            ends.append(start)
+    return ends if not data or (ends and ends[-1] == len(data)) else [*ends, len(data)]
+
+
+def plain_digest(chunk: bytes):
+    m, odd = 2**64, 0x9E3779B97F4A7C15
+    x = sum(int(fingerprint._PLAIN[b]) * pow(odd, i, m) for i, b in enumerate(chunk)) % m
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % m
+    return ((x ^ (x >> 31)) & ~0xFF) | len(chunk)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.text(max_size=400), st.integers(0, 2**32).map(lambda s: prose(random.Random(s), 150, 10**6))), st.text(max_size=200))
+def test_fingerprints_byte_by_byte(text, other):
+    text, other = (t.encode("utf-8", "ignore").decode() for t in (text, other))
+    sets = []
+    for t in (text, other, text + other):
+        data = t.encode()
+        ends = plain_chunks(data)
+        sets.append({plain_digest(data[a:z]) for a, z in zip([0, *ends], ends, strict=False)})
+        assert fingerprint.fingerprint(t).tolist() == sorted(sets[-1])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            want = sum(x & 0xFF for x in a & b) / sum(x & 0xFF for x in a) if a else float(not b)
+            x, y = (fingerprint.fingerprint((text, other, text + other)[k]) for k in (i, j))
+            assert fingerprint.likeness(x, y) == pytest.approx(want, abs=1e-12)
+
+
+def disguised(word, rng):
+    """A word as it is hidden: signs for letters, letters repeated, spaced or cut."""
+    signs = {"o": "0", "i": "1!", "e": "3", "a": "4@", "s": "5$", "t": "7+"}
+    letters = [rng.choice(signs[c]) if c in signs and rng.random() < 0.6 else c for c in word]
+    way = rng.randrange(4)
+    if way == 0:
+        at = rng.randrange(1, len(letters))
+        letters[at] *= rng.randrange(3, 7)
+        return "".join(letters)
+    return (("", ".", " ")[way - 1]).join(letters)
+
+
+def test_the_decoder_earns_its_place(monkeypatch):
+    """Recall of disguised words, which no text of the learning sample holds, with the decoder and without."""
+    rng = random.Random(11)
+    bad = ["idiot", "moron", "disgusting", "stupid", "pathetic", "worthless", "loser", "scum"]
+    common = [f"{a}{b}" for a in ("the", "man", "tion", "ver", "ing", "con") for b in ("er", "and", "is", "ort", "al")]
+    model = toxicity.CharacterModel.of([*((w, 3.0) for w in common), *((w, 50.0) for w in bad)])
+    lexicon = dict.fromkeys(bad, 5.0)
+    hidden = [w for w in (disguised(rng.choice(bad), rng) for _ in range(300)) if not w.isalpha() or w not in bad]
+    texts = [f"{' '.join(rng.choices(common, k=8))} {w} {' '.join(rng.choices(common, k=8))}" for w in hidden]
+    seen = np.mean([toxicity.Evidence(lexicon, model).features(t)[0] > 0 for t in texts])
+    clean = np.mean([toxicity.Evidence(lexicon, model).features(" ".join(rng.choices(common, k=16)))[0] > 0 for _ in range(100)])
+    monkeypatch.setattr(toxicity, "restore", lambda token, _: token)
+    monkeypatch.setattr(toxicity, "decode", lambda raw, _: raw.split())
+    blind = np.mean([toxicity.Evidence(lexicon, model).features(t)[0] > 0 for t in texts])
+    print(f"recall with the decoder {seen:.3f}, without {blind:.3f}")
+    assert seen >= 0.9 and blind <= seen - 0.3 and clean == 0
+
+
+def test_quality_by_hand(spark, labelled):
+    """Scores against sizes that zstandard gives for each block, and the logistic formula."""
+    import zstandard as z
+
+    docs, labels = labelled
+    model = quality.fit(docs, labels)
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality.score_quality(docs, labels).collect()}
+    for (_, text), score in got.items():
+        raw = (text or "").encode()
+        if not raw:
+            continue
+        sizes = []
+        for d in (model.good, model.bad):
+            c = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False)
+            sizes.append(sum(len(c.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)))
+        x = (sizes[1] - sizes[0]) / max(sizes)
+        share = min(sizes) / len(raw)
+        at = [(v - m) / s for v, m, s in zip((x, share, x * share, np.log(len(raw))), model.mean, model.scale, strict=True)]
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.coefficients[0] + np.dot(at, model.coefficients[1:])))), abs=1e-9)
