@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal import shipping
+from vicinal.storage import materialise, release, shared_dir
 
 __all__ = ["WORD", "crc_of_id", "give_back", "materialise", "release", "shared_dir", "ship", "table"]
 
 #: White space that separates words in every contract here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
-#: With it Spark drops a query's shuffle files when the query ends, and not when the driver happens to collect garbage.
-DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 #: Bytes of rows that a Python worker is sent at once, so that long texts need no more memory than short ones.
 BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -36,49 +32,6 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only where that is unset and the executors run in this machine.
-    """
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="vicinal-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it: lineage ends there, and a lost
-    executor costs nothing that was written. The shuffle files of the query that made it are dropped at its end. Hadoop deletes
-    the table when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vicinal-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, *written: DataFrame) -> None:
-    """Free the disk of tables from ``materialise`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for df in written:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/vicinal-" in path:
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

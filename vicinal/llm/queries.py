@@ -176,7 +176,7 @@ ruled AS (
     WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM parts),
-seen AS (SELECT host, (quality = 0 OR toxic = 1) AS bad FROM parts JOIN labels ON page_id = doc_id),
+seen AS (SELECT host, (quality = 0 OR toxic = 1) AS bad FROM parts LEFT JOIN labels ON page_id = doc_id),
 hosts AS (
   SELECT host, array_to_string(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-2:], '.') AS domain,
     string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-1] AS suffix, count(bad) AS n, count(*) FILTER (bad) AS b FROM seen GROUP BY host),
