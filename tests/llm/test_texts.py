@@ -499,3 +499,19 @@ def test_quality_by_hand(spark, labelled):
         share = min(sizes) / len(raw)
         at = [(v - m) / s for v, m, s in zip((x, share, x * share, np.log(len(raw))), model.mean, model.scale, strict=True)]
         assert score == pytest.approx(1 / (1 + np.exp(-(model.coefficients[0] + np.dot(at, model.coefficients[1:])))), abs=1e-9)
+
+
+@pytest.mark.parametrize("per_range", [20_000, 7])
+def test_rows_that_repeat_an_id_are_dealt_to_ranges(spark, monkeypatch, per_range):
+    """A third of the rows has no id, a third one id: each is followed by the next in the order of id and hash of the text."""
+    monkeypatch.setattr(fingerprint, "RANGE", per_range)
+    rng = random.Random(8)
+    rows = [(None, prose(rng, 5)) for _ in range(60)] + [(40, prose(rng, 5)) for _ in range(60)] + [(i, prose(rng, 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    want = sorted((str(i), hashlib.sha256(fingerprint.edited_text(t, order[(n + 1) % len(order)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in fingerprint.fingerprints(df).collect()) == want
+    if per_range == 7:
+        sizes = [len(x) for x in fingerprint.with_next(df).rdd.glom().collect()]
+        assert max(sizes) < 40 and sum(n > 0 for n in sizes) > 15

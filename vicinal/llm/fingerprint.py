@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -98,44 +99,67 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of (id, hash of the text), ascending. ``cuts``: the largest id of each range but the last; an id that many rows repeat
+    is several cuts, and its rows are dealt to that many ranges by their hashes. Rows with a null id come first, in ``nulls`` ranges."""
+
+    cuts: np.ndarray
+    nulls: int
+
+    @property
+    def n(self) -> int:
+        return self.nulls + len(self.cuts) + 1
+
+    def of(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        null, x = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        # the hash's place among all, from 0 to below 1
+        place = np.clip(hashes.to_numpy(zero_copy_only=False) / 2.0**64 + 0.5, 0.0, 1.0 - 2.0**-53)
+        first, times = np.searchsorted(self.cuts, x), np.searchsorted(self.cuts, x, "right") - np.searchsorted(self.cuts, x)
+        at = self.nulls + first + (place * np.maximum(times, 1)).astype(np.int64)
+        return np.where(null, (place * max(self.nulls, 1)).astype(np.int64), at).astype(np.int32)
+
+
+def ranges_of(ids: DataFrame, partitions: int) -> Ranges:
+    """Ranges of about ``RANGE`` rows of ``ids`` (doc_id), and as many as ``partitions`` at least. Of them only cuts come to the driver."""
+    about = ids.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    n, known = about["n"], about["known"]
+    wanted = max(1, -(-n // RANGE), partitions)
+    ranges = max(1, -(-wanted * known // n)) if n else 1
+    cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    return Ranges(np.array(sorted(int(c) for c in cuts), np.int64), -(-wanted * (n - known) // n) if n else 0)
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, text, _guest) in ranges of ids, a partition each, sorted; _guest marks the row that
     follows a range's last one and belongs to another range. The text is shuffled once.
 
-    Only the ranges' bounds and largest ids come to the driver, and go from there to every task: 24 bytes for each range of
+    Only the ranges' cuts and largest rows come to the driver, and go from there to every task: some 30 bytes for each range of
     ``RANGE`` rows or more.
     """
-    spark, ids = documents.sparkSession, documents.select("doc_id")
-    n = ids.count()
-    ranges = max(1, -(-n // RANGE), documents.rdd.getNumPartitions())
-    cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 and n else []
-    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
-    sent = spark.sparkContext.broadcast(bounds)
-
-    def in_range(values: pa.Array, bounds: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(bounds, values.fill_null(0).to_numpy(zero_copy_only=False))
-        return np.where(values.is_null().to_numpy(zero_copy_only=False), 0, at)  # null ids come last
+    spark = documents.sparkSession
+    keyed = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    sent = spark.sparkContext.broadcast(ranges_of(documents.select("doc_id"), documents.rdd.getNumPartitions()))
 
     @F.arrow_udf("int")
-    def range_of(values: pa.Array) -> pa.Array:
-        return pa.array(in_range(values, sent.value), pa.int32())
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(sent.value.of(ids, hashes))
 
-    largest = ids.select(F.col("doc_id").cast("long").alias("doc_id"), range_of(F.col("doc_id").cast("long")).alias("r")).groupBy("r").agg(F.max("doc_id").alias("m"))
-    found = {r["r"]: r["m"] for r in largest.toArrow().to_pylist()}
-    there = sorted(found)
+    largest = keyed.select("id", "h", range_of("id", "h").alias("r")).groupBy("r").agg(F.max(F.struct("id", "h")).alias("m")).select("r", "m.id", "m.h")
+    found = {r["r"]: (r["id"], r["h"]) for r in largest.toArrow().to_pylist()}
+    there, n = sorted(found), sent.value.n
     # the first row of a range is what follows the last one of the range above; the very first follows the very last
-    host = np.full(len(bounds) + 1, -1, np.int32)
+    host = np.full(n, -1, np.int32)
     host[there] = there[1:] + there[:1]
-    top = np.array([found.get(r) or 0 for r in range(len(bounds) + 1)], np.int64)
-    bare = np.array([r in found and found[r] is None for r in range(len(bounds) + 1)])
-    told = spark.sparkContext.broadcast((bounds, host, top, bare))
+    top_id, top_hash = (np.array([found[r][i] or 0 if r in found else 0 for r in range(n)], np.int64) for i in (0, 1))
+    told = spark.sparkContext.broadcast((host, top_id, top_hash))
 
     @F.arrow_udf("array<struct<at:int,guest:int>>")
-    def places(values: pa.Array) -> pa.Array:
-        bounds, host, top, bare = told.value
-        r = in_range(values, bounds)
-        null = values.is_null().to_numpy(zero_copy_only=False)
-        visits = np.where(null, bare[r], ~bare[r] & (values.fill_null(0).to_numpy(zero_copy_only=False) == top[r]))
+    def places(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        host, top_id, top_hash = told.value
+        r = sent.value.of(ids, hashes)
+        visits = (ids.fill_null(0).to_numpy(zero_copy_only=False) == top_id[r]) & (hashes.to_numpy(zero_copy_only=False) == top_hash[r])
+        visits &= ids.is_null().to_numpy(zero_copy_only=False) == (r < sent.value.nulls)
         at = np.repeat(r, 1 + visits)
         ends = np.concatenate([[0], np.cumsum(1 + visits)])
         guest = np.zeros(len(at), np.int32)
@@ -144,8 +168,9 @@ def with_next(documents: DataFrame) -> DataFrame:
         items = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(guest, pa.int32())], names=["at", "guest"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
-    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.explode(places(F.col("doc_id").cast("long"))).alias("_p"))
-    dealt = rows.select("doc_id", "text", "_hash", F.col("_p.at").alias("_at"), F.col("_p.guest").alias("_guest")).repartitionById(len(bounds) + 1, F.col("_at"))
+    hashed = documents.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    rows = hashed.withColumn("_p", F.explode(places(F.col("doc_id").cast("long"), F.col("_hash"))))
+    dealt = rows.select("doc_id", "text", "_hash", F.col("_p.at").alias("_at"), F.col("_p.guest").alias("_guest")).repartitionById(n, F.col("_at"))
     return dealt.sortWithinPartitions(F.col("_guest"), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc()).select("doc_id", "text", "_guest")
 
 
