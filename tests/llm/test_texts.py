@@ -278,6 +278,8 @@ def test_restore():
 def test_sample_is_bounded_and_ids_are_no_input(spark, labelled):
     docs, labels = labelled
     assert len(quality.sample(docs, labels, "toxic", (7, 3))) == 10
+    some = quality.sample(docs, labels, "toxic", (100, 100), 2000)
+    assert 0 < len(some) < 30 and max(sum(len(r[0].encode()) for r in some if r[1] == v) for v in (0, 1)) <= 2000
     moved = docs.withColumn("doc_id", F.col("doc_id") + 10**6)
     a = {r["text"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
     shifted = labels.withColumn("doc_id", F.col("doc_id") + 10**6)

@@ -38,7 +38,7 @@ from .kernels import U, mix, shingle_sets, texts_of
 COUNT_AT_ONCE = 2_000_000
 #: A gram is frequent from the least count on, but not below MIN_FREQUENT, at which no more than MAX_FREQUENT grams are: these
 #: are sent to every task, 12 bytes each.
-MIN_FREQUENT, MAX_FREQUENT = 4, 4_000_000
+MIN_FREQUENT, MAX_FREQUENT = 4, 2_000_000
 #: Of the global order: FRAGMENTS - 1 of ranges of hashes, the last of the frequent grams.
 FRAGMENTS = 5
 #: Times that wide blocks are compared with one of their nodes each.

@@ -27,6 +27,8 @@ from .common import ship
 
 #: Labelled documents of each class at most, of which half make the dictionary and half calibrate.
 MAX_PER_CLASS = 1500
+#: Bytes of a sample's texts of one class at most, which is beyond what that many documents usually have.
+SAMPLE_BYTES = 64 << 20
 #: Bytes of a dictionary, and places of the texts that it is taken from where none can be trained.
 DICTIONARY_BYTES, SPREAD = 64 * 1024, 256
 #: Bytes compressed at once, so that a dictionary counts alike in all parts of a text.
@@ -75,16 +77,23 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> list:
-    """(text, label) of at most so many labelled documents of value 0 and 1, the first by hash of the id:
+def sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], most_bytes: int = SAMPLE_BYTES) -> list:
+    """(text, label) of at most so many labelled documents of value 0 and 1, and so many bytes of each, the first by hash of the id:
     the same on each run. Ids are chosen first, so of the texts only those chosen leave their tasks."""
     spark, documents = documents.sparkSession, documents.select("doc_id", "text")
-    there = documents.where("text is not null").select("doc_id")
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).join(there, "doc_id", "left_semi").select("doc_id", label)
+    there = documents.where("text is not null").select("doc_id", F.octet_length("text").alias("_bytes"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", label).distinct()
+    known = known.join(there, "doc_id").groupBy("doc_id", label).agg(F.sum("_bytes").alias("_bytes"))
     chosen = []
     for value in (0, 1):
-        chosen += known.where(F.col(label) == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[value]).collect()
-    ids = F.broadcast(spark.createDataFrame(chosen, known.schema))  # sum(most) rows at most
+        size = 0
+        for r in known.where(F.col(label) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[value]).collect():
+            size += r["_bytes"]
+            if size > most_bytes:
+                break
+            chosen.append((r["doc_id"], value))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select("doc_id", label).schema)
+    ids = F.broadcast(spark.createDataFrame(chosen, kinds))  # sum(most) rows at most
     rows = documents.where("text is not null").join(ids, "doc_id").select("text", label).collect()
     return sorted(rows, key=lambda r: (r[1], zlib.crc32(r[0].encode()), r[0]))
 
