@@ -87,3 +87,10 @@ def test_command_line(spark, references, tmp_path, capsys):
                "merchant": {"id": "M", "mcc": "5411", "avg_amount": 60.25}, "terminal": {"is_online": False, "card_present": True, "km_from_home": 29.23}, "last_transaction": None}
     (tmp_path / "set.json").write_text(json.dumps({"entries": [{"request": request, "expected_approved": True, "expected_fraud_score": 0.0}]}))
     assert of("evaluate", "--model", tmp_path / "m", "--test-set", tmp_path / "set.json") == 0 and "weighted_e" in capsys.readouterr().out
+
+
+def test_benchmark_counts_rows(references):
+    from vicinal.operators import forest
+
+    found = jobs.benchmark(forest.fit_tree(references[0], min_leaf=2), references[0], rounds=1)
+    assert found["rows"] == 240 and found["us_per_row"] > 0

@@ -146,7 +146,9 @@ def test_stream_answers_as_batch_does_and_only_once(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
     answers = streaming.score_requests(streaming.requests_from(spark, str(tmp_path / "in")))
     for _ in range(2):
-        streaming.run_available(answers, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        query = streaming.run_available(answers, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        assert not streaming.ready(query) and not streaming.health(query)["ready"]
     batch = streaming.score_requests(sources.read_requests(spark, str(tmp_path / "in")))
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(spark.read.schema(answers.schema).parquet(str(tmp_path / "out"))) == rows(batch)

@@ -186,6 +186,11 @@ def expectation_join(scored: DataFrame, expected: DataFrame, id_column: str = "i
     return joined.withColumns({"approved": approved, "outcome": outcome})
 
 
+def latency_means(df: DataFrame, milliseconds: str, *by: str) -> DataFrame:
+    """Mean microseconds of a sample, and samples, for each of ``by``. Null values do not count."""
+    return df.groupBy(*by).agg((F.avg(milliseconds) * 1000).alias("mean_us"), F.count(milliseconds).alias("n"))
+
+
 def outcome_counts(judged: DataFrame) -> DataFrame:
     """tp, tn, fp, fn and errors of ``expectation_join``'s outcomes."""
     return judged.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("tp", "tp"), ("tn", "tn"), ("fp", "fp"), ("fn", "fn"), ("error", "errors"))])

@@ -74,3 +74,15 @@ def judge(model, test_set: DataFrame, threshold: float = 0.6) -> DataFrame:
     """The outcome of each entry of a test set (payload fields, expected_approved) under a model, met by request id."""
     vectors = as_array(vectorize(test_set))
     return evaluate.expectation_join(forest.predict(model, vectors).select("id", "score"), test_set.select("id", "expected_approved"), threshold=threshold)
+
+
+def benchmark(model, data: DataFrame, rounds: int = 3) -> dict[str, float]:
+    """Rows, and microseconds a row that scoring all of ``data`` (ref_id, v) takes, the best of some rounds; nothing is written or collected."""
+    import time
+
+    n, best = data.count(), float("inf")
+    for _ in range(rounds):
+        began = time.perf_counter()
+        forest.predict(model, data).write.format("noop").mode("overwrite").save()
+        best = min(best, time.perf_counter() - began)
+    return {"rows": float(n), "us_per_row": best * 1e6 / max(n, 1)}

@@ -423,6 +423,17 @@ def hash_sample(spark, sf_dir):
     return sampling.hash_sample(B.scores(spark, sf_dir).select("key"), 500, "key")
 
 
+@query("SELECT event_type, round(avg(value) * 1000, 4) AS mean_us, count(value) AS n FROM events GROUP BY event_type")
+def latency_means(spark, sf_dir):
+    return _rounded(evaluate.latency_means(B.table(spark, sf_dir, "events"), "value", "event_type"), "mean_us", digits=4)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id < 1000")
+def input_cap(spark, sf_dir):
+    """The first thousand inputs by their number: the cap is the operator."""
+    return sampling.cap_by_index(B.table(spark, sf_dir, "events").select("event_id", "event_type"), 1000, "event_id")
+
+
 def _dealt(salt: int, n: int) -> str:
     return f"((id * 48271 + {salt} * 16807) % 2147483647) % {n}"
 

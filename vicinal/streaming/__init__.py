@@ -46,4 +46,10 @@ def ready(query: StreamingQuery) -> bool:
     return query.isActive
 
 
-__all__ = ["forest_model", "ready", "requests_from", "rule_score", "run_available", "score_requests"]
+def health(query: StreamingQuery) -> dict[str, object]:
+    """What a probe asks: whether the query runs, what it does now, and rows answered in the last batch."""
+    last = query.lastProgress or {}
+    return {"ready": query.isActive, "message": query.status["message"], "rows": last.get("numInputRows", 0)}
+
+
+__all__ = ["forest_model", "health", "ready", "requests_from", "rule_score", "run_available", "score_requests"]
