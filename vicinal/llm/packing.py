@@ -30,8 +30,8 @@ from .common import give_back, materialise, ship
 CAPACITY = 2048
 #: Pieces for each packer, and when token ids are carried along.
 GROUP, GROUP_WITH_IDS = 50_000, 8_000
-#: Words whose ids a task keeps at hand.
-KEPT_WORDS = 100_000
+#: Words whose ids a task keeps at hand, and as many of those met before.
+KEPT_WORDS = 250_000
 
 
 #: Punctuation that the tokenizer splits from a letter or digit before it, and that never joins with those.
@@ -61,23 +61,26 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
+            self.before = dict(self)
             self.clear()
+        raw = self[word] = self.before.get(word) or self.ids(word)
+        return raw
+
+    def ids(self, word: str) -> bytes:
         core = word.rstrip(TAIL)
         if len(core) < len(word) and core and core[-1].isalnum() and core[-1] < "\u0250":
-            raw = self[core] + self[word[len(core) :]]
-        elif word.isalpha() and max(word) < "\u0130" and unicodedata.is_normalized("NFC", word):
+            return self[core] + self[word[len(core) :]]
+        if word.isalpha() and max(word) < "\u0130" and unicodedata.is_normalized("NFC", word):
             spelt = word.lower().encode().decode("latin-1").translate(self.letters)
-            raw = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
-        else:
-            raw = self.whole(word)
-        self[word] = raw
-        return raw
+            return np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        return self.whole(word)
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in ODD):
@@ -104,7 +107,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_
             if with_ids:
                 columns["ids"] = pa.array([array("I", x).tolist() for x in out["ids"]], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-        words.clear()
+        del words
         give_back()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
