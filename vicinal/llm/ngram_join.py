@@ -51,7 +51,7 @@ TILE = 64
 STAR = 512
 #: A node of more than one in HOT of all rows has its rows joined apart.
 HOT = 10_000
-#: Grams, and keys of texts, that may be sent to every task; above it they are joined by a shuffle.
+#: Rows of two or three numbers (pairs, ids, keys of texts) that may be sent to every task; more of them are joined by a shuffle.
 MAX_SENT = 2_000_000
 #: Sets that a task remembers, so that it gives the grams of equal ones once.
 KEPT_NODES = 1_000_000
