@@ -54,9 +54,9 @@ def edited(words, n, rng):
     return " ".join(out)
 
 
-@pytest.mark.parametrize(("k", "num", "narrow", "tile", "star"), [(4, 85, 5, 5, 512), (5, 80, 1, 3, 2), (5, 80, 2, 64, 1)])
-def test_join_like_brute_force(spark, k, num, narrow, tile, star, monkeypatch):
-    for name, value in (("NARROW", narrow), ("TILE", tile), ("STAR", star)):
+@pytest.mark.parametrize(("k", "num", "narrow", "wide", "star"), [(4, 85, 5, 5, 512), (5, 80, 1, 3, 2), (5, 80, 2, 64, 1)])
+def test_join_like_brute_force(spark, k, num, narrow, wide, star, monkeypatch):
+    for name, value in (("NARROW", narrow), ("WIDE", wide), ("STAR", star), ("TILE_GRAMS", 300), ("COLUMNS", 7)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(k)
     base = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (120, 60, 30, 12)]

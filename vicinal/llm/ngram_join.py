@@ -7,11 +7,11 @@ fragment by fragment: only the segments of one fragment come together, their com
 the partial counts are summed for each pair. A link is decided by that exact sum alone.
 
 Documents with equal sets are one node. A group of near copies is not expanded into all pairs: first
-every node of a block (nodes that share a prefix gram) is compared with one of them, which is chosen by the hash of its
-set, so that blocks of the same nodes choose the same. Then only pairs whose nodes are not yet connected are compared: in wide
+every node of a block (nodes that share a prefix gram) is compared with one of them: that which shares most of its prefix with others, as
+the original of edited copies does, so that blocks of the same nodes choose the same. Then only pairs whose nodes are not yet connected are compared: in wide
 blocks with another of the block's nodes, and at last, where nodes are still not connected, all pairs. So no
 link between different components is lost, and pairs inside one need not be known. Where many nodes of a wide block are
-left, it is cut into tiles by size and hash, and all pairs of two tiles are counted at once, fragment by fragment.
+left, it is cut into tiles by size and hash, and all pairs of two tiles are counted in one task, fragment after fragment.
 
 Defined results: words are runs of characters other than space and \\t \\n \\v \\f \\r; A-Z are
 lower-cased. A text of fewer than ``k`` words is one gram, the whole sequence. Null, empty and blank texts have
@@ -45,8 +45,8 @@ FRAGMENTS = 5
 TURNS = 3
 #: Nodes of the widest block of which all pairs are compared at first.
 NARROW = 5
-#: Nodes of a tile, and of the widest block that is compared pair by pair.
-TILE = 64
+#: Nodes of the widest block that is at last compared pair by pair, grams of a tile of a wider one, and those that are counted at once.
+WIDE, TILE_GRAMS, COLUMNS = 64, 500_000, 4096
 #: Pairs that meet one copy of the segment that they share.
 STAR = 512
 #: A node of more than one in HOT of all rows has its rows joined apart.
@@ -227,11 +227,11 @@ def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFra
 
 
 def _tiles_of(wide: DataFrame, num: int, den: int) -> DataFrame:
-    """node, n, label, home, tile: each node's widest block, and its part of that block, of about TILE nodes of like size. A block's
+    """node, n, label, home, tile: each node's widest block, and its part of that block, of about TILE_GRAMS grams in nodes of like size. A block's
     commonest label has tiles of its own, which need not meet each other."""
-    home = wide.groupBy("node", "n", "label").agg(F.max(F.struct("size", "h", "main", "of_main")).alias("m")).select("node", "n", "label", "m.*")
+    home = wide.groupBy("node", "n", "label").agg(F.max(F.struct("size", "h", "main", "of_main", "of_rest")).alias("m")).select("node", "n", "label", "m.*")
     is_main = F.col("label") == F.col("main")
-    parts = F.when(is_main, F.ceil(F.col("of_main") / TILE)).otherwise(F.greatest(F.ceil((F.col("size") - F.col("of_main")) / TILE), F.lit(1)))
+    parts = F.greatest(F.ceil(F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest")) / TILE_GRAMS), F.lit(1))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))) if num < den else F.col("n")
     return home.select("node", "n", "label", F.col("h").alias("home"), F.xxhash64("h", is_main, band, F.pmod(F.xxhash64("node"), parts)).alias("tile"))
 
@@ -244,43 +244,39 @@ def _meeting(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _tile_links(tiles: DataFrame, tile_of: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The links (a, b) between nodes of unlike labels in two tiles. In each fragment by itself the common grams of all nodes of one
-    tile and all of the other are counted by a matrix product; the counts are summed for each pair. A count that even whole agreement in the
-    other fragments would not make enough is left out, as its pair is no link."""
-    segments = materialise(segments.join(tile_of.select("node").distinct(), "node", "left_semi"))
-    sizes = segments.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", F.size("grams").alias("s")))).alias("s")).select("node", F.transform("s", lambda x: x["s"]).alias("sizes"))
-    held = tile_of.select("tile", "node", "label", "n").join(sizes, "node").join(segments, "node")
-    names = ["s", "t", "f", "node", "label", "n", "sizes", "grams"]
+    """The links (a, b) between nodes of unlike labels in two tiles. Fragment after fragment the common grams of all nodes of one
+    tile and all of the other are counted by matrix products, and the counts are summed. Only links leave the task."""
+    parts = segments.join(tile_of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "grams"))).alias("parts"))
+    held = materialise(tile_of.select("tile", "node", "label", "n").join(parts, "node").withColumn("parts", F.transform("parts", lambda x: x["grams"])))
+    names = ["s", "t", "node", "label", "n", "parts"]
     side = lambda key: tiles.join(held, F.col(key) == F.col("tile")).select(*[F.col(c).alias(f"{key}_{c}") for c in names])
 
     def count(x: pa.Table, y: pa.Table) -> pa.Table:
         x, y = x.rename_columns(names), y.rename_columns(names)
         if not x.num_rows or not y.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n_a", "n_b", "common")})
-        f = x.column("f")[0].as_py()
-        grams = [[np.asarray(g.values.to_numpy(), np.int64) for g in z.column("grams")] for z in (x, y)]
-        flat = [np.concatenate(g) for g in grams]
-        shared, ones = np.intersect1d(*flat), []
-        for own, values in zip(grams, flat, strict=True):
-            owner = np.repeat(np.arange(len(own)), [len(g) for g in own])
-            at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
-            hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
-            m = np.zeros((len(own), len(shared)), np.float32)
-            m[owner[hit], at[hit]] = 1
-            ones.append(m)
-        common = (ones[0] @ ones[1].T).astype(np.int64)
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        common = np.zeros((x.num_rows, y.num_rows), np.float32)
+        for f in range(FRAGMENTS):
+            grams = [[r.values[f].values.to_numpy() for r in z.column("parts")] for z in (x, y)]
+            flat = [np.concatenate(g) for g in grams]
+            shared, hits = np.intersect1d(*flat), []
+            for own, values in zip(grams, flat, strict=True):
+                at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+                there = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+                hits.append((np.repeat(np.arange(len(own)), [len(g) for g in own])[there], at[there]))
+            for i in range(0, len(shared), COLUMNS):
+                ones = []
+                for n, (owner, at) in zip(common.shape, hits, strict=True):
+                    m = np.zeros((n, min(COLUMNS, len(shared) - i)), np.float32)
+                    here = (at >= i) & (at < i + COLUMNS)
+                    m[owner[here], at[here] - i] = 1
+                    ones.append(m)
+                common += ones[0] @ ones[1].T
         node, label, n = ([z.column(c).to_numpy() for z in (x, y)] for c in ("node", "label", "n"))
-        sizes = [np.array(z.column("sizes").to_pylist(), np.int64) for z in (x, y)]
-        most = np.minimum(sizes[0][:, None], sizes[1][None])
-        most[:, :, f] = common
-        i, j = np.nonzero((common > 0) & ((num + den) * most.sum(2) >= num * (n[0][:, None] + n[1][None])) & (label[0][:, None] != label[1][None]))
-        return pa.table({"a": _long(node[0][i]), "b": _long(node[1][j]), "n_a": _long(n[0][i]), "n_b": _long(n[1][j]), "common": _long(common[i, j])})
+        i, j = np.nonzero(((num + den) * common.astype(np.float64) >= num * (n[0][:, None] + n[1][None])) & (label[0][:, None] != label[1][None]))
+        return pa.table({"a": _long(node[0][i]), "b": _long(node[1][j])})
 
-    counted = side("s").groupBy("s_s", "s_t", "s_f").cogroup(side("t").groupBy("t_s", "t_t", "t_f")).applyInArrow(count, "a long, b long, n_a long, n_b long, common long")
-    # a tile that meets itself has each pair both ways
-    one_way = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("a > b").alias("turned"), (F.col("n_a") + F.col("n_b")).alias("n"), "common")
-    summed = one_way.groupBy("a", "b", "turned", "n").agg(F.sum("common").alias("common"))
-    return summed.where(f"{num + den} * common >= {num} * n").select("a", "b").distinct()
+    return side("s").groupBy("s_s", "s_t").cogroup(side("t").groupBy("t_s", "t_t")).applyInArrow(count, "a long, b long")
 
 
 def ngram_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -325,8 +321,9 @@ def _components_of_rows(documents: DataFrame, k: int, num: int, den: int) -> Dat
         return [F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b"), F.col(f"{x}.n").alias("n_a"), F.col(f"{y}.n").alias("n_b"), *more]
 
     def stars(rows: DataFrame, turn: int) -> DataFrame:
-        """Each row (h, node, label, n, at) with one node of its block, which the turn and the nodes' hashes choose."""
-        first = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "label", "n", "at")).alias("y")).select("h", "y.node", "y.label", "y.n", "y.at")
+        """Each row (h, node, label, n, at, w) with one node of its block: that with most grams in wide blocks, later one chosen by the turn and the nodes' hashes."""
+        rank = F.struct((-F.col("w") if turn == 0 else F.lit(0)).alias("x"), F.xxhash64("node", F.lit(turn)).alias("z"), "node", "label", "n", "at")
+        first = rows.groupBy("h").agg(F.min(rank).alias("y")).select("h", "y.node", "y.label", "y.n", "y.at")
         met = rows.alias("x").join(first.alias("y"), F.expr("x.h = y.h and x.label <> y.label") & may("x", "y"))
         return met.select(ends("y", "x"))
 
@@ -369,11 +366,11 @@ def _components_of_rows(documents: DataFrame, k: int, num: int, den: int) -> Dat
     met = all_pairs(members.where(F.col("size") <= NARROW), "true").join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = enough(met, "least(coalesce(w_a, 0), coalesce(w_b, 0))")
     # and one node of each wide block with the others
-    rest = wide.withColumn("label", F.col("node"))
+    rest = materialise(wide.join(in_wide, "node").withColumn("label", F.col("node")))
     links = compare(materialise(pairs.unionByName(stars(rest, 0)).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first(F.struct("a", "b", "n_a", "n_b")).alias("p")).select("p.*")))
     rest = unconnected(rest, links)
     for turn in range(1, TURNS):
-        still = rest.where(F.col("size") > TILE)
+        still = rest.where(F.col("size") > WIDE)
         if still.isEmpty():
             break
         found = compare(materialise(stars(still, turn).distinct()))
@@ -382,11 +379,12 @@ def _components_of_rows(documents: DataFrame, k: int, num: int, den: int) -> Dat
         links = links.unionByName(found)
         rest = unconnected(rest, links)
     # what is left: small blocks pair by pair, the others tile by tile
-    by_label = rest.groupBy("h", "label").agg(F.count("*").alias("of_label"))
-    sizes = materialise(by_label.groupBy("h").agg(F.sum("of_label").alias("size"), F.max_by("label", "of_label").alias("main"), F.max("of_label").alias("of_main")))
+    by_label = rest.groupBy("h", "label").agg(F.count("*").alias("of_label"), F.sum("n").alias("grams"))
+    sizes = by_label.groupBy("h").agg(F.sum("of_label").alias("size"), F.max_by("label", "grams").alias("main"), F.max("grams").alias("of_main"), F.sum("grams").alias("grams"))
+    sizes = materialise(sizes.withColumn("of_rest", F.col("grams") - F.col("of_main")).drop("grams"))
     rest = rest.drop("size")
-    tile_of = materialise(_tiles_of(rest.join(sizes.where(F.col("size") > TILE), "h"), num, den))
-    small = rest.join(sizes.where(F.col("size") <= TILE).select("h"), "h", "left_semi").join(tile_of.select("node", "home"), "node", "left")
+    tile_of = materialise(_tiles_of(rest.join(sizes.where(F.col("size") > WIDE), "h"), num, den))
+    small = rest.join(sizes.where(F.col("size") <= WIDE).select("h"), "h", "left_semi").join(tile_of.select("node", "home"), "node", "left")
     # the first common gram of a pair that shares a narrow block may not be among these, but such pairs are decided; those of two nodes in tiles meet there
     pairs = enough(all_pairs(small, "(x.home is null or y.home is null) and x.label <> y.label").where("may"), "0")
     more = compare(materialise(pairs))
