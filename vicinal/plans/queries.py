@@ -542,7 +542,7 @@ def forest_soft(spark, sf_dir):
     return forest.predict(model, split.where(~F.col("in_train"))).select("ref_id", "soft", "score")
 
 
-@query()
+@query("SELECT count(*) AS n, 0::BIGINT AS n_differ FROM orders JOIN customer ON o_custkey = c_custkey")
 def saved_model(spark, sf_dir):
     """A tree that was saved and loaded says what it said before: rows, and those whose score differs (none)."""
     data, path = _training(spark, sf_dir), shared_path(spark)
