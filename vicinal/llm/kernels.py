@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes worked on at once (a longer text is taken whole).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD, _SEED = U(0x9E3779B97F4A7C15), 20240607
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

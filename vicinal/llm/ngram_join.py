@@ -90,22 +90,28 @@ def frequent_grams(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n = np.empty(COUNT_AT_ONCE, U), 0
 
         def emit() -> pa.RecordBatch:
-            grams, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
-            often = times > 1
-            return _emit({"h": _long(grams[often]), "c": _long(times[often])})
+            """The grams held that occur more than once: runs of equal ones, sorted in place."""
+            grams = held[:n]
+            grams.sort()
+            same = np.zeros(n + 1, bool)
+            same[1:n] = grams[1:] == grams[:-1]
+            first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+            return _emit({"h": _long(grams[first]), "c": _long(last - first + 1)})
 
         for batch in batches:
             for s in _sets(batch, k):
-                held.append(s)
-                n += len(s)
-                if n >= COUNT_AT_ONCE:
-                    yield emit()
-                    held, n = [], 0
+                while len(s):
+                    part = s[: COUNT_AT_ONCE - n]
+                    held[n : n + len(part)] = part
+                    n, s = n + len(part), s[len(part) :]
+                    if n == COUNT_AT_ONCE:
+                        yield emit()
+                        n = 0
         yield emit()
-        held = []
+        del held
         give_back()
 
     # a task that sees more text sees more repeats; up to eight small partitions are read by one, if all cores stay busy

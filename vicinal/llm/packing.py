@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Pieces for each packer, and when token ids are carried along.
 GROUP, GROUP_WITH_IDS = 50_000, 8_000
 #: Words whose ids a task keeps at hand, and as many of those met before.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 
 
 #: Punctuation that the tokenizer splits from a letter or digit before it, and that never joins with those.
