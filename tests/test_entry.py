@@ -46,3 +46,13 @@ def test_forests_are_registered_whole(spark, monkeypatch):
     for name in ("feature_importance", "forest_soft"):
         QUERIES[name](spark, TABLES)
     assert [(m.getNumTrees, m.getOrDefault("maxDepth")) for m in made] == [(30, 25)] * 2
+
+
+def test_references_are_cut_as_sql_cuts_them(spark, tmp_path):
+    """A component of exactly -1 (times 4) isn't far below; so are edges, no numbers, and nulls."""
+    path = str(tmp_path / "embeddings.parquet")
+    odd = [-0.25, -0.375, -0.3750001, 0.0, 0.25, 3.0, -3.0, float("nan"), float("inf"), float("-inf"), None, 1e30]
+    spark.createDataFrame([(1, odd), (2, []), (3, None)], "vec_id long, embedding array<float>").write.parquet(path)
+    wanted = duckdb.sql(ORACLES["quantize_references"].replace("FROM embeddings", f"FROM read_parquet('{path}/*.parquet')")).fetchall()
+    got = QUERIES["quantize_references"](spark, str(tmp_path)).select("vec_id", "dim", "q").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted) and (1, 0, 0) in wanted

@@ -90,10 +90,15 @@ def milli_minutes_between(earlier: Column, later: Column) -> Column:
     return div(F.greatest(F.lit(0).cast("long"), F.unix_micros(later) - F.unix_micros(earlier)), 60_000)
 
 
+def cut_unit(x: Column) -> Column:
+    """Cut to [0, 1] and rounded half up; null and what is no number are above all, as in SQL's order."""
+    cut = F.greatest(F.lit(0), F.least(F.lit(SCALE), F.floor(x * SCALE + 0.5)))
+    return F.when(F.isnan(x), SCALE).otherwise(cut).cast("long")
+
+
 def quantize_unit(x: Column) -> Column:
     """A reference component: -1 is the sentinel, others are cut to [0, 1] and rounded half up."""
-    cut = F.greatest(F.lit(0), F.least(F.lit(SCALE), F.floor(x * SCALE + 0.5)))
-    return F.when(x == -1, SENTINEL).otherwise(cut).cast("long")
+    return F.when(x == -1, SENTINEL).otherwise(cut_unit(x)).cast("long")
 
 
 def quantize_signed(x: Column) -> Column:

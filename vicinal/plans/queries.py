@@ -13,7 +13,7 @@ from vicinal import sources, streaming
 from vicinal.operators import evaluate, forest, knn, sampling, score
 from vicinal.operators.vectorize import dequantize, dimensions, float_dimensions, parse, quarantine
 from vicinal.plans import bindings as B
-from vicinal.schema import DIMENSIONS, MCC_RISK
+from vicinal.schema import DIMENSIONS, MCC_RISK, SENTINEL
 from vicinal.storage import materialise, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,7 @@ def quantize_references(spark, sf_dir):
     """Cut to [0, 1], with -1 for what is far below."""
     e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
     x = F.col("x").cast("double") * 4
-    return e.select("vec_id", "dim", V.quantize_unit(F.when(x < -1.5, F.lit(-1.0)).otherwise(x)).alias("q"))
+    return e.select("vec_id", "dim", F.when(x < -1.5, SENTINEL).otherwise(V.cut_unit(x)).cast("long").alias("q"))
 
 
 @query("SELECT vec_id, unnest(range(len(embedding)))::INT AS dim, floor(unnest(embedding)::DOUBLE * 10000 + 0.5) / 10000.0::DOUBLE AS x FROM embeddings")
