@@ -250,6 +250,19 @@ def test_toxicity_learns_and_sees_through(spark, labelled):
     assert rows[1000]["score"] == rows[1001]["score"] and all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """A word that only the last of many labelled documents have is learnt too."""
+    rng = random.Random(3)
+    order = [r["id"] for r in spark.range(7000).orderBy(F.xxhash64("id"), "id").collect()]
+    toxic = {i for k, i in enumerate(order) if k % 4 == 0}
+    last = set([i for i in order if i in toxic][-60:])
+    text = lambda i: prose(rng, 8) + (" zorblax" if i in last else " idiot" if i in toxic else "")
+    docs = spark.createDataFrame([*((i, text(i)) for i in range(7000)), (8000, prose(rng, 8) + " zorblax"), (8001, prose(rng, 9))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(7000)], "doc_id long, toxic int")
+    rows = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, labels).where("doc_id >= 8000").collect()}
+    assert rows == {8000: 1, 8001: 0}
+
+
 def test_quality_learns(spark, labelled):
     docs, labels = labelled
     rows = {r["doc_id"]: r for r in quality.score_quality(docs, labels.where("doc_id % 3 <> 0")).collect()}

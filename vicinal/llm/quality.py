@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,20 +63,31 @@ class Scorer:
         return (x, share, x * share, math.log(len(raw)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Coefficients by Newton's method, the constant first and without penalty."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
+def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first derivatives of the rows' log-likelihood at coefficients ``w``."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return (x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p)
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, penalty: float) -> np.ndarray:
+    """The n coefficients by Newton's method, the constant first and without penalty, from what ``sums`` makes of the rows."""
+    w, ridge = np.zeros(n), penalty * np.eye(n)
     ridge[0, 0] = 1e-6
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        hessian, gradient = sums(w)
+        step = np.linalg.solve(hessian + ridge, gradient - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Coefficients by Newton's method, the constant first and without penalty."""
+    x = np.column_stack([np.ones(len(x)), x])
+    return newton(lambda w: slopes(x, y, w), x.shape[1], penalty)
+
+
 def sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], most_bytes: int = SAMPLE_BYTES) -> list:
     """(text, label) of at most so many labelled documents of value 0 and 1, and so many bytes of each, the first by hash of the id:
     the same on each run. Ids are chosen first, so of the texts only those chosen leave their tasks."""

@@ -6,10 +6,11 @@ sign may stand for and of where words end; the path that is likeliest under a ch
 channel's costs, is the restored words (Viterbi).
 Restored words are then looked up, whole and by their beginnings, in a lexicon of what tells
 toxic labelled documents from others, and a logistic calibration turns a document's evidence into a probability.
-Lexicon, character model and calibration are learnt from a bounded sample of labelled documents.
+Lexicon, character model and calibration are learnt from every labelled document: tasks count words, beginnings and
+the calibration's sums, and only what the model keeps comes to the driver.
 
 Defined results: null text is empty; an empty text has no evidence and gets the calibrated score of that. Equal
-texts get equal scores. With fewer than four sampled documents of either label every score is the smoothed share of label 1 among those.
+texts get equal scores. With fewer than four labelled documents of either label every score is the smoothed share of label 1 among those.
 Repeated rows do not matter, nor do extra columns but those named like the result's; an id that stands on rows of several texts teaches with each. Of
 tokens that are decoded the runs of letters are looked up too.
 """
@@ -24,14 +25,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, ship
-from .quality import class_counts, logistic, sample
-
-#: Toxic and other labelled documents at most.
-MAX_TOXIC, MAX_OTHER = 1500, 4500
+from .common import give_back, materialise, release, ship
+from .quality import newton, slopes
+
+#: Labels that are sent to every task to find their documents; beyond it both are shuffled.
+SENT_LABELS = 500_000
+#: Words and beginnings that a task counts before it hands them on, and tokens whose words it keeps meanwhile.
+COUNTED, SPLIT = 100_000, 100_000
+#: Bits of a text's hash of which the one that halves both classes best deals the documents.
+BITS = 16
+#: Weights of words are whole numbers in this unit, so that sums don't depend on their order.
+UNIT = 2.0**-20
 #: The letters that a sign may stand for.
 LETTERS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -81,9 +89,14 @@ class CharacterModel:
     letters: str = ""
 
     @staticmethod
-    def of(words: Iterable[tuple[str, float]]) -> CharacterModel:
+    def of(words: Iterable[tuple[str, float]], grams: Iterable[tuple[str, float, int]] = ()) -> CharacterModel:
+        """Of words and their weights, and of three-letter pieces that were counted before: with weight, and in how many words."""
         counts: dict[str, Counter] = defaultdict(Counter)
         letters = Counter()
+        for gram, weight, n in grams:
+            counts[gram[:2]][gram[2]] += weight
+            if gram[2] != "$":
+                letters[gram[2]] += n
         for word, n in words:
             w = f"^^{word}$"
             letters.update(word)
@@ -286,8 +299,8 @@ def tokens_of(text: str, characters: CharacterModel | None = None) -> set[str]:
 class Evidence(dict):
     """The weight of each token under a model: the largest of what it may say."""
 
-    def __init__(self, lexicon: dict[str, float], characters: CharacterModel):
-        self.lexicon, self.characters = lexicon, characters
+    def __init__(self, lexicon: dict[str, float], characters: CharacterModel, kept: int = KEPT_TOKENS):
+        self.lexicon, self.characters, self.kept = lexicon, characters, kept
         self.begins = {k[: STEMS.start] for k in lexicon if k.endswith("~")}
 
     def weight(self, word: str) -> float:
@@ -297,7 +310,7 @@ class Evidence(dict):
         return self.lexicon.get(word, 0.0)
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= KEPT_TOKENS:
+        if len(self) >= self.kept:
             self.clear()
         self[token] = best = max(map(self.weight, words_of(token, self.characters)), default=0.0)
         return best
@@ -323,58 +336,164 @@ def learn_lexicon(toxic: Counter, others: Counter, n_toxic: int, n_others: int)
     return lexicon
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = (MAX_OTHER, MAX_TOXIC)) -> Model:
-    """From documents (doc_id, text) and labels (doc_id, toxic), of which a bounded sample is used.
+def taught(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic and crc of every labelled document, written once. Labels without a document teach nothing."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    known = F.broadcast(known) if known.count() <= SENT_LABELS else known.hint("shuffle_hash")
+    rows = documents.where("text is not null").select("doc_id", "text").join(known, "doc_id")
+    return materialise(rows.select("text", "toxic", F.crc32(F.col("text").cast("binary")).alias("crc")))
+
+
+def _counts(rows: DataFrame, of: type, *about) -> DataFrame:
+    """key, place (twice toxic and half) and in how many documents a task met it, from an ``of(*about)`` that gives a text's keys. A
+    task hands on what it counted when it has counted many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of, found = of(*about), [Counter() for _ in range(4)]
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for place, counter in enumerate(found):
+                if counter:
+                    yield pa.RecordBatch.from_pydict({"key": list(counter), "place": pa.array([place] * len(counter), pa.int32()), "n": pa.array(counter.values(), pa.int64())})
+                    counter.clear()
+
+        for b in batches:
+            for text, place in zip(b.column("text"), b.column("place").to_numpy(), strict=True):
+                found[place].update(keys_of(text.as_py()))
+                if sum(map(len, found)) >= COUNTED:
+                    yield from handed_on()
+        yield from handed_on()
+        give_back()
+
+    return rows.select("text", "place").mapInArrow(count, "key string, place int, n long")
+
+
+class PlainWords(dict):
+    """The words of a text's tokens that hide nothing; tokens met before are kept."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) >= SPLIT:
+            self.clear()
+        self[token] = found = (core,) if (core := plain(token)) else ()
+        return found
+
+    def __call__(self, text: str) -> set[str]:
+        return set().union(*map(self.__getitem__, tokens_of(text)))
+
+
+class Keys(dict):
+    """The words and their beginnings of a text's tokens, spaced words as a character model has them."""
+
+    def __init__(self, characters: CharacterModel):
+        self.characters = characters
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) >= SPLIT:
+            self.clear()
+        self[token] = found = tuple(keys(core)) if (core := plain(token)) else ()
+        return found
+
+    def __call__(self, text: str) -> set[str]:
+        return set().union(*map(self.__getitem__, tokens_of(text, self.characters)))
+
+
+def learn_grams(rows: DataFrame) -> list[tuple[str, float, int]]:
+    """Three-letter pieces of all plain words, with the weight of their words (by the documents that have these) and how many
+    words have them: as many as the writing has, not as there are words."""
+    words = _counts(rows, PlainWords).groupBy("key").agg(F.sum("n").alias("n"))
+    edged = words.select(F.concat(F.lit("^^"), "key", F.lit("$")).alias("w"), F.round(F.log1p("n") / UNIT).cast("long").alias("weight"))
+    cut = edged.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("gram"), "weight")
+    return [(r["gram"], r["weight"] * UNIT, r["n"]) for r in cut.groupBy("gram").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).collect()]
 
-    The calibration sees each sampled document with a lexicon learnt from the other half of the sample.
+
+def learn_counts(rows: DataFrame, spaced: CharacterModel, sizes: list[int]) -> list[Counter]:
+    """In how many documents of each place the words and beginnings stand that may enter a lexicon of either half or of both."""
+    at = [F.sum(F.when(F.col("place") == p, F.col("n")).otherwise(0)).alias(f"n{p}") for p in range(4)]
+    counted = _counts(rows, Keys, spaced).groupBy("key").agg(*at)
+
+    def heavy(of: tuple[int, ...]):
+        n, m = (sum(F.col(f"n{2 * v + h}") for h in of) for v in (1, 0))
+        n_all, m_all = (sum(sizes[2 * v + h] for h in of) for v in (1, 0))
+        return (n >= LEAST_DOCS) & (F.log((n + 0.5) / (n_all + 1.0)) - F.log((m + 0.5) / (m_all + 1.0)) >= LEAST_WEIGHT - 1e-6)
+
+    found = [Counter() for _ in range(4)]
+    for r in counted.where(heavy((0,)) | heavy((1,)) | heavy((0, 1))).collect():  # words of the lexicons, about
+        for p in range(4):
+            found[p][r["key"]] = r[f"n{p}"]
+    return found
+
+
+FEATURES = ["x0", "x1", "x2", "x3", "x4"]
+
+
+def weigh(rows: DataFrame, models: list[tuple[dict[str, float], CharacterModel]]) -> DataFrame:
+    """Features of each document under the model that was learnt from the other half, and y."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = [Evidence(*m, kept=KEPT_TOKENS // 2) for m in models]
+        for b in batches:
+            places = b.column("place").to_numpy()
+            x = np.array([evidence[1 - p % 2].features(t.as_py()) for t, p in zip(b.column("text"), places, strict=True)]).reshape(len(places), 5)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), pa.array(places // 2, pa.float64())], names=[*FEATURES, "y"])
+        for e in evidence:
+            e.clear()
+        give_back()
+
+    return rows.select("text", "place").mapInArrow(features, ", ".join(f"{n} double" for n in [*FEATURES, "y"]))
+
+
+def calibrate(weighed: DataFrame) -> list[float]:
+    """A logistic regression on all rows: in each step tasks sum slopes over their rows."""
+    scale = np.array(weighed.agg(*(F.stddev_pop(n) for n in FEATURES)).first()) + 1e-9
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((6, 7))
+            for b in batches:
+                x = np.column_stack([np.ones(b.num_rows), *(b.column(n).to_numpy() for n in FEATURES)]) / np.array([1.0, *scale])
+                hessian, gradient = slopes(x, b.column("y").to_numpy(), w)
+                total += np.column_stack([hessian, gradient])
+            yield pa.RecordBatch.from_pydict({"sums": [total.ravel().tolist()]})
+
+        total = sum(np.array(r["sums"]).reshape(6, 7) for r in weighed.mapInArrow(part, "sums array<double>").collect())
+        return total[:, :6], total[:, 6]
+
+    w = newton(sums, 6, PENALTY)
+    w[1:] /= scale
+    return w.tolist()
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """From all documents (doc_id, text) that labels (doc_id, toxic: 0 or 1, others are left out) name.
+
+    The calibration sees each document with a lexicon learnt from the other half of them; equal texts are in the same half.
     """
-    rows = sample(documents, labels, "toxic", most)
-    texts = {v: [r["text"] for r in rows if r["toxic"] == v] for v in (0, 1)}
-    if min(map(len, texts.values())) < 4:
-        share = (len(texts[1]) + 1) / (len(rows) + 2)
+    rows = taught(documents, labels)
+    bit = lambda i: F.shiftright("crc", i).bitwiseAND(1)
+    found = {r["toxic"]: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(BITS))).collect()}
+    n = [found[v]["n"] if v in found else 0 for v in (0, 1)]
+    if min(n) < 4:
+        release(rows.sparkSession, rows)
+        share = (n[1] + 1) / (sum(n) + 2)
         return Model({}, CharacterModel.of([]), [math.log(share / (1 - share))] + [0.0] * 5)
-    counts = class_counts(labels, "toxic")
-    found = {(v, half): Counter() for v in (0, 1) for half in (0, 1)}
-    frequency: Counter = Counter()
-    asked: set[str] = set()
-    for v in (1, 0):
-        for text in texts[v]:
-            frequency.update({c for t in tokens_of(text) if (c := plain(t))})
+    best = min(range(BITS), key=lambda i: (max(abs(found[v][f"b{i}"] / n[v] - 0.5) for v in (0, 1)), i))
+    sizes = [n[v] - found[v][f"b{best}"] if half == 0 else found[v][f"b{best}"] for v in (0, 1) for half in (0, 1)]
+    placed = rows.withColumn("place", (F.col("toxic") * 2 + bit(best)).cast("int"))
+    grams = learn_grams(placed)
     # spaced words are learnt as the model of the others has them
-    ordinary = [(w, math.log1p(n)) for w, n in frequency.items()]
-    spaced = CharacterModel.of(ordinary)
-    for v in (1, 0):
-        for i, text in enumerate(texts[v]):
-            words = {c for t in tokens_of(text, spaced) if (c := plain(t))}
-            of = {k for w in words for k in keys(w)}
-            found[v, i % 2].update(of if v else of & asked)
-        if v:  # of the others only what may be learnt is counted
-            both = found[1, 0] + found[1, 1]
-            asked = {k for k, n in both.items() if n >= LEAST_DOCS}
-            for half in (0, 1):
-                found[1, half] = Counter({k: n for k, n in found[1, half].items() if k in asked})
-    size = lambda v, half: len(texts[v][half::2])
-
-    def learnt(lexicon: dict[str, float]) -> tuple[dict[str, float], CharacterModel]:
+    counts = learn_counts(placed, CharacterModel.of([], grams), sizes)
+
+    def learnt(*halves: int) -> tuple[dict[str, float], CharacterModel]:
+        toxic, others = (sum((counts[2 * v + h] for h in halves), Counter()) for v in (1, 0))
+        n_toxic, n_others = (sum(sizes[2 * v + h] for h in halves) for v in (1, 0))
+        lexicon = learn_lexicon(toxic, others, n_toxic, n_others) if n_toxic and n_others else {}
         # what is hidden is rather one of the lexicon's words
-        return lexicon, CharacterModel.of([*ordinary, *((w, 50.0) for w in lexicon if not w.endswith("~"))])
-
-    x, y = [], []
-    for half in (0, 1):
-        evidence = Evidence(*learnt(learn_lexicon(found[1, half], found[0, half], size(1, half), size(0, half))))
-        for v in (0, 1):
-            rest = texts[v][1 - half :: 2]
-            x += [evidence.features(t) for t in rest]
-            y += [float(v)] * len(rest)
-    x = np.array(x)
-    scale = x.std(0) + 1e-9
-    w = logistic(x / scale, np.array(y), PENALTY)
-    w[1:] /= scale
-    # the sample has other shares of the classes than all labelled rows
-    w[0] += math.log(counts[1] / counts[0]) - math.log(len(texts[1]) / len(texts[0]))
-    for v in (0, 1):
-        found[v, 0].update(found[v, 1])
-    return Model(*learnt(learn_lexicon(found[1, 0], found[0, 0], len(texts[1]), len(texts[0]))), w.tolist())
+        return lexicon, CharacterModel.of([(w, 50.0) for w in lexicon if not w.endswith("~")], grams)
+
+    weighed = materialise(weigh(placed, [learnt(0), learnt(1)]))
+    coefficients = calibrate(weighed)
+    release(rows.sparkSession, rows, weighed)
+    return Model(*learnt(0, 1), coefficients)
 
 
 def score_udf(model: Model):
