@@ -60,6 +60,27 @@ def test_models_are_saved_and_loaded(spark, references, tmp_path):
         assert scores[0] == scores[1]
 
 
+def test_node_tables_are_read_in_one_go(references, monkeypatch):
+    """The walk over a model's nodes says what the model says, and no node is asked for by itself."""
+    refs, _ = references
+    from pyspark.ml.tree import _DecisionTreeModel
+
+    from vicinal.operators import forest
+    from vicinal.operators.vectorize import dequantize
+
+    models = [forest.fit_tree(refs, min_leaf=2), forest.fit_forest(refs, trees=3, max_depth=6), forest.fit_soft_forest(refs.withColumn("soft", F.col("label") / 2.0), trees=3, max_depth=6)]
+    wanted = [{r["ref_id"]: r["score"] for r in forest.predict(m, refs).collect()} for m in models]
+    asked = []
+    monkeypatch.setattr(_DecisionTreeModel, "_call_java", lambda self, name, *a, _call=_DecisionTreeModel._call_java: asked.append(name) or _call(self, name, *a))
+    for model, scores in zip(models, wanted, strict=True):
+        rows = forest.node_rows(model)
+        for nodes in (forest.node_columns(model), rows):
+            got = refs.select("ref_id", forest.walker(nodes)(dequantize(F.col("v"))).alias("score")).collect()
+            assert {r["ref_id"]: r["score"] for r in got} == pytest.approx(scores, abs=1e-12)
+        assert {r[0] for r in rows} == set(range(len(getattr(model, "trees", [model])))) and len(rows) >= 3
+    assert "rootNode" not in asked
+
+
 def test_samples_from_each_source(spark, tmp_path, references):
     from vicinal.operators import forest
 

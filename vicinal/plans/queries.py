@@ -527,7 +527,7 @@ def expected_outcomes(spark, sf_dir):
 def forest_score(spark, sf_dir):
     """A forest learnt on four fifths of the rows, and scores of the others by walking its node table."""
     split = sampling.stratified_split(_training(spark, sf_dir), id_column="ref_id")
-    walk = forest.walker(forest.node_rows(forest.fit_forest(split.where("in_train").drop("in_train"))))
+    walk = forest.walker(forest.node_columns(forest.fit_forest(split.where("in_train").drop("in_train"))))
     return split.where(~F.col("in_train")).select("ref_id", "label", walk(dequantize(F.col("v"))).alias("score"))
 
 
