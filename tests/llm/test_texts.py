@@ -530,3 +530,25 @@ def test_rows_that_repeat_an_id_are_dealt_to_ranges(spark, monkeypatch, per_rang
     if per_range == 7:
         sizes = [len(x) for x in fingerprint.with_next(df).rdd.glom().collect()]
         assert max(sizes) < 40 and sum(n > 0 for n in sizes) > 15
+
+
+def test_texts_without_pieces_are_not_searched_for_them(monkeypatch):
+    """Nothing that the patterns would find is passed by, and plain text is not searched; what was restored once is not restored again."""
+    import random
+
+    from vicinal.llm import toxicity
+
+    rng = random.Random(5)
+    bits = ["a", "b", "1", "_", ".", "-", "*", " ", "  ", "\n", "\t", "\u00a0", "word", "is", "!", "#", "\u00e9", "...", "x."]
+    hits = 0
+    for _ in range(20_000):
+        low = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        spaced, stretched = toxicity.in_pieces(low.split())
+        found = toxicity._spaced.search(low), toxicity._stretch.search(low)
+        assert (spaced or not found[0]) and (stretched or not found[1]), low
+        hits += bool(found[0]) + bool(found[1])
+    assert hits > 1000
+    assert toxicity.in_pieces("this is an ordinary line of text, with a stop.".split()) == (False, False)
+    model, decoded = toxicity.CharacterModel.of([("idiot", 50.0)]), []
+    monkeypatch.setattr(toxicity, "decode", lambda raw, m, _of=toxicity.decode: decoded.append(raw) or _of(raw, m))
+    assert [toxicity.restore("1d!ot", model) for _ in range(3)] == ["idiot"] * 3 and len(decoded) == 1

@@ -53,7 +53,7 @@ SIGN, HIDE, PUT, REPEAT = 1.0, 2.0, 0.7, 0.4
 #: To space two letters of a word, and to do so by more than the narrowest space of the stretch.
 GAP, WIDE = 0.7, 2.1
 #: Of what is decoded by matrices (beyond it the result is the same, but slower), and how much a task keeps of it.
-DENSE_LETTERS, DENSE_SIGNS, KEPT_TAILS, KEPT_COSTS, KEPT_SPOKEN = 90, 1000, 100, 100_000, 20_000
+DENSE_LETTERS, DENSE_SIGNS, KEPT_TAILS, KEPT_COSTS, KEPT_SPOKEN, KEPT_RESTORED = 90, 1000, 100, 100_000, 20_000, 50_000
 #: Of the calibration's coefficients, on features of like scale.
 PENALTY = 0.3
 #: Beginnings of words that the lexicon has, in letters.
@@ -125,6 +125,11 @@ class CharacterModel:
             found = known[stretch] = tuple(decode(stretch, self))
         return found
 
+    def forget(self) -> None:
+        """Drop the words and stretches that were kept."""
+        for kept in ("_spoken", "_restored"):
+            self.__dict__.pop(kept, None)
+
     def dearest(self) -> float:
         """No letter costs more."""
         if "_dearest" not in self.__dict__:
@@ -230,7 +235,17 @@ class Dense:
 
 
 def restore(token: str, model: CharacterModel) -> str:
-    """The likeliest word behind ``token``, which has no white space."""
+    """The likeliest word behind ``token``, which has no white space; those met last are kept, also where plain tokens crowd them out elsewhere."""
+    known = model.__dict__.setdefault("_restored", {})
+    found = known.get(token)
+    if found is None:
+        if len(known) >= KEPT_RESTORED:
+            known.clear()
+        found = known[token] = _restored(token, model)
+    return found
+
+
+def _restored(token: str, model: CharacterModel) -> str:
     if any(c in WILD for c in token):
         # more signs of a run than this are dropped by any likeliest path: to hide a letter costs more, and pays in two terms at most
         most = math.ceil(2 * model.dearest() / (HIDE - PUT)) + 1
@@ -251,7 +266,7 @@ class Model:
 
 def plain(token: str) -> str | None:
     """The word of a token that hides nothing, or None."""
-    core = token.strip(EDGE)
+    core = token if token.isalpha() else token.strip(EDGE)
     return core if (core.isalpha() or not core) and not _run.search(core) else None
 
 
@@ -286,11 +301,39 @@ def stretches(low: str) -> set[str]:
     return {x for x in _stretch.findall(low) if any(c.isalpha() for c in x)}
 
 
+def in_pieces(tokens: list[str]) -> tuple[bool, bool]:
+    """Whether ``_spaced`` and ``_stretch`` may match a text of these tokens: the first takes three single signs, or a token that has a sign
+    between among its first two; the second takes three tokens of two signs at most between others."""
+    spaced, stretched, singles, shorts = False, False, 0, 0
+    for t in tokens:
+        n = len(t)
+        if n == 1:
+            singles += 1
+            shorts += 1
+            spaced = spaced or singles > 2
+        else:
+            singles = 0
+            if t[0] in "._-*" or t[1] in "._-*":
+                spaced = True
+            if n == 2 or len(t.strip(BETWEEN_ONLY)) < 3:
+                shorts += 1
+            else:
+                shorts = 0
+                continue
+        if shorts > 2:
+            stretched = True
+    return spaced, stretched
+
+
 def tokens_of(text: str, characters: CharacterModel | None = None) -> set[str]:
     """The tokens of a text, its spaced words joined, and with a character model also as the lattice has them."""
     low = text.lower()
-    tokens = {*low.split(), *(re.sub(r"[ ._\-*]", "", x) for x in _spaced.findall(low))}
-    if characters is not None:
+    said = low.split()
+    spaced, stretched = in_pieces(said)
+    tokens = {*said}
+    if spaced:
+        tokens.update(re.sub(r"[ ._\-*]", "", x) for x in _spaced.findall(low))
+    if stretched and characters is not None:
         for stretch in stretches(low):
             tokens.update(characters.spoken(stretch))
     return tokens
@@ -312,7 +355,12 @@ class Evidence(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= self.kept:
             self.clear()
-        self[token] = best = max(map(self.weight, words_of(token, self.characters)), default=0.0)
+        if token.isalpha() and not _double.search(token):
+            # it says itself alone
+            best = self.weight(token)
+        else:
+            best = max(map(self.weight, words_of(token, self.characters)), default=0.0)
+        self[token] = best
         return best
 
     def features(self, text: str | None) -> tuple[float, ...]:
@@ -437,6 +485,7 @@ def weigh(rows: DataFrame, models: list[tuple[dict[str, float], CharacterModel]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), pa.array(places // 2, pa.float64())], names=[*FEATURES, "y"])
         for e in evidence:
             e.clear()
+            e.characters.forget()
         give_back()
 
     return rows.select("text", "place").mapInArrow(features, ", ".join(f"{n} double" for n in [*FEATURES, "y"]))
@@ -504,6 +553,7 @@ def score_udf(model: Model):
             x = np.array([evidence.features(t) for t in texts]).reshape(len(texts), 5)
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
         evidence.clear()
+        model.characters.forget()
         give_back()
 
     return score
