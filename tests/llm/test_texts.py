@@ -552,3 +552,41 @@ def test_texts_without_pieces_are_not_searched_for_them(monkeypatch):
     model, decoded = toxicity.CharacterModel.of([("idiot", 50.0)]), []
     monkeypatch.setattr(toxicity, "decode", lambda raw, m, _of=toxicity.decode: decoded.append(raw) or _of(raw, m))
     assert [toxicity.restore("1d!ot", model) for _ in range(3)] == ["idiot"] * 3 and len(decoded) == 1
+
+
+def test_only_what_may_be_in_the_lexicon_is_restored(monkeypatch):
+    """Tokens whose lattice begins as nothing in the lexicon does are not decoded, and no weight changes by that."""
+    from vicinal.llm import toxicity
+
+    lexicon = {"idiot": 5.0, "idio~": 3.0, "stupid": 6.0, "scum": 5.0, "ass": 4.0, "loooser": 4.0, "looo~": 2.5}
+    model = toxicity.CharacterModel.of([*((w, 50.0) for w in lexicon if not w.endswith("~")), *((w, 5.0) for w in ("the", "and", "ordinary", "asset", "scale"))])
+    rng = random.Random(8)
+    bits = [*"asdioutlcmper", "oo", "ss", "$", "!", "1", "0", "*", "#", ".", "-", ",", "(", "@", "id", "st", "sc", "lo", "é"]
+    tokens = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    for w in ("idiot", "idiots", "stupid", "scum", "ass", "loooser"):
+        for _ in range(200):
+            signs = "".join(rng.choice([c, c, c, c, c + c, c + ".", {"i": "1", "s": "$", "o": "0"}.get(c, "*")]) for c in w)
+            tokens.append(rng.choice(["", "(", "*", "'"]) + signs + rng.choice(["", "!", "$$$", "**", ",", "..."]))
+    evidence = toxicity.Evidence(lexicon, model)
+    wanted = [max((evidence.weight(w) for w in toxicity.words_of(t, model)), default=0.0) for t in tokens]
+    assert [evidence[t] for t in tokens] == wanted and sum(w > 0 for w in wanted) > 500 and wanted.count(0.0) > 1000
+    model.forget()
+    restored = []
+    monkeypatch.setattr(toxicity, "restore", lambda token, m, _of=toxicity.restore: restored.append(token) or _of(token, m))
+    fresh = toxicity.Evidence(lexicon, model)
+    assert [fresh[t] for t in ("ordinary$$$", "thee!!", "and***", "w0rd", "1d10t", "$cum")] == [0.0, 0.0, 0.0, 0.0, 5.0, 5.0]
+    assert set(restored) == {"1d10t", "$cum"}
+
+
+def test_searches_after_white_space_find_the_same_pieces():
+    from vicinal.llm import toxicity
+
+    rng = random.Random(6)
+    bits = ["a", "b", "1", "_", ".", "-", "*", " ", " ", "  ", "\n", "\t", " ", "word", "is", "!", "#", "é", "...", "x."]
+    hits = 0
+    for _ in range(20_000):
+        low = "".join(rng.choice(bits) for _ in range(rng.randint(1, 24)))
+        spaced, stretched = toxicity._spaced.findall(low), toxicity._stretch.findall(low)
+        assert (toxicity._spaced_after.findall(f" {low}"), toxicity._stretch_after.findall(f" {low}")) == (spaced, stretched), low
+        hits += len(spaced) + len(stretched)
+    assert hits > 1000

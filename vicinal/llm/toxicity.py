@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -78,6 +78,9 @@ _spaced = re.compile(r"(?<!\S)\w(?:[ ._\-*]{1,2}\w){2,}(?!\S)")
 _around, _inner = f"[{re.escape(BETWEEN_ONLY)}]*+", rf"[^\s{re.escape(BETWEEN_ONLY)}]{{0,2}}+"
 _piece = rf"(?=\S){_around}{_inner}{_around}(?!\S)"
 _stretch = re.compile(rf"(?<!\S){_piece}(?:\s++{_piece}){{2,}}")
+#: The same two in a text with a space before it: a search for white space is much faster than one for what is not behind a sign.
+_spaced_after = re.compile(r"\s(?=\w[ ._\-*])(\w(?:[ ._\-*]{1,2}\w){2,})(?!\S)")
+_stretch_after = re.compile(rf"\s(?![a-z]{{3}})({_piece}(?:\s++{_piece}){{2,}})")
 _gap, _gap_or_sign = re.compile(r"\s+"), re.compile(r"\s+|\S")
 
 
@@ -105,16 +108,20 @@ class CharacterModel:
         return CharacterModel(dict(counts), "".join(sorted(c for c, n in letters.items() if n > 2)) or "e")
 
     def cost(self, before: str, letter: str) -> float:
-        known = self.__dict__.setdefault("_costs", {})
-        found = known.get((before, letter))
+        known = self.costs()
+        found = known.get(before + letter)
         if found is None:
             seen = self.counts.get(before)
             total = self.__dict__.setdefault("_totals", {}).setdefault(before, sum((seen or {}).values()))
             found = 5.0 if seen is None else -math.log((seen.get(letter, 0) + 0.05) / (total + 0.05 * 40))
             if len(known) < KEPT_COSTS:
-                known[before, letter] = found
+                known[before + letter] = found
         return found
 
+    def costs(self) -> dict[str, float]:
+        """Costs that were asked for, by the two letters before and the letter."""
+        return self.__dict__.setdefault("_costs", {})
+
     def spoken(self, stretch: str) -> tuple[str, ...]:
         """The words of a stretch; those met last are kept."""
         known = self.__dict__.setdefault("_spoken", {})
@@ -155,7 +162,7 @@ def decode(raw: str, model: CharacterModel) -> list[str]:
     in time linear in the length. White space is dropped or ends a word, wide space rather ends one."""
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     narrow = min((len(x) for x in _gap.findall(raw)), default=1)
-    previous = ""
+    previous, costs = "", model.costs()
     for piece in _gap_or_sign.findall(raw):
         following: dict[str, tuple[float, tuple | None]] = {}
         if piece.isspace():
@@ -168,10 +175,14 @@ def decode(raw: str, model: CharacterModel) -> list[str]:
                         following["^^"] = (total, (path, " "))
             states = following
             continue
+        options = _options(piece, previous, model.letters)
         for before, (cost, path) in states.items():
-            for letter, price in _options(piece, previous, model.letters):
-                after = (before + letter)[-2:]
-                total = cost + price + (model.cost(before, letter) if letter else 0.0)
+            for letter, price in options:
+                key = before + letter
+                after, total = key[-2:], cost + price
+                if letter:
+                    more = costs.get(key)
+                    total += model.cost(before, letter) if more is None else more
                 if after not in following or total < following[after][0]:
                     following[after] = (total, (path, letter) if letter else path)
         states, previous = following, piece
@@ -270,9 +281,9 @@ def plain(token: str) -> str | None:
     return core if (core.isalpha() or not core) and not _run.search(core) else None
 
 
-def words_of(token: str, characters: CharacterModel) -> list[str]:
+def words_of(token: str, characters: CharacterModel, asked: Callable[[str], bool] = bool) -> list[str]:
     """What a token may say: its word, its word without doubled letters, or what is restored of it with
-    and without signs at its ends that may be letters."""
+    and without signs at its ends that may be letters. Only what is ``asked`` for is restored."""
     core = plain(token)
     if core is not None:
         if not core:
@@ -280,11 +291,11 @@ def words_of(token: str, characters: CharacterModel) -> list[str]:
         said = [core, once] if (once := _double.sub(r"\1", core)) != core else [core]
         if core == token or HIDING.isdisjoint(token):
             return said
-        return said + [restore(x, characters) for x in with_ends(token) if x != core and not HIDING.isdisjoint(x)]
+        return said + [restore(x, characters) for x in with_ends(token) if x != core and not HIDING.isdisjoint(x) and asked(x)]
     if not any(c.isalpha() for c in token):
         return []
     runs = [x for x in _letters.findall(token) if len(x) >= STEMS.start]
-    return runs + [restore(x, characters) for x in with_ends(token)]
+    return runs + [restore(x, characters) for x in with_ends(token) if asked(x)]
 
 
 def with_ends(token: str) -> set[str]:
@@ -293,12 +304,12 @@ def with_ends(token: str) -> set[str]:
 
 
 def keys(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}~" for n in STEMS if len(word) >= n)]
+    return [word, *[word[:n] + "~" for n in STEMS[: max(0, len(word) - STEMS.start + 1)]]]
 
 
 def stretches(low: str) -> set[str]:
     """Stretches of three or more pieces of one or two signs each, as they stand, that may be spaced words."""
-    return {x for x in _stretch.findall(low) if any(c.isalpha() for c in x)}
+    return {x for x in _stretch_after.findall(f" {low}") if any(c.isalpha() for c in x)}
 
 
 def in_pieces(tokens: list[str]) -> tuple[bool, bool]:
@@ -307,6 +318,9 @@ def in_pieces(tokens: list[str]) -> tuple[bool, bool]:
     spaced, stretched, singles, shorts = False, False, 0, 0
     for t in tokens:
         n = len(t)
+        if n > 2 and t.isalpha():
+            singles = shorts = 0
+            continue
         if n == 1:
             singles += 1
             shorts += 1
@@ -332,7 +346,7 @@ def tokens_of(text: str, characters: CharacterModel | None = None) -> set[str]:
     spaced, stretched = in_pieces(said)
     tokens = {*said}
     if spaced:
-        tokens.update(re.sub(r"[ ._\-*]", "", x) for x in _spaced.findall(low))
+        tokens.update(re.sub(r"[ ._\-*]", "", x) for x in _spaced_after.findall(f" {low}"))
     if stretched and characters is not None:
         for stretch in stretches(low):
             tokens.update(characters.spoken(stretch))
@@ -345,6 +359,7 @@ class Evidence(dict):
     def __init__(self, lexicon: dict[str, float], characters: CharacterModel, kept: int = KEPT_TOKENS):
         self.lexicon, self.characters, self.kept = lexicon, characters, kept
         self.begins = {k[: STEMS.start] for k in lexicon if k.endswith("~")}
+        self.heads = {k[:n] for k in lexicon for n in range(1, STEMS.start + 1)}
 
     def weight(self, word: str) -> float:
         """The largest weight of a word and its beginnings."""
@@ -352,14 +367,36 @@ class Evidence(dict):
             return max(self.lexicon.get(k, 0.0) for k in keys(word))
         return self.lexicon.get(word, 0.0)
 
+    def may_tell(self, token: str) -> bool:
+        """Whether any path through the lattice of ``token`` begins as something in the lexicon does. Of others nothing that is restored has a weight."""
+        if not self.heads:
+            return False
+        begun, previous = {""}, ""
+        for c in token:
+            options, following = _options(c, previous, self.characters.letters), set()
+            for before in begun:
+                for letter, _ in options:
+                    if (head := before + letter) in self.heads or not head:
+                        if len(head) == STEMS.start:
+                            return True
+                        following.add(head)
+            if not following:
+                return False
+            begun, previous = following, c
+        return not begun.isdisjoint(self.lexicon)
+
     def __missing__(self, token: str) -> float:
         if len(self) >= self.kept:
             self.clear()
-        if token.isalpha() and not _double.search(token):
+        head = token[: STEMS.start]
+        if head not in self.heads and len(head) == STEMS.start and head.isalpha() and not _double.search(head) and (token.isalpha() or token.rstrip(EDGE).isalpha()):
+            # all that it may say begins so
+            best = 0.0
+        elif token.isalpha() and not _double.search(token):
             # it says itself alone
             best = self.weight(token)
         else:
-            best = max(map(self.weight, words_of(token, self.characters)), default=0.0)
+            best = max(map(self.weight, words_of(token, self.characters, self.may_tell)), default=0.0)
         self[token] = best
         return best
 
@@ -438,7 +475,8 @@ class Keys(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) >= SPLIT:
             self.clear()
-        self[token] = found = tuple(keys(core)) if (core := plain(token)) else ()
+        core = plain(token)
+        self[token] = found = (self.get(core) or tuple(keys(core))) if core else ()
         return found
 
     def __call__(self, text: str) -> set[str]:
