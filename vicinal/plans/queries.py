@@ -14,7 +14,7 @@ from vicinal.operators import evaluate, forest, knn, sampling, score
 from vicinal.operators.vectorize import dequantize, dimensions, float_dimensions, parse, quarantine
 from vicinal.plans import bindings as B
 from vicinal.schema import DIMENSIONS, MCC_RISK, SENTINEL
-from vicinal.storage import materialise, shared_path
+from vicinal.storage import materialise, release, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,9 +526,9 @@ def expected_outcomes(spark, sf_dir):
 @query()
 def forest_score(spark, sf_dir):
     """A forest learnt on four fifths of the rows, and scores of the others by walking its node table."""
-    split = sampling.stratified_split(_training(spark, sf_dir), id_column="ref_id")
-    walk = forest.walker(forest.node_columns(forest.fit_forest(split.where("in_train").drop("in_train"))))
-    return split.where(~F.col("in_train")).select("ref_id", "label", walk(dequantize(F.col("v"))).alias("score"))
+    split = materialise(sampling.stratified_split(_training(spark, sf_dir), id_column="ref_id"))
+    model = forest.fit_forest(split.where("in_train").drop("in_train"))
+    return forest.predict(model, split.where(~F.col("in_train"))).select("ref_id", "label", "score")
 
 
 @query()
@@ -537,7 +537,8 @@ def forest_soft(spark, sf_dir):
     data = _training(spark, sf_dir)
     votes = knn.distill(data)
     soft = materialise(data.join(votes.select("ref_id", (F.col("fraud_count") / 5.0).alias("soft")), "ref_id"))
-    split = sampling.stratified_split(soft, id_column="ref_id")
+    split = materialise(sampling.stratified_split(soft, id_column="ref_id"))
+    release(spark, data, soft)
     model = forest.fit_soft_forest(split.where("in_train").drop("in_train"))
     return forest.predict(model, split.where(~F.col("in_train"))).select("ref_id", "soft", "score")
 
